@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import mixing, secrets, urltrie
+from codeweft.llm import mixing, secrets, simhash, urltrie
 from codeweft.llm.common import table
 
 # The rules of the URL query.
@@ -31,5 +31,10 @@ def op4_secret_scan(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def op5_simhash_near_dedup(spark: SparkSession, root: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, root, "documents"))
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op10_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix(table(spark, root, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
