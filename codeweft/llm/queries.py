@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import mixing, secrets, simhash, urltrie
+from codeweft.llm import decontaminate, mixing, secrets, simhash, urltrie
 from codeweft.llm.common import table
 
 # The rules of the URL query.
@@ -36,5 +36,17 @@ def op5_simhash_near_dedup(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_decontamination(spark: SparkSession, root: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, root, "documents"), table(spark, root, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op10_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix(table(spark, root, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
