@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import decontaminate, doubling, mixing, secrets, simhash, urltrie
+from codeweft.llm import bwt, decontaminate, doubling, mixing, secrets, simhash, urltrie
 from codeweft.llm.common import table
 
 # The rules of the URL query.
@@ -36,6 +36,10 @@ def op5_simhash_near_dedup(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return bwt.remove_repeats(table(spark, root, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
     return doubling.remove_repeats(table(spark, root, "documents"))
 
