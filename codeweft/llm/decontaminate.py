@@ -21,7 +21,6 @@ hits nothing.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,6 +146,8 @@ def decontaminate(
             )
         )
 
+    own = keep.index(text) if text in keep else -1  # a text that is kept is sent once
+
     def mark(part: list) -> tuple[np.ndarray, np.ndarray, list[set]]:
         held = Words(FOLD, part)
         cover = np.zeros(len(held.starts) + 1, np.int32)
@@ -179,19 +180,21 @@ def decontaminate(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_hit, items = [], [], []
-            for _, part in pieces(batch.column(batch.num_columns - 1).to_pylist()):
+            for _, part in pieces(batch.column(own).to_pylist()):
                 counts, hits, found = mark(part)
                 n_words += counts.tolist()
                 n_hit += hits.tolist()
                 items += [sorted(x) for x in found]
             made = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*(f"k{i}" for i in range(batch.num_columns - 1)), "n_words", "n_hit", "items"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*(f"k{i}" for i in range(len(keep))), "n_words", "n_hit", "items"])
 
-    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("__text"))
+    more = [F.col(text).cast("string").alias("__text")] if own < 0 else []
+    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], *more)
     schema = "".join(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}, " for i in range(len(keep)))
     judged = rows.mapInArrow(run, schema + "n_words long, n_hit long, items array<string>")
     return judged.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_hit", "items")
 
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents in which no window of the benchmark occurs, with their columns."""
+    return decontaminate(docs, benchmark).where("n_hit = 0").select(*docs.columns)

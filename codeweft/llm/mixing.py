@@ -103,3 +103,10 @@ def mix(
     return at_edge.unionByName(others).select(
         F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The documents that the mix takes, with their columns and how many copies of each."""
+    row = docs.withColumn("__key", F.concat_ws(":", "doc_id", F.xxhash64("doc_id", "text")))
+    taken = mix(row, key="__key").where("copies > 0").groupBy("__key").agg(F.max("copies").alias("copies"))
+    return row.join(taken, "__key").select(*docs.columns, "copies")

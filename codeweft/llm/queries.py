@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import ann, bwt, chat, decontaminate, doubling, mixing, secrets, simhash, urltrie
+from codeweft.llm import ann, bwt, chat, decontaminate, doubling, mixing, quality, secrets, simhash, urltrie
 from codeweft.llm.common import table
 
 # The rules of the URL query.
@@ -53,6 +53,11 @@ def op6_suffix_array_dedup(spark: SparkSession, root: str) -> DataFrame:
     return bwt.remove_repeats(table(spark, root, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, root, "labels")), ["doc_id"])
+
+
 def op8_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
     return doubling.remove_repeats(table(spark, root, "documents"))
 

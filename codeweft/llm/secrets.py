@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import whole_text
+from codeweft.llm.common import cut, whole_text
 
 
 @dataclass(frozen=True)
@@ -128,3 +128,14 @@ def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
         ),
     )
     return F.when(F.size(found) == 0, text).otherwise(F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text))))
+
+
+def without_secrets(docs: DataFrame) -> DataFrame:
+    """The documents with secrets replaced by a mark (and n_chars set anew where that changed a text)."""
+    _, fresh = scan(docs)
+    hits = cut(fresh.where(F.size("findings") > 0).select("blob", "findings"))  # its true size decides the join
+    found = docs.withColumn("blob", F.unhex(F.sha2(whole_text(), 256))).join(hits, "blob", "left")
+    text = F.when(F.col("findings").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("findings")))
+    found = found.withColumn("text", text)
+    n_chars = F.when(F.col("findings").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return found.withColumn("n_chars", n_chars).select(*docs.columns)
