@@ -2,31 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from codeweft.operators import references  # noqa: F401
+from codeweft.plans.register import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from codeweft.sources.tables import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def agg01_reference_counts(spark: SparkSession, root: str) -> DataFrame:
-    """References counted by target, kind and citing artifact (one partial/final hash aggregate)."""
-    return (
-        table(spark, root, "lineitem")
-        .groupBy(
-            F.col("l_partkey").alias("target"),
-            F.concat("l_returnflag", "l_linestatus").alias("type"),
-            F.col("l_suppkey").alias("source_artifact_id"),
-        )
-        .agg(F.count("*").alias("count"))
-    )
-
-
-QUERIES["agg01_reference_counts"] = agg01_reference_counts
-ORACLES["agg01_reference_counts"] = """
-SELECT l_partkey AS target, l_returnflag || l_linestatus AS type, l_suppkey AS source_artifact_id, count(*) AS count
-FROM lineitem GROUP BY ALL"""
+__all__ = ["ORACLES", "QUERIES"]
