@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeweft.operators import paths, references, versions  # noqa: F401
+from codeweft.operators import paths, references, scalars, versions  # noqa: F401
 from codeweft.plans.register import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
