@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeweft.operators import paths, references, scalars, search, versions  # noqa: F401
+from codeweft.operators import intervals, paths, references, scalars, search, trees, versions  # noqa: F401
 from codeweft.plans.register import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
