@@ -112,8 +112,15 @@ def _chunks(benchmark: DataFrame, item: str, text: str, size: int) -> Iterator[d
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, *, keep: list[str] | None = None, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = SIZE
 ) -> DataFrame:
-    """Columns `keep` of docs with n_words, n_hit, items (sorted strings): a row a document."""
-    keep = docs.columns if keep is None else keep
+    """Columns `keep` of docs with n_words, n_hit, items (sorted strings; they replace columns so named)."""
+    made = ["n_words", "n_hit", "items"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
+    found = _judged(docs, benchmark, keep, text, item, item_text, size)
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *made)
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str, item: str, item_text: str, size: int) -> DataFrame:
+    """Columns `keep` as k0, k1, ... with n_words, n_hit and items."""
     context = docs.sparkSession.sparkContext
     sent = []
     for found in _chunks(benchmark, item, item_text, size):
@@ -191,10 +198,10 @@ def decontaminate(
     more = [F.col(text).cast("string").alias("__text")] if own < 0 else []
     rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], *more)
     schema = "".join(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}, " for i in range(len(keep)))
-    judged = rows.mapInArrow(run, schema + "n_words long, n_hit long, items array<string>")
-    return judged.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_hit", "items")
+    return rows.mapInArrow(run, schema + "n_words long, n_hit long, items array<string>")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with their columns."""
-    return decontaminate(docs, benchmark).where("n_hit = 0").select(*docs.columns)
+    passed = _judged(docs, benchmark, docs.columns, "text", "item_id", "text", SIZE).where("n_hit = 0")
+    return passed.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -199,8 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id") -> list[di
     return [cotrain(words, meta, np.array([r[h] for r in rows], np.int64), pool_words, pool_meta) for h in HEADS]
 
 
-def score(docs: DataFrame, models: list[dict], columns: list[str]) -> DataFrame:
-    """`columns` of docs with p_low, p_toxic and keep: a row a document."""
+def _judged(docs: DataFrame, models: list[dict], columns: list[str]) -> DataFrame:
+    """`columns` as k0, k1, ... with p_low, p_toxic and keep."""
     sent = docs.sparkSession.sparkContext.broadcast(models)
 
     own = columns.index("text") if "text" in columns else -1  # a text that is kept is sent once
@@ -224,10 +224,17 @@ def score(docs: DataFrame, models: list[dict], columns: list[str]) -> DataFrame:
     more = [F.col("lang").cast("string").alias("__lang"), F.col("source").cast("string").alias("__source")] + ([F.col("text").cast("string").alias("__text")] if own < 0 else [])
     rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(columns)], *more)
     schema = "".join(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}, " for i in range(len(columns)))
-    out = rows.mapInArrow(run, schema + "p_low double, p_toxic double, keep boolean")
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(columns)], "p_low", "p_toxic", "keep")
+    return rows.mapInArrow(run, schema + "p_low double, p_toxic double, keep boolean")
+
+
+def score(docs: DataFrame, models: list[dict], columns: list[str]) -> DataFrame:
+    """`columns` of docs with p_low, p_toxic and keep (which replace columns so named): a row a document."""
+    made = ["p_low", "p_toxic", "keep"]
+    columns = [c for c in columns if c.lower() not in made]
+    return _judged(docs, models, columns).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(columns)], *made)
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with their columns."""
-    return score(docs, train(docs, labels), docs.columns).where("keep").select(*docs.columns)
+    passed = _judged(docs, train(docs, labels), docs.columns).where("keep")
+    return passed.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
