@@ -171,3 +171,31 @@ def join15(spark, root):
 @query("src04_file_by_path", "SELECT source_file_id, hash FROM files WHERE realm = 1 AND artifact_id = 5 AND path LIKE 'tion%'")
 def src04(spark, root):
     return files(spark, root).where((F.col("realm") == 1) & (F.col("artifact_id") == 5) & F.col("path").startswith("tion")).select("source_file_id", "hash")
+
+
+@query("diff06_path_segments", "SELECT a.source_file_id, CAST(len(string_split(b.path, '/')) - len(string_split(a.path, '/')) AS BIGINT) AS net FROM files a JOIN files b ON b.source_file_id = a.source_file_id + 1")
+def diff06(spark, root):
+    """Segments inserted less those deleted between neighbouring paths."""
+    from codeweft.operators.intervals import line_diff
+
+    old = files(spark, root).select(F.col("source_file_id").alias("key"), F.replace("path", F.lit("/"), F.lit("\n")).alias("old"))
+    new = files(spark, root).select((F.col("source_file_id") - 1).alias("key"), F.replace("path", F.lit("/"), F.lit("\n")).alias("new"))
+    edits = line_diff(old.join(new, "key")).groupBy(F.col("key").alias("source_file_id"))
+    return edits.agg((F.count_if(F.col("status") == "INSERTION") - F.count_if(F.col("status") == "DELETION")).alias("net"))
+
+
+@query("set02_set_difference", "SELECT artifact_id FROM files WHERE realm = 0 EXCEPT SELECT artifact_id FROM files WHERE path LIKE 'blog%'")
+def set02(spark, root):
+    return files(spark, root).where("realm = 0").select("artifact_id").subtract(files(spark, root).where(F.col("path").startswith("blog")).select("artifact_id"))
+
+
+@query("lim01_limit_when_exceeded", "SELECT source_file_id, path FROM files ORDER BY path, source_file_id LIMIT 200")
+def lim01(spark, root, limit: int | None = 200):
+    """No limit where none is given; the order is total, so the cut is the same each time."""
+    listed = files(spark, root).select("source_file_id", "path").orderBy("path", "source_file_id")
+    return listed if limit is None else listed.limit(limit)
+
+
+@query("lim05_longest_first", "SELECT artifact_id, max_by(path, {'n': length(path), 'p': path}) AS path FROM files GROUP BY artifact_id")
+def lim05(spark, root):
+    return files(spark, root).groupBy("artifact_id").agg(F.max_by("path", F.struct(F.length("path"), "path")).alias("path"))

@@ -332,3 +332,46 @@ def prj07(spark, root):
 def sort06(spark, root):
     order = [F.length(F.substring_index("binding", ".", -1)), F.length("binding"), "binding", "binding_id"]
     return bindings(spark, root).select("binding_id", F.row_number().over(W.partitionBy("artifact_id").orderBy(*order)).alias("place"))
+
+
+@query("flt13_without_symbols", r"SELECT doc_id, CAST(len(list_filter(string_split(text, ' '), lambda w: regexp_matches(w, '[A-Za-z0-9]'))) AS INT) AS words FROM documents")
+def flt13(spark, root):
+    return table(spark, root, "documents").select("doc_id", F.size(F.filter(F.split("text", " "), lambda w: w.rlike("[A-Za-z0-9]"))).alias("words"))
+
+
+@query("join06_lexemes_left_files", f"{INDEX} SELECT idx.doc, min(f.path) AS path, count(*) AS n FROM idx LEFT JOIN files f ON f.source_file_id = idx.doc GROUP BY idx.doc")
+def join06(spark, root):
+    """Lexemes are counted before the join: one row a document meets its file."""
+    from codeweft.sources.views import files
+
+    counted = _documents(spark, root).groupBy("doc").agg(F.count("*").alias("n"))
+    named = files(spark, root).select(F.col("source_file_id").alias("doc"), "path")
+    return counted.join(named, "doc", "left").select("doc", "path", "n")
+
+
+@query("typ08_replaced_category", "SELECT binding_id, CASE WHEN artifact_id = 3 THEN upper(binding) ELSE binding END AS binding FROM bindings")
+def typ08(spark, root):
+    """Names of one artifact replaced, the others kept: what a partition overwrite leaves."""
+    names = bindings(spark, root)
+    kept = names.where("artifact_id <> 3").select("binding_id", "binding")
+    return kept.unionByName(names.where("artifact_id = 3").select("binding_id", F.upper("binding").alias("binding")))
+
+
+@query("sort07_merged_categories", "SELECT binding_id, artifact_id, row_number() OVER (ORDER BY length(binding), binding, artifact_id, binding_id) AS place FROM bindings WHERE include_in_type_search")
+def sort07(spark, root):
+    place = F.row_number().over(W.orderBy(F.length("binding"), "binding", "artifact_id", "binding_id"))
+    return bindings(spark, root).where("include_in_type_search").select("binding_id", "artifact_id", place.alias("place"))
+
+
+def vector_text(entries: list[tuple[str, list[int]]]) -> str:
+    """Lexemes with positions (from 1) in the text form of search vectors."""
+    quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "''") + "'"
+    return " ".join(f"{quote(w)}:{','.join(map(str, sorted(p)))}" for w, p in sorted(entries))
+
+
+def parse_vector(text: str) -> list[tuple[str, list[int]]]:
+    import re
+
+    found = re.findall(r"'((?:[^'\\]|''|\\.)*)'(?::([0-9A-D,]+))?", text)
+    plain = lambda s: re.sub(r"\\(.)|''", lambda m: m[1] or "'", s)
+    return [(plain(w), [int(re.sub("[A-D]", "", x)) for x in p.split(",")] if p else []) for w, p in found]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from codeweft.operators import intervals, paths, references, scalars, search, trees, versions  # noqa: F401
 from codeweft.plans.register import ORACLES, QUERIES
-from codeweft.sources import ingest  # noqa: F401
+from codeweft.sources import extract, ingest  # noqa: F401
 from codeweft.streaming import hits  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
