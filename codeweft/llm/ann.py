@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from codeweft.llm.common import cut
 
-SAMPLE, BLOCK, ASKED = 20_000, 2048, 512
+SAMPLE, BLOCK, ASKED = 20_000, 16_384, 512
 CODES, PART = 256, 4
 
 
