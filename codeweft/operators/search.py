@@ -357,10 +357,12 @@ def typ08(spark, root):
     return kept.unionByName(names.where("artifact_id = 3").select("binding_id", F.upper("binding").alias("binding")))
 
 
-@query("sort07_merged_categories", "SELECT binding_id, artifact_id, row_number() OVER (ORDER BY length(binding), binding, artifact_id, binding_id) AS place FROM bindings WHERE include_in_type_search")
+@query("sort07_merged_categories", "SELECT * FROM (SELECT binding_id, artifact_id, row_number() OVER (ORDER BY length(binding), binding, artifact_id, binding_id) AS place FROM bindings WHERE include_in_type_search) WHERE place <= 1000")
 def sort07(spark, root):
-    place = F.row_number().over(W.orderBy(F.length("binding"), "binding", "artifact_id", "binding_id"))
-    return bindings(spark, root).where("include_in_type_search").select("binding_id", "artifact_id", place.alias("place"))
+    """The first thousand of all categories in one order: each task keeps its own first thousand."""
+    order = [F.length("binding"), "binding", "artifact_id", "binding_id"]
+    top = bindings(spark, root).where("include_in_type_search").orderBy(*order).limit(1000)
+    return top.select("binding_id", "artifact_id", F.row_number().over(W.orderBy(*order)).alias("place"))
 
 
 def vector_text(entries: list[tuple[str, list[int]]]) -> str:

@@ -115,11 +115,10 @@ def tree06(spark, root):
     return at.join(other, "coordinate").where("artifact_id <> other").select("artifact_id", F.col("v").alias("version"))
 
 
-@query("sort09_topological_order", f"{WALK} SELECT id, row_number() OVER (ORDER BY depth, id) AS place FROM walk")
+@query("sort09_topological_order", f"{WALK} SELECT id, max(depth) AS rank FROM walk GROUP BY id")
 def sort09(spark, root):
-    """By the longest way from a root."""
-    depth = descend(_nodes(spark, root)).groupBy("id").agg(F.max("depth").alias("depth"))
-    return depth.select("id", F.row_number().over(W.orderBy("depth", "id")).alias("place"))
+    """The rank of each node is the longest way from a root: ordering by it puts parents first."""
+    return descend(_nodes(spark, root)).groupBy("id").agg(F.max("depth").alias("rank"))
 
 
 @query("sort04_display_order", "SELECT binding_id, row_number() OVER (PARTITION BY realm ORDER BY artifact_id, CASE WHEN source_file_id IS NULL THEN binding END NULLS LAST, source_file_id, binding_id) AS place FROM bindings")
