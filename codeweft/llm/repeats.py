@@ -29,6 +29,7 @@ from codeweft.llm.common import partitions
 
 BLOCKS_PER_PARTITION = 8
 SEGMENT = 1 << 22
+WAITING = 1 << 18
 OPEN, WHOLE, SPEAKER = 0, 1, 2
 ROW = "a long, c long, g int, many boolean"
 REPLY = "g int, kind int, a long, c long, data binary"
@@ -145,20 +146,44 @@ def reply(g: np.ndarray, kind: np.ndarray, a: np.ndarray, c: np.ndarray, data: l
 def judged_runs(batches: Iterator[pa.RecordBatch], hot: int, hot_bit: int) -> Iterator[pa.RecordBatch]:
     """What blocks learn of their runs (rows of ROW sorted by a, c, g).
 
-    kind is OPEN, WHOLE or SPEAKER; plus `hot_bit` where an anchor has over `hot` different runs.
+    kind is OPEN, WHOLE or SPEAKER; plus `hot_bit` where an anchor has over `hot` different runs. Rows
+    of an anchor wait for one another up to `WAITING`; beyond that they pass as hot ones, run by run.
     """
-    for table in groups(batches, ["a"]):
+    held: list[pa.Table] = []
+    waiting, passing, current = 0, False, None
+
+    def told(tables: list[pa.Table], passing: bool) -> pa.RecordBatch:
+        table = pa.concat_tables(tables)
         a, c, g = (table.column(x).to_numpy() for x in ("a", "c", "g"))
         many = table.column("many").to_numpy(zero_copy_only=False).astype(bool)
         anchor = np.concatenate([[0], np.cumsum(a[1:] != a[:-1])])
         content = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (c[1:] != c[:-1]))])
         first = np.concatenate([[True], content[1:] != content[:-1]])
-        rows = np.bincount(content)[content]
-        twice = (rows > 1) | np.bincount(content, many)[content].astype(bool)
+        twice = (np.bincount(content)[content] > 1) | np.bincount(content, many)[content].astype(bool)
         kinds = np.bincount(anchor, first)[anchor]
-        sent = (kinds > 1) | twice
-        kind = np.where(twice, np.where(first & (kinds > 1), SPEAKER, WHOLE), OPEN) + np.where(kinds > hot, hot_bit, 0)
-        yield reply(g[sent], kind[sent], a[sent], c[sent])
+        several, bit = (np.ones(len(a), bool), hot_bit) if passing else (kinds > 1, np.where(kinds > hot, hot_bit, 0))
+        sent = several | twice
+        kind = np.where(twice, np.where(first & several, SPEAKER, WHOLE), OPEN) + bit
+        return reply(g[sent], kind[sent], a[sent], c[sent])
+
+    for table in groups(batches, ["a", "c"]):  # whole runs: a row a block at most for each
+        a = table.column("a").to_numpy()
+        head = int(np.searchsorted(a, current, side="right")) if current is not None and a[0] == current else 0
+        if head:
+            held.append(table.slice(0, head))
+            waiting += head
+        if head < len(a):  # the anchor before is complete, and so are all here but the last
+            if held:
+                yield told(held, passing)
+            last = int(np.searchsorted(a, a[-1]))
+            if last > head:
+                yield told([table.slice(head, last - head)], False)
+            held, waiting, passing, current = [table.slice(last)], len(a) - last, False, a[-1]
+        if waiting > WAITING:
+            yield told(held, True)
+            held, waiting, passing = [], 0, True
+    if held:
+        yield told(held, passing)
 
 
 def judged_windows(table: pa.Table, kind: int) -> pa.RecordBatch:

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from codeweft.llm import bwt, doubling
+from codeweft.llm import bwt, doubling, repeats
 
 SCHEMA = "doc_id long, text string, clash string, n_words int"
 
@@ -48,8 +48,10 @@ def test_words(spark, seed, window):
     assert sorted((str(r.doc_id), *r[1:]) for r in got) == sorted(want)
 
 
-@pytest.mark.parametrize("seed, window, hot", [(1, 8, 1000), (2, 12, 1), (3, 20, 1000)])
-def test_bytes(spark, seed, window, hot):
+@pytest.mark.parametrize("seed, window, hot, waiting", [(1, 8, 1000, 1 << 18), (2, 12, 1, 1 << 18), (3, 20, 1000, 1 << 18), (4, 8, 1000, 3), (5, 12, 1000, 1)])
+def test_bytes(spark, monkeypatch, seed, window, hot, waiting):
+    """Hot anchors, by their runs or by the rows that wait, take the way of single windows."""
+    monkeypatch.setattr(repeats, "WAITING", waiting)
     rows = corpus(seed, "byte")
     raw = [(t or "").encode() for _, t, *_ in rows]
     want = []
@@ -67,6 +69,31 @@ def test_empty_table(spark):
     assert bwt.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("waiting", [1 << 18, 4, 1])
+def test_judged_runs_in_any_batches(monkeypatch, waiting):
+    """However rows are cut into batches, a run is told whole if it occurs twice and open if its anchor has others."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(repeats, "WAITING", waiting)
+    rng = np.random.default_rng(waiting)
+    for _ in range(60):
+        rows = sorted({(int(rng.integers(0, 4)), int(rng.integers(0, 4)), int(rng.integers(0, 9))) for _ in range(rng.integers(1, 40))})
+        many = [bool(rng.integers(0, 2)) for _ in rows]
+        batch = pa.RecordBatch.from_pydict({"a": [r[0] for r in rows], "c": [r[1] for r in rows], "g": [r[2] for r in rows], "many": many})
+        cuts = sorted({0, len(rows), *rng.integers(0, len(rows) + 1, 4).tolist()})
+        parts = [batch.slice(s, e - s) for s, e in zip(cuts, cuts[1:], strict=False)]
+        got = [row for b in repeats.judged_runs(iter(parts), 1000, 16) for row in b.to_pylist()]
+        size, twice = {}, {}
+        for (a, c, _), m in zip(rows, many, strict=True):
+            size.setdefault(a, set()).add(c)
+            twice[a, c] = twice.get((a, c), 0) + 1 + m
+        want = {(a, c, g): twice[a, c] > 1 for a, c, g in rows if len(size[a]) > 1 or twice[a, c] > 1}
+        assert {(r["a"], r["c"], r["g"]): (r["kind"] & 3) != repeats.OPEN for r in got} == want and len(got) == len(want)
+        for a, c in {k[:2] for k, whole in want.items() if whole and len(size[k[0]]) > 1}:
+            assert sum((r["kind"] & 3) == repeats.SPEAKER for r in got if (r["a"], r["c"]) == (a, c)) == 1
+        assert all(len({r["kind"] & 16 for r in got if r["a"] == a}) <= 1 for a in size)
+
+
 @pytest.mark.parametrize("window", [3, 8, 20])
 def test_index(window):
     rng = np.random.default_rng(window)
