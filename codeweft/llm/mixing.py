@@ -76,7 +76,8 @@ def mix(
     wanted = targets(light, weights, share, cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     wanted = wanted.withColumn("whole", F.floor(ratio)).withColumn("part", ratio - F.col("whole"))
-    wanted = wanted.withColumn("lack", F.col("target") - F.col("whole") * F.col("source_size"))
+    # A table, here and below: its true size decides whether it is broadcast, and documents stay where they are.
+    wanted = cut(wanted.withColumn("lack", F.col("target") - F.col("whole") * F.col("source_size")))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part")))
 
     # Names differ on the two sides: the source may be null, and the join must keep that row.
@@ -94,7 +95,7 @@ def mix(
         .groupBy(F.col("source").alias("of"))
         .agg(F.min("bin").alias("edge"), F.min_by(F.col("upto") - F.col("held"), F.col("bin")).alias("before"))
     )
-    placed = ranked.join(ends, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    placed = ranked.join(cut(ends), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     middle = F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("q", "key", "size")) - F.col("size") / 2
     at_edge = placed.where(F.col("bin") == F.col("edge")).withColumn("extra", (middle <= F.col("lack")).cast("long"))
     below = F.when(F.col("q").isNull(), F.lit(0)).when(F.col("edge").isNull() | (F.col("bin") < F.col("edge")), F.lit(1)).otherwise(F.lit(0))
