@@ -25,7 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
+        # A table, so that the edges of a hub can be split in the join.
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m")))
         large = edges.join(least, edges.v == least.x).select("u", F.col("m").alias("v"))  # u is the larger neighbour of v
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "x")
         linked = large.join(least, large.u == least.x)

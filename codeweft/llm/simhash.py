@@ -266,7 +266,8 @@ def near_duplicates(
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
     of = linked.join(least, "root").select("fp", "component")
     every = distinct.join(of.withColumnRenamed("fp", "node"), F.col("fp") == F.col("node"), "left")
-    every = every.select(F.col("fp").alias("node"), F.coalesce("component", "least").alias("component"))
+    # A table, so that a fingerprint of many documents can be split in the join.
+    every = cut(every.select(F.col("fp").alias("node"), F.coalesce("component", "least").alias("component")))
     return printed.join(every, printed.fp == every.node).select(F.col("key").alias(key), "fp", "component")
 
 
