@@ -97,11 +97,12 @@ def scan(
     if ledger is not None:
         known = ledger.where(F.col("rule_version") == version).select("blob", "findings")
         blobs = blobs.join(known.select("blob").distinct(), "blob", "left_anti")
-    fresh = blobs.select("blob", F.lit(version).alias("rule_version"), findings(F.col("body"), rules).alias("findings"))
+    # Written before it is joined: each blob is scanned once, and the true size of the hits decides their join.
+    fresh = cut(blobs.select("blob", F.lit(version).alias("rule_version"), findings(F.col("body"), rules).alias("findings")))
     every = fresh.select("blob", "findings")
     if known is not None:
         every = every.unionByName(known.dropDuplicates(["blob"]))
-    hits = every.where(F.size("findings") > 0)
+    hits = cut(every.where(F.size("findings") > 0))
     paths = versions.select(F.col(path), address.alias("blob"))
     found = paths.join(hits, "blob", "left").select(path, "blob", F.coalesce("findings", F.array().cast(FINDING)).alias("findings"))
     return found, fresh
