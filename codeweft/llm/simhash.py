@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from codeweft.llm.common import cut, partitions
 from codeweft.llm.graph import components
+from codeweft.llm.jaccard import least_of_each
 
 SEED = 42
 LEAF, FAN, TILE = 16, 16, 4096
@@ -173,18 +174,6 @@ def bands(bits: int, count: int) -> list[list[int]]:
     return [list(range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def sampled_masks(bits: int, documents: int, differing: float, missed: float = 0.05, seed: int = 11) -> list[list[int]]:
-    """Random bit subsets for distances too large for disjoint ones.
-
-    Each has as many bits as leave some 64 of `documents` in a top node; there are as many subsets as
-    make a pair with a share `differing` of differing bits agree in one of them but for `missed` cases.
-    """
-    width = int(np.clip(round(np.log2(max(2, documents))) - 6, 8, 30))
-    count = int(np.ceil(np.log(missed) / np.log1p(-((1 - differing) ** width))))
-    rng = np.random.default_rng(seed)
-    return [sorted(rng.choice(bits, width, replace=False).tolist()) for _ in range(count)]
-
-
 def edges(fps: DataFrame, most: int, masks: Masks, lanes: int = 1) -> DataFrame:
     """(a, b): the edges of a forest in every top node that joins what lies within `most` bits.
 
@@ -271,21 +260,14 @@ def near_duplicates(
     return printed.join(every, printed.fp == every.node).select(F.col("key").alias(key), "fp", "component")
 
 
-#: The stage on five-word shingles: 256 bits, of which documents of similarity 0.8 differ in some 15 %.
-STAGE = {"k": 5, "lanes": 4, "most": 44}
-DIFFERING = 0.145
-
-
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document (the least id) of each group of near copies, with the columns of docs.
 
-    Five-word shingles. Of a Jaccard similarity of 0.8 follows a cosine of 0.89 between the shingle
-    counts of two texts, and thus some 39 of 256 differing bits; up to `most` are linked.
+    Near copies have five-word shingle sets of a Jaccard similarity of 0.8 or more. At that distance
+    fingerprints decide nothing exactly, so the sets are joined and every link is verified.
     """
     names = docs.columns
     row = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__at": F.xxhash64("doc_id", "text")})
-    key = row.select(F.struct("__id", "__at").alias("__key"), "text")
-    masks = sampled_masks(64 * STAGE["lanes"], docs.count(), DIFFERING)
-    found = near_duplicates(key, key="__key", masks=masks, **STAGE)
-    keep = found.where(F.col("__key") == F.col("component")).select(F.col("__key.__id").alias("__id"), F.col("__key.__at").alias("__at")).distinct()
+    key = row.select(F.struct("__id", "__at").alias("key"), F.col("text").cast("string").alias("text"))
+    keep = least_of_each(key, 5).select("key.__id", "key.__at")
     return row.join(keep, ["__id", "__at"]).dropDuplicates(["__id", "__at"]).select(*names)
