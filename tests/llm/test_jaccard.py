@@ -37,13 +37,15 @@ def edited(rng, n, edits):
     return " ".join(base), " ".join(other)
 
 
-def test_every_pair_at_the_bound(spark):
+def test_every_pair_at_the_bound_and_none_below(spark):
     rng = np.random.default_rng(2)
     pairs = [edited(rng, n, e) for n in (94, 124, 184, 274, 404) for e in range(1, n // 15) for _ in range(2)]
     near = [s for a, b in pairs if 0.8 <= (s := similarity(a, b)) <= 0.85]
-    assert len(near) > 10 and 0.8 in near
+    below = [s for a, b in pairs if 0.7 <= (s := similarity(a, b)) < 0.8]
+    assert len(near) > 10 and len(below) > 10 and 0.8 in near
     texts = [t for p in pairs for t in p]
-    assert not {2 * i + 1 for i, (a, b) in enumerate(pairs) if similarity(a, b) >= 0.8} & set(kept(spark, texts))
+    want = sorted([*range(0, len(texts), 2), *[2 * i + 1 for i, (a, b) in enumerate(pairs) if similarity(a, b) < 0.8]])
+    assert kept(spark, texts) == want
 
 
 def test_short_texts_chains_and_a_common_passage(spark, monkeypatch):
@@ -57,3 +59,9 @@ def test_short_texts_chains_and_a_common_passage(spark, monkeypatch):
         chain.append([*chain[-1][: 10 * step + 9], f"x{step}", *chain[-1][10 * step + 10 :]])
     texts = ["", " ", *short, *common, *[" ".join(c) for c in chain]]
     assert kept(spark, texts) == brute(texts)
+
+
+def test_a_text_of_two_shingles_is_not_an_empty_one(spark):
+    """Few set bits are near to the fingerprint of an empty text, but the texts are not alike."""
+    six = next(t for i in range(100_000) if np.unpackbits(np.frombuffer(simhash.fingerprint(t := f"p{i} q r s t u", 5, 4), np.uint8)).sum() <= 44)
+    assert kept(spark, ["", six]) == [0, 1]
