@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codeweft.functions.porter import tokenize
 from codeweft.plans.register import query
-from codeweft.sources.tables import table
+from codeweft.sources.tables import reachable, table
 from codeweft.sources.views import artifacts
 
 ANNOTATION = "array<struct<start:int,length:int,kind:string,binding:string,parent:string,type:int,duplicate:boolean>>"
@@ -95,13 +95,7 @@ def in_place(stale_count: int, total: int) -> bool:
 
 def resolved(wanted: DataFrame, edges: DataFrame, missing: DataFrame) -> DataFrame:
     """Dependencies reachable from `wanted` (id) over edges (a, b), never through what is missing (id)."""
-    good = edges.join(missing.select(F.col("id").alias("b")), "b", "left_anti")
-    good.createOrReplaceTempView("__deps")
-    wanted.createOrReplaceTempView("__wanted")
-    return wanted.sparkSession.sql(
-        """WITH RECURSIVE reach(id, depth) AS (SELECT id, 0 FROM __wanted
-        UNION ALL SELECT d.b, r.depth + 1 FROM reach r JOIN __deps d ON d.a = r.id WHERE r.depth < 8) SELECT DISTINCT id FROM reach"""
-    )
+    return reachable(wanted, edges.join(missing.select(F.col("id").alias("b")), "b", "left_anti"))
 
 
 @query("src18_stale_artifacts", "SELECT artifact_id FROM artifacts WHERE NOT (40 + artifact_id % 5 >= 43)")

@@ -2,9 +2,31 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The table `name` under `root`; any path that Spark's readers can open will do."""
     return spark.read.parquet(f"{root}/{name}.parquet")
+
+
+def settled(frame: DataFrame) -> DataFrame:
+    """The frame as written to the checkpoint folder, so that it is computed once and its plan ends there."""
+    context = frame.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="codeweft-"))
+    return frame.checkpoint()
+
+
+def reachable(wanted: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id) of all that is reachable from `wanted` (id) over edges (a, b): new ids only, until there is none."""
+    edges = settled(edges.select("a", "b").distinct())
+    new = reached = settled(wanted.select("id").distinct())
+    while not new.isEmpty():
+        found = new.join(edges, new.id == edges.a).select(F.col("b").alias("id")).distinct()
+        new = settled(found.join(reached, "id", "left_anti"))
+        reached = settled(reached.unionByName(new))
+    return reached.distinct()

@@ -92,3 +92,9 @@ def test_shredded_rows(spark):
     normal, plain = (rows["lexeme"].where(f"set = '{s}'").orderBy("pos").collect() for s in ("normal", "no_symbols"))
     assert [r.lexeme for r in normal] == ["class", "b", "{", "}", "int", "x", ";"]
     assert [(r.pos, r.lexeme) for r in plain] == [(0, "class"), (1, "b"), (2, "int"), (3, "x")]
+
+
+def test_dependencies_up_to_the_fix_point(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(5, 2), (30, 99), (99, 100), (200, 201)], "a long, b long")
+    got = ingest.resolved(spark.createDataFrame([(0,), (0,)], "id long"), edges, spark.createDataFrame([(99,)], "id long")).collect()
+    assert sorted(r.id for r in got) == list(range(31))
