@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeweft.plans.register import query
-from codeweft.sources.tables import table
+from codeweft.sources.tables import reachable, settled, table
 from codeweft.sources.views import artifacts, bindings
 
 
@@ -132,15 +132,24 @@ OLDNEW = ", o AS (SELECT binding_id % 1000 AS k, min(modifiers) AS m, min(parent
 
 @query("diff04_declaration_diff", f"{OLDNEW} SELECT k, CASE WHEN s = 'UNCHANGED' AND EXISTS (SELECT 1 FROM own c WHERE c.p = own.k AND c.s <> 'UNCHANGED') THEN 'CHANGED_INTERNALLY' ELSE s END AS status FROM own")
 def diff04(spark, root):
-    """Two versions of a declaration level; an unchanged parent of changed children changed internally."""
+    """Two versions of declarations; what is unchanged above a change, at any distance, changed internally."""
     b = bindings(spark, root)
     side = lambda f, k, x: f.groupBy(k.alias("k")).agg(F.min("modifiers").alias(f"m{x}"), F.min(F.col("parent") % 1000).alias(f"p{x}"))
     old = side(b.where("realm = 0"), F.col("binding_id") % 1000, 0).withColumn("in0", F.lit(True))
     new = side(b.where("realm = 1"), F.floor(F.col("binding_id") / 2) % 1000, 1).withColumn("in1", F.lit(True))
     status = F.when(F.col("in0").isNull(), "INSERTION").when(F.col("in1").isNull(), "DELETION").when(F.col("m0") == F.col("m1"), "UNCHANGED").otherwise("CHANGED")
     own = old.join(new, "k", "full").select("k", F.coalesce("p1", "p0").alias("p"), status.alias("s"))
-    changed = own.where("s <> 'UNCHANGED' and p is not null").select(F.col("p").alias("k"), F.lit(True).alias("below")).distinct()
-    return own.join(changed, "k", "left").select("k", F.when((F.col("s") == "UNCHANGED") & F.col("below"), "CHANGED_INTERNALLY").otherwise(F.col("s")).alias("status"))
+    return changed_inside(own)
+
+
+def changed_inside(own: DataFrame) -> DataFrame:
+    """(k, status) of nodes (k, parent p, own status s): changes rise through unchanged parents to the fix-point."""
+    own = settled(own)
+    parents = own.where("s = 'UNCHANGED'").select(F.col("k").alias("b"))
+    changed = own.where("s <> 'UNCHANGED'").select(F.col("k").alias("id"))
+    above = reachable(changed, own.select(F.col("k").alias("a"), F.col("p").alias("b")).join(parents, "b", "left_semi"))
+    marked = above.select(F.col("id").alias("k"), F.lit(True).alias("below"))
+    return own.join(marked, "k", "left").select("k", F.when((F.col("s") == "UNCHANGED") & F.col("below"), "CHANGED_INTERNALLY").otherwise(F.col("s")).alias("status"))
 
 
 @query("diff02_ordered_package_diff", ", o AS (SELECT DISTINCT lower(binding) AS k FROM bindings WHERE realm = 0), n AS (SELECT DISTINCT lower(binding) AS k FROM bindings WHERE realm = 1) SELECT coalesce(o.k, n.k) AS k, CASE WHEN o.k IS NULL THEN 'INSERTION' WHEN n.k IS NULL THEN 'DELETION' ELSE 'UNCHANGED' END AS status FROM o FULL JOIN n ON o.k = n.k")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -30,3 +31,15 @@ def reachable(wanted: DataFrame, edges: DataFrame) -> DataFrame:
         new = settled(found.join(reached, "id", "left_anti"))
         reached = settled(reached.unionByName(new))
     return reached.distinct()
+
+
+def placed(rows: DataFrame, order: list) -> DataFrame:
+    """All rows with their `place` in the order, from 1: ranges are numbered apart, after the rows of those before."""
+    parts = settled(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    before, seen = [], 0
+    for part, count in sorted(tuple(r) for r in parts.groupBy("__part").count().collect()):  # a row a partition
+        before.append((part, seen))
+        seen += count
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(before, "__part int, __before long"))
+    within = F.row_number().over(W.partitionBy("__part").orderBy(*order))
+    return parts.join(offsets, "__part").withColumn("place", within + F.col("__before")).drop("__part", "__before")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeweft.operators import intervals as I
 from codeweft.operators import paths as P
+from codeweft.operators import trees
 from codeweft.operators import versions as V
 from codeweft.sources import ingest
 from codeweft.streaming import hits
@@ -98,3 +99,10 @@ def test_dependencies_up_to_the_fix_point(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(5, 2), (30, 99), (99, 100), (200, 201)], "a long, b long")
     got = ingest.resolved(spark.createDataFrame([(0,), (0,)], "id long"), edges, spark.createDataFrame([(99,)], "id long")).collect()
     assert sorted(r.id for r in got) == list(range(31))
+
+
+def test_changes_rise_to_the_root(spark):
+    rows = [(1, None, "UNCHANGED"), (2, 1, "UNCHANGED"), (3, 2, "UNCHANGED"), (4, 3, "CHANGED"), (5, 1, "UNCHANGED"), (6, None, "UNCHANGED"), (7, 6, "INSERTION"), (8, 7, "DELETION")]
+    got = {r.k: r.status for r in trees.changed_inside(spark.createDataFrame(rows, "k long, p long, s string")).collect()}
+    inside = {k for k, s in got.items() if s == "CHANGED_INTERNALLY"}
+    assert inside == {1, 2, 3, 6} and (got[4], got[5], got[7], got[8]) == ("CHANGED", "UNCHANGED", "INSERTION", "DELETION")
