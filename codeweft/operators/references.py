@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeweft.plans.register import query
+from codeweft.sources.tables import placed
 from codeweft.sources.views import artifacts, bindings, files, references
 
 FILE = ["realm", "artifact_id", "source_file_id"]
@@ -67,8 +68,7 @@ def sort01(spark, root):
 @query("sort02_own_artifact_first", "SELECT * FROM (SELECT type, source_artifact_id, source_file_id, ref_id, target, row_number() OVER (ORDER BY type, source_artifact_id <> 3, source_artifact_id, source_file_id, ref_id, target, line) AS place FROM refs) WHERE place <= 500")
 def sort02(spark, root):
     order = ["type", F.col("source_artifact_id") != 3, "source_artifact_id", "source_file_id", "ref_id", "target", "line"]
-    top = references(spark, root).orderBy(*order).limit(500)
-    return top.select("type", "source_artifact_id", "source_file_id", "ref_id", "target", F.row_number().over(W.orderBy(*order)).alias("place"))
+    return placed(references(spark, root), order).select("type", "source_artifact_id", "source_file_id", "ref_id", "target", "place")
 
 
 @query("join02_bindings_with_files", "SELECT b.binding, f.path FROM bindings b JOIN files f USING (realm, artifact_id, source_file_id) WHERE b.include_in_type_search")

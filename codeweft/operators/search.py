@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from codeweft.functions.porter import tokenize
 from codeweft.plans.register import query
-from codeweft.sources.tables import table
+from codeweft.sources.tables import placed, table
 from codeweft.sources.views import artifacts, bindings
 
 
@@ -359,10 +359,10 @@ def typ08(spark, root):
 
 @query("sort07_merged_categories", "SELECT * FROM (SELECT binding_id, artifact_id, row_number() OVER (ORDER BY length(binding), binding, artifact_id, binding_id) AS place FROM bindings WHERE include_in_type_search) WHERE place <= 1000")
 def sort07(spark, root):
-    """The first thousand of all categories in one order: each task keeps its own first thousand."""
+    """All categories in one order, without a task that holds them all."""
     order = [F.length("binding"), "binding", "artifact_id", "binding_id"]
-    top = bindings(spark, root).where("include_in_type_search").orderBy(*order).limit(1000)
-    return top.select("binding_id", "artifact_id", F.row_number().over(W.orderBy(*order)).alias("place"))
+    names = bindings(spark, root).where("include_in_type_search").select("binding_id", "artifact_id", "binding")
+    return placed(names, order).select("binding_id", "artifact_id", "place")
 
 
 def vector_text(entries: list[tuple[str, list[int]]]) -> str:

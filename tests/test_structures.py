@@ -106,3 +106,26 @@ def test_changes_rise_to_the_root(spark):
     got = {r.k: r.status for r in trees.changed_inside(spark.createDataFrame(rows, "k long, p long, s string")).collect()}
     inside = {k for k, s in got.items() if s == "CHANGED_INTERNALLY"}
     assert inside == {1, 2, 3, 6} and (got[4], got[5], got[7], got[8]) == ("CHANGED", "UNCHANGED", "INSERTION", "DELETION")
+
+
+WHOLE = {
+    "sort07_merged_categories": "SELECT binding_id, artifact_id, row_number() OVER (ORDER BY length(binding), binding, artifact_id, binding_id) AS place FROM bindings WHERE include_in_type_search",
+    "sort02_own_artifact_first": "SELECT type, source_artifact_id, source_file_id, ref_id, target, row_number() OVER (ORDER BY type, source_artifact_id <> 3, source_artifact_id, source_file_id, ref_id, target, line) AS place FROM refs",
+}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_all_places(name, spark, same):
+    """At sf0.01, where there are more rows than the twins' limits."""
+    import glob
+    import os
+
+    import duckdb
+
+    from codeweft.plans.registry import ORACLES, QUERIES
+
+    root, con = "/root/testdata/sf0.01", duckdb.connect()
+    for path in glob.glob(f"{root}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    views = ORACLES[name][: ORACLES[name].index("SELECT * FROM (SELECT")]
+    same(QUERIES[name](spark, root), con, views + WHOLE[name])
