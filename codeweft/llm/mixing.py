@@ -96,7 +96,7 @@ def mix(
         .agg(F.min("bin").alias("edge"), F.min_by(F.col("upto") - F.col("held"), F.col("bin")).alias("before"))
     )
     placed = ranked.join(cut(ends), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
-    middle = F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("q", "key", "size")) - F.col("size") / 2
+    middle = F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("q", "key", "size").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size") / 2
     at_edge = placed.where(F.col("bin") == F.col("edge")).withColumn("extra", (middle <= F.col("lack")).cast("long"))
     below = F.when(F.col("q").isNull(), F.lit(0)).when(F.col("edge").isNull() | (F.col("bin") < F.col("edge")), F.lit(1)).otherwise(F.lit(0))
     others = placed.where(F.coalesce(F.col("bin") != F.col("edge"), F.lit(True))).withColumn("extra", below.cast("long"))
@@ -109,5 +109,10 @@ def mix(
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes, with their columns and how many copies of each."""
     row = docs.withColumn("__key", F.concat_ws(":", "doc_id", F.xxhash64("doc_id", "text")))
-    taken = mix(row, key="__key").where("copies > 0").groupBy("__key").agg(F.max("copies").alias("copies"))
-    return row.join(taken, "__key").select(*docs.columns, "copies")
+    # Repeated rows may be taken in part: they are numbered on both sides.
+    same = W.partitionBy("__key", "source")
+    taken = mix(row, key="__key").select(F.col("__key").alias("k"), F.col("source").alias("of"), "copies")
+    taken = taken.withColumn("i", F.row_number().over(W.partitionBy("k", "of").orderBy(F.desc("copies")))).where("copies > 0")
+    row = row.withColumn("__i", F.row_number().over(same.orderBy("__key")))
+    on = (F.col("__key") == F.col("k")) & F.col("source").eqNullSafe(F.col("of")) & (F.col("__i") == F.col("i"))
+    return row.join(taken, on).select(*docs.columns, "copies")

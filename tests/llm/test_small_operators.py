@@ -142,6 +142,18 @@ def test_mixing(spark):
     assert mixing.mix(docs.where("size < 0 or text is null")).first().taken == 0
 
 
+def test_mixing_takes_repeated_rows_one_by_one(spark):
+    rows = [(7, "a b", "s")] * 500 + [(None, "c d", "s")] * 500 + [(i, "e f", "t") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, weights=(2, 3), share=0.7).collect()
+    for s in "st":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 1
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(5), weights=(2, 3), share=0.7).collect()))
+    whole = mixing.mix(docs).groupBy().sum("copies").first()[0]
+    assert mixing.mixed(docs).groupBy().sum("copies").first()[0] == whole
+
+
 def slow_clean(docs, items, size):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     windows = {}
