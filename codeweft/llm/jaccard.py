@@ -1,18 +1,23 @@
-"""Groups of texts whose shingle sets have a Jaccard similarity of at least 0.8: a complete set join.
+"""Groups of texts whose shingle sets have a Jaccard similarity of at least 0.8, all of them.
 
 Sets. Words of the whole text (ASCII lower case) make k-word shingles; a text with fewer than k words
 is one shingle. A set holds the XXH64 of its shingles. Equal sets are folded first, and the empty set
 (a text without words) is a class of its own.
 
-Candidates. Shingles have one order for all documents. Sets of n and m shingles reach 0.8 only if
-9 * shared >= 4 * (n + m), so both have a shingle in common among their first n // 5 + 1 (prefix
-filter); the places of the first such shingle bound what can be shared behind it (positional filter).
-No such pair is missed, whatever the order and however many documents there are. Shingles that a
-sample of the documents repeats come last, which only spares candidates.
+First links. A 64-bit SimHash of each set goes through the Gray-order index of `simhash`; sets whose
+fingerprints are equal or differ in `NEAR` bits at most are tested. That finds close copies and keeps
+large groups of them from being compared pair by pair, but misses others near the bound.
 
-Links. Every link is verified by the true Jaccard similarity, in whole numbers. Members of a shared
-shingle are first compared with one leader, round by round while that pays, so that a large group of
-near copies costs a row a member; all pairs of different components that remain are then compared.
+All links. Sets of n and m shingles reach 0.8 only if 9 * shared >= 4 * (n + m), so both have a
+shingle in common among their first n // 5 + 1 in any order that all documents share (prefix filter);
+the places of the first such shingle bound what can be shared behind it (positional filter). Rare
+shingles come first here: of those whose hash is in the lower `COUNTED` of its range the number of
+sets that have them is counted over all sets, the others follow by hash. Shingles of one set alone
+lead to no pair and are dropped. No pair is missed, whatever the order and the number of documents.
+
+Every link is verified by the true Jaccard similarity, in whole numbers. Members of a shared shingle
+are first compared with one leader, round by round while that pays, so that a large group of near
+copies costs a row a member; all pairs of different components that remain are then compared.
 """
 
 from __future__ import annotations
@@ -24,15 +29,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeweft.llm.common import cut
 from codeweft.llm.graph import components
+from codeweft.llm.simhash import bands, edges
 
 SEED = 42
-#: For the order of shingles alone: documents in the sample, repeats that count, shingles a broadcast.
-SAMPLE, REPEATS, COMMON = 20_000, 3, 100_000
-ROUNDS = 8
+NEAR, COUNTED, ROUNDS = 3, 0.35, 8
+#: The largest hash that is counted, as the signed number that Spark compares.
+LAST = int(COUNTED * (1 << 64)) - (1 << 63)
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -55,58 +62,71 @@ def alike(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _folded(rows: DataFrame, k: int) -> DataFrame:
-    """(key, text, print): print is 128 bits of the set, empty for the empty set."""
+    """(key, row, print, fp): 128 bits of the set, empty for the empty set, and its SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [xxhash.xxh3_128_digest(s.tobytes()) if len(s := shingles(t, k)) else b"" for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["key", "text", "print"])
-
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, text string, print binary")
+            sets = [shingles(t, k) for t in batch.column(2).to_pylist()]
+            prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"" for s in sets]
+            made = [pa.array(prints, pa.binary()), pa.array([voted(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["key", "row", "print", "fp"])
 
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("key", "row")]
+    return rows.mapInArrow(run, ", ".join([*kinds, "print binary, fp binary"]))
 
-def _common(texts: DataFrame, k: int) -> np.ndarray:
-    """(hash, count) of the shingles that a sample repeats, by hash."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t, k).view(np.int64) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], names=["h"])
+def voted(hashes: np.ndarray) -> bytes:
+    """The SimHash of a set: bits that over half of its hashes set."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        votes += np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(votes * 2 > len(hashes)).tobytes()
 
-    total = texts.count()
-    some = texts.select("text").sample(min(1.0, SAMPLE / max(1, total)), 7)
-    counts = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= REPEATS)
-    found = counts.orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
-    out = np.stack([found.column(c).to_numpy().astype(np.int64) for c in ("h", "count")], axis=1)
-    return out[np.argsort(out[:, 0].astype(np.uint64))]
 
+def _tokens(texts: DataFrame, k: int, counts: bool) -> DataFrame:
+    """(token, node, size) of the shingles that are counted or in a prefix by hash; or (token, c) a batch.
 
-def _prefixes(texts: DataFrame, k: int, common: np.ndarray) -> DataFrame:
-    """(token, node, n, at): the first n // 5 + 1 shingles of each set of n, and their places."""
-    sent = texts.sparkSession.sparkContext.broadcast((np.ascontiguousarray(common[:, 0]).view(np.uint64), common[:, 1].copy()))
+    Tokens keep the order of the hashes; size is n and how many of the n are counted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, many = sent.value
         for batch in batches:
-            token, node, size, place = [], [], [], []
+            token, node, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = shingles(t, k)
-                n = len(own)
-                if not n:
-                    continue
-                weight = np.zeros(n, np.int64)
-                if len(known):
-                    spot = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    weight = np.where(known[spot] == own, many[spot], 0)
-                first = own[np.lexsort([own, weight])][: n // 5 + 1]
-                token.append(first.view(np.int64))
-                node.append(np.full(len(first), i))
-                size.append(np.full(len(first), n, np.int32))
-                place.append(np.arange(len(first), dtype=np.int32))
-            if token:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (token, node, size, place)], names=["token", "node", "n", "at"])
-
-    return texts.select("node", "text").mapInArrow(run, "token long, node long, n int, at int")
+                own = (shingles(t, k) ^ np.uint64(1 << 63)).view(np.int64)
+                low = int(np.searchsorted(own, LAST, side="right"))
+                first = own[: max(low, len(own) // 5 + 1)]
+                token.append(first)
+                if not counts:
+                    node.append(np.full(len(first), i))
+                    size.append(np.full(len(first), len(own) << 32 | low))
+            if counts:
+                made = np.unique(np.concatenate(token), return_counts=True)
+            else:
+                made = [np.concatenate(c) for c in (token, node, size)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=["token", "c"] if counts else ["token", "node", "size"])
+
+    return texts.select("node", "text").mapInArrow(run, "token long, c long" if counts else "token long, node long, size long")
+
+
+def _prefixes(texts: DataFrame, k: int) -> DataFrame:
+    """(token, node, n, at): of the first n // 5 + 1 shingles of each set, rare ones first, those that others have, with their places."""
+    # Combined map-side, then a table: its true size decides the join, and hot shingles can be split there.
+    shared = cut(_tokens(texts, k, True).groupBy("token").agg(F.sum("c").alias("c")).where("c > 1"))
+    every = cut(_tokens(texts, k, False).join(shared, "token"))
+    low = F.col("token") <= LAST
+    own = W.partitionBy("node")
+    every = every.withColumns(
+        {
+            "lows": F.count_if(low).over(own),
+            "place": F.row_number().over(own.orderBy(~low, F.when(low, F.col("c")), "token")),
+            "n": F.shiftright("size", 32).cast("int"),
+            "counted": F.col("size").bitwiseAND((1 << 32) - 1),
+        }
+    )
+    # Shingles of one set alone come first among the counted; behind them the place is a lower bound.
+    at = F.when(low, F.col("counted") - F.col("lows") + F.col("place") - 1).otherwise(F.col("counted") + F.col("place") - F.col("lows") - 1)
+    return every.select("token", "node", "n", at.cast("int").alias("at")).where(F.col("at") <= F.floor(F.col("n") / 5))
 
 
 def _fits(n: str, at: str, m: str, to: str):
@@ -131,45 +151,70 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
 def _links(texts: DataFrame, k: int) -> DataFrame:
     """(node, root) of all nodes that are linked to another."""
-    every = cut(_prefixes(texts, k, _common(texts, k)))
-    shared = every.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    held = cut(every.join(shared, "token", "left_semi").withColumn("root", F.col("node")))
-    near = cut(texts.select("node", "text").join(held.select("node").distinct(), "node", "left_semi"))
     tested = roots = None
 
     def tried(pairs: DataFrame) -> tuple[int, int]:
         """Tests what was not yet tested; how many pairs, and how many of them are links."""
-        nonlocal tested, roots, held
+        nonlocal tested, roots
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         found = cut(_verified(cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")), near, k))
         count, new = found.agg(F.count("*"), F.count_if("ok")).first()
         tested = found if tested is None else tested.unionByName(found)
         if new:
             roots = cut(components(tested.where("ok").select("a", "b")))
-            named = roots.select("node", F.col("root").alias("r"))
-            held = cut(held.join(named, "node", "left").select("token", "node", "n", "at", F.coalesce("r", "root").alias("root")))
         return count, new
 
-    def still_open() -> DataFrame:
-        return held.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-
+    def rooted(rows: DataFrame) -> DataFrame:
+        """With the root of each node as it is now known."""
+        if roots is None:
+            return rows.withColumn("root", F.col("node"))
+        named = roots.select(F.col("node").alias("x"), F.col("root").alias("r"))
+        return rows.join(named, F.col("node") == F.col("x"), "left").withColumn("root", F.coalesce("r", "node")).drop("x", "r")
+
+    def still_open(rows: DataFrame) -> DataFrame:
+        """Without the tokens whose nodes are all in one component."""
+        mixed = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+        return rows.join(mixed, "token", "left_semi")
+
+    worded = texts.where("print != X''").select("node", "fp")
+    one = cut(worded.groupBy("fp").agg(F.min("node").alias("other")))
+    close = edges(one.select("fp"), NEAR, bands(64, NEAR + 1))
+    ends = [one.select(F.col("fp").alias(c), F.col("other").alias(n)) for c, n in (("a", "node"), ("b", "other"))]
+    close = close.join(ends[0], "a").join(ends[1], "b").select("node", "other")
+    close = cut(close.unionByName(worded.join(one, "fp").where("node != other").select("node", "other")))
+    prefixes = cut(_prefixes(texts, k))
+    nodes = prefixes.select("node").unionByName(close.select("node")).unionByName(close.select(F.col("other").alias("node"))).distinct()
+    near = cut(texts.select("node", "text").join(cut(nodes), "node", "left_semi"))
+    tried(close)
+    held = cut(still_open(rooted(prefixes)))
     for number in range(ROUNDS):
-        held = cut(held.join(still_open(), "token", "left_semi")) if number else held
         leader = F.min(F.struct(F.xxhash64("node", F.lit(number)).alias("h"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("root").alias("its")))
         lead = cut(held.groupBy("token").agg(leader.alias("l")).select("token", "l.other", "l.m", "l.to", "l.its"))
         count, new = tried(held.join(lead, "token").where((F.col("root") != F.col("its")) & _fits("n", "at", "m", "to")))
+        if new:
+            held = cut(still_open(rooted(held.drop("root"))))
         if new * 10 < count or not new:  # leaders no longer pay
             break
-    held = cut(held.join(still_open(), "token", "left_semi"))
     other = held.select("token", F.col("node").alias("other"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("root").alias("its"))
     tried(held.join(other, "token").where((F.col("node") < F.col("other")) & (F.col("root") != F.col("its")) & _fits("n", "at", "m", "to")))
     return roots if roots is not None else texts.sparkSession.createDataFrame([], "node long, root long")
 
 
-def least_of_each(rows: DataFrame, k: int) -> DataFrame:
-    """(key): the least key of each group of `rows` (key, text) that links join, directly or not."""
-    folded = _folded(rows, k).groupBy("print").agg(F.min(F.struct("key", "text")).alias("one"))
-    texts = cut(folded.select(F.monotonically_increasing_id().alias("node"), "one.key", "one.text"))
-    roots = _links(texts, k)
-    joined = texts.select("node", "key").join(roots, "node", "left")
-    return joined.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("key").alias("key")).select("key")
+def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 5) -> DataFrame:
+    """One row of docs (of the least key, null before all) for each group that links join, directly or not.
+
+    Rows equal in key and text are one document: any one of them stays. Input columns of any name are
+    kept as they are. Whole rows are shuffled once, to fold equal sets; what goes is a list of numbers.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    inner = docs.toDF(*names)
+    body = F.col(names[docs.columns.index(text)]).cast("string")
+    id_ = F.col(names[docs.columns.index(key)])
+    rows = inner.select(F.struct(id_.isNotNull().alias("some"), id_.alias("id"), F.xxhash64(body).alias("at")).alias("key"), F.struct(*names).alias("row"), body.alias("text"))
+    folded = _folded(rows, k).groupBy("print", "fp").agg(F.min("key").alias("key"), F.min_by("row", "key").alias("row"))
+    whole = cut(folded.select(F.monotonically_increasing_id().alias("node"), "key", "print", "fp", "row"))
+    texts = whole.select("node", "print", "fp", F.col(f"row.{names[docs.columns.index(text)]}").cast("string").alias("text"))
+    linked = _links(texts, k).join(whole.select("node", "key"), "node")
+    first = linked.groupBy("root").agg(F.min_by("node", "key").alias("first"))
+    gone = cut(linked.join(first, "root").where("node != first").select("node"))  # its true size decides the join
+    return whole.join(gone, "node", "left_anti").select("row.*").toDF(*docs.columns)

@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 
 from codeweft.llm.common import cut, partitions
 from codeweft.llm.graph import components
-from codeweft.llm.jaccard import least_of_each
 
 SEED = 42
 LEAF, FAN, TILE = 16, 16, 4096
@@ -261,13 +260,7 @@ def near_duplicates(
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document (the least id) of each group of near copies, with the columns of docs.
+    """One document of each group of near copies: links that fingerprints show, then all others (see `jaccard`)."""
+    from codeweft.llm import jaccard
 
-    Near copies have five-word shingle sets of a Jaccard similarity of 0.8 or more. At that distance
-    fingerprints decide nothing exactly, so the sets are joined and every link is verified.
-    """
-    names = docs.columns
-    row = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__at": F.xxhash64("doc_id", "text")})
-    key = row.select(F.struct("__id", "__at").alias("key"), F.col("text").cast("string").alias("text"))
-    keep = least_of_each(key, 5).select("key.__id", "key.__at")
-    return row.join(keep, ["__id", "__at"]).dropDuplicates(["__id", "__at"]).select(*names)
+    return jaccard.one_of_each(docs)

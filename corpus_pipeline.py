@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeweft.llm import decontaminate, mixing, quality, secrets, simhash
+from codeweft.llm import decontaminate, jaccard, mixing, quality, secrets
 from codeweft.llm.common import cut, table
 
 
@@ -18,8 +18,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies stays: SimHash links first, then all links at 0.8."""
+    return jaccard.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

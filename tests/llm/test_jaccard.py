@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from codeweft.llm import jaccard, simhash
+from codeweft.llm import simhash
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -48,8 +48,7 @@ def test_every_pair_at_the_bound_and_none_below(spark):
     assert kept(spark, texts) == want
 
 
-def test_short_texts_chains_and_a_common_passage(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "REPEATS", 2)
+def test_short_texts_chains_and_a_common_passage(spark):
     rng = np.random.default_rng(3)
     line = " ".join(f"c{i}" for i in range(12))
     short = [" ".join(rng.choice(list("abc"), n)) for n in rng.integers(1, 14, 40)]
@@ -65,3 +64,30 @@ def test_a_text_of_two_shingles_is_not_an_empty_one(spark):
     """Few set bits are near to the fingerprint of an empty text, but the texts are not alike."""
     six = next(t for i in range(100_000) if np.unpackbits(np.frombuffer(simhash.fingerprint(t := f"p{i} q r s t u", 5, 4), np.uint8)).sum() <= 44)
     assert kept(spark, ["", six]) == [0, 1]
+
+
+def test_groups_of_near_copies_and_columns_of_any_name(spark):
+    """Random groups around a base, at distances on both sides of the bound; columns clash with those inside."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for n in (9, 30, 60, 200):
+        base = [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+        for _ in range(25):
+            one = list(base)
+            for at in rng.integers(0, n, rng.integers(0, 1 + n // 25)):
+                one[at] = f"v{rng.integers(0, 1 << 40)}"
+            texts.append(" ".join(one))
+    rows = [(i, t, i * 2, i * 3, "x") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node long, row long, key string")
+    found = simhash.one_of_each(docs)
+    assert found.columns == docs.columns
+    got = sorted(found.collect())
+    assert [r.doc_id for r in got] == brute(texts)
+    assert all(r.node == r.doc_id * 2 and r.row == r.doc_id * 3 for r in got)
+
+
+def test_empty_table_and_nulls(spark):
+    assert simhash.one_of_each(spark.createDataFrame([], COLUMNS)).count() == 0
+    rows = [(None, None, None, None, None), (1, None, "en", "s", 0), (2, "a b c d e f", "en", "s", 11), (None, "a b c d e f", "en", "s", 11), (2, "a b c d e f", "en", "s", 11)]
+    kept_ = simhash.one_of_each(spark.createDataFrame(rows, COLUMNS)).collect()
+    assert sorted((r.doc_id is None, r.text or "") for r in kept_) == [(True, ""), (True, "a b c d e f")]
