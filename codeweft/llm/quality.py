@@ -188,15 +188,25 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id") -> list[di
 
     body = docs.select(F.col(key).cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
     some = sampled(known, LABELLED)  # bounded: small enough for Spark to broadcast by its own size check
-    rows = _featured(body.join(some, "id"), ["id", "low", "toxic"]).collect()
-    rows.sort(key=lambda r: (r.id, len(r.words), list(r.meta)))
-    if not rows:
+    rows, words, meta = _gathered(_featured(body.join(some, "id"), ["id", "low", "toxic"]))
+    if not len(words):
         return [{"constant": True} for _ in HEADS]
-    pool = _featured(sampled(body.where(F.col("id").isNotNull()), POOL).join(known.select("id"), "id", "left_anti"), ["id"]).collect()
-    pool.sort(key=lambda r: (r.id, len(r.words), list(r.meta)))
-    words, meta = [np.array(r.words, np.int64) for r in rows], np.array([r.meta for r in rows], np.float32)
-    pool_words, pool_meta = [np.array(r.words, np.int64) for r in pool], np.array([r.meta for r in pool], np.float32).reshape(len(pool), META)
-    return [cotrain(words, meta, np.array([r[h] for r in rows], np.int64), pool_words, pool_meta) for h in HEADS]
+    _, pool_words, pool_meta = _gathered(_featured(sampled(body.where(F.col("id").isNotNull()), POOL).join(known.select("id"), "id", "left_anti"), ["id"]))
+    return [cotrain(words, meta, rows.column(h).to_numpy().astype(np.int64), pool_words, pool_meta) for h in HEADS]
+
+
+def _gathered(featured: DataFrame) -> tuple[pa.Table, list[np.ndarray], np.ndarray]:
+    """The rows of a bounded sample in a fixed order: as Arrow, their words, their metadata."""
+    found = featured.toArrow().combine_chunks()
+    if not found.num_rows:
+        return found, [], np.zeros((0, META), np.float32)
+    lists = found.column("words").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    flat, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
+    meta = pa.concat_arrays([c.flatten() for c in found.column("meta").chunks]).to_numpy().reshape(-1, META)
+    ids = found.column("id").to_numpy()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], cuts[i + 1] - cuts[i], meta[i].tobytes()))
+    return found.select([c for c in found.column_names if c not in ("words", "meta")]).take(order), [flat[cuts[i] : cuts[i + 1]] for i in order], meta[order]
 
 
 def _judged(docs: DataFrame, models: list[dict], columns: list[str]) -> DataFrame:
