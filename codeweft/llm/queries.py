@@ -37,7 +37,10 @@ def op3_chat_format(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, root: str) -> DataFrame:
-    found, _ = secrets.scan(table(spark, root, "documents"))
+    docs = table(spark, root, "documents")
+    # Two commits: what the second has in common with the first is not scanned again.
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    found, _ = secrets.scan_history([docs.where(part == i) for i in range(2)])
     kinds = F.col("findings.kind")
     count = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{rule.kind}") for i, rule in enumerate(secrets.RULES)]
     spans = secrets.written(F.col("findings"))
