@@ -17,13 +17,16 @@ lead to no pair and are dropped. No pair is missed, whatever the order and the n
 
 Every link is verified by the true Jaccard similarity, in whole numbers. Members of a shared shingle
 are first compared with one leader, round by round while that pays, so that a large group of near
-copies costs a row a member; all pairs of different components that remain are then compared.
+copies costs a row a member; all pairs of different components that remain are then compared, but
+for those whose parity sketches (bits that an odd number of a set's shingles fall on) already differ
+in more bits than the sets may differ in shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +40,9 @@ from codeweft.llm.graph import components
 from codeweft.llm.simhash import bands, edges
 
 SEED = 42
-NEAR, COUNTED, ROUNDS = 3, 0.35, 8
-#: The largest hash that is counted, as the signed number that Spark compares.
+NEAR, COUNTED, ROUNDS, PARTS = 3, 0.35, 4, 16
+#: The largest hash of all and the largest that is counted first, as the signed numbers that Spark compares.
+ALL = (1 << 63) - 1
 LAST = int(COUNTED * (1 << 64)) - (1 << 63)
 
 
@@ -83,7 +87,7 @@ def voted(hashes: np.ndarray) -> bytes:
     return np.packbits(votes * 2 > len(hashes)).tobytes()
 
 
-def _tokens(texts: DataFrame, k: int, counts: bool) -> DataFrame:
+def _tokens(texts: DataFrame, k: int, last: int, counts: bool) -> DataFrame:
     """(token, node, size) of the shingles that are counted or in a prefix by hash; or (token, c) a batch.
 
     Tokens keep the order of the hashes; size is n and how many of the n are counted.
@@ -94,7 +98,7 @@ def _tokens(texts: DataFrame, k: int, counts: bool) -> DataFrame:
             token, node, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = (shingles(t, k) ^ np.uint64(1 << 63)).view(np.int64)
-                low = int(np.searchsorted(own, LAST, side="right"))
+                low = int(np.searchsorted(own, last, side="right"))
                 first = own[: max(low, len(own) // 5 + 1)]
                 token.append(first)
                 if not counts:
@@ -109,12 +113,12 @@ def _tokens(texts: DataFrame, k: int, counts: bool) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "token long, c long" if counts else "token long, node long, size long")
 
 
-def _prefixes(texts: DataFrame, k: int) -> DataFrame:
+def _prefixes(texts: DataFrame, k: int, last: int) -> DataFrame:
     """(token, node, n, at): of the first n // 5 + 1 shingles of each set, rare ones first, those that others have, with their places."""
     # Combined map-side, then a table: its true size decides the join, and hot shingles can be split there.
-    shared = cut(_tokens(texts, k, True).groupBy("token").agg(F.sum("c").alias("c")).where("c > 1"))
-    every = cut(_tokens(texts, k, False).join(shared, "token"))
-    low = F.col("token") <= LAST
+    shared = cut(_tokens(texts, k, last, True).groupBy("token").agg(F.sum("c").alias("c")).where("c > 1"))
+    every = cut(_tokens(texts, k, last, False).join(shared, "token"))
+    low = F.col("token") <= last
     own = W.partitionBy("node")
     every = every.withColumns(
         {
@@ -135,6 +139,20 @@ def _fits(n: str, at: str, m: str, to: str):
     return rest * 9 >= (F.col(n) + F.col(m)) * 4
 
 
+def _sketches(texts: DataFrame, k: int) -> DataFrame:
+    """(node, s0, s1, ...): bits that an odd number of the set's shingles fall on. Two sets differ in more shingles than bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = np.zeros((batch.num_rows, PARTS), np.int64)
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                odd = np.bincount((shingles(t, k) % np.uint64(64 * PARTS)).astype(np.int64), minlength=64 * PARTS) & 1
+                made[i] = np.packbits(odd.astype(bool)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in made.T.copy())], names=["node", *(f"s{i}" for i in range(PARTS))])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, " + ", ".join(f"s{i} long" for i in range(PARTS)))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """The pairs (a, b) with `ok`, the true comparison."""
 
@@ -182,10 +200,12 @@ def _links(texts: DataFrame, k: int) -> DataFrame:
     ends = [one.select(F.col("fp").alias(c), F.col("other").alias(n)) for c, n in (("a", "node"), ("b", "other"))]
     close = close.join(ends[0], "a").join(ends[1], "b").select("node", "other")
     close = cut(close.unionByName(worded.join(one, "fp").where("node != other").select("node", "other")))
-    prefixes = cut(_prefixes(texts, k))
+    prefixes = cut(_prefixes(texts, k, LAST))
     nodes = prefixes.select("node").unionByName(close.select("node")).unionByName(close.select(F.col("other").alias("node"))).distinct()
     near = cut(texts.select("node", "text").join(cut(nodes), "node", "left_semi"))
     tried(close)
+    # Only these can be in a pair: with their own counts, of all shingles, the places bound more.
+    prefixes = cut(_prefixes(near, k, ALL))
     held = cut(still_open(rooted(prefixes)))
     for number in range(ROUNDS):
         leader = F.min(F.struct(F.xxhash64("node", F.lit(number)).alias("h"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("root").alias("its")))
@@ -195,8 +215,11 @@ def _links(texts: DataFrame, k: int) -> DataFrame:
             held = cut(still_open(rooted(held.drop("root"))))
         if new * 10 < count or not new:  # leaders no longer pay
             break
-    other = held.select("token", F.col("node").alias("other"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("root").alias("its"))
-    tried(held.join(other, "token").where((F.col("node") < F.col("other")) & (F.col("root") != F.col("its")) & _fits("n", "at", "m", "to")))
+    held = held.join(cut(_sketches(near, k)), "node")
+    other = held.select("token", *[F.col(c).alias(d) for c, d in (("node", "other"), ("n", "m"), ("at", "to"), ("root", "its"))], *[F.col(f"s{i}").alias(f"t{i}") for i in range(PARTS)])
+    apart = reduce(add, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(PARTS)])
+    open_ = (F.col("node") < F.col("other")) & (F.col("root") != F.col("its")) & _fits("n", "at", "m", "to") & (apart * 9 <= F.col("n") + F.col("m"))
+    tried(held.join(other, "token").where(open_))
     return roots if roots is not None else texts.sparkSession.createDataFrame([], "node long, root long")
 
 
