@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from codeweft.llm import repeats as R
 from codeweft.llm.common import partitions
-from codeweft.llm.sequences import Rolling, mix, pieces
+from codeweft.llm.sequences import Rolling, mix, pieces, strong
 
 WINDOW = 400
 HOT = 2000
@@ -55,13 +55,11 @@ class Bytes:
         half = window // 2
         gram = self.rolling.every(half)
         first, last, anchor = R.runs(gram, self.valid, window - half + 1)
-        return first, last, R.signed(gram[anchor]), R.signed(self.rolling.at(first, last - first + window))
+        return first, last, R.signed(gram[anchor]), R.signed(strong(self.data, first, last + window))
 
     def full(self, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of the windows: the hash of the whole, and of its two halves mixed."""
-        half = window // 2
-        other = mix(self.rolling.at(at, half) * np.uint64(3) + self.rolling.at(at + half, window - half) * np.uint64(0xD6E8FEB86659FD93))
-        return R.signed(self.rolling.at(at, window)), R.signed(other)
+        """128 bits of the windows: the rolling hash, and the strong one of the bytes."""
+        return R.signed(self.rolling.at(at, window)), R.signed(strong(self.data, at, at + window))
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:

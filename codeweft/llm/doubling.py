@@ -1,11 +1,16 @@
 """Substring dedup: words covered by a window of `window` words that also starts anywhere else.
 
-Level-wise doubling. Level 1 has windows of half the length, one chosen from every full window by
-the least-hash rule of `repeats`; those that repeat, and no others, are extended to twice that
-length: level 2 compares runs, which join the full windows around one half window (up to 3/2 the
-length), and settles those that repeat as a whole; level 3 compares single full windows of runs
-still open. Windows that fail one level never reach the next; nothing survives level 3, where the
-wanted length is reached. Half windows are told apart by 64 bits, full windows by 128.
+Level-wise doubling. The lengths go down from the wanted one by halves (35, 18, 9 words); the levels
+go up. Level by level, windows of one length that occur twice, and no others, are extended to twice
+that length, until no candidates survive or the wanted length is reached. Every full window holds one
+chosen window of each shorter length: of the half-length windows in it the one with the least hash, of
+that one's halves the least again; equal full windows hold equal ones, so none is lost when a level
+drops what occurs once. At the last step from 18 words to 35, neighbouring full windows around one
+half window are first compared as a run, which settles copies of whole runs at once; single full
+windows of runs that are still open follow.
+
+Short windows are told apart by 64 bits, which only finds candidates. Runs and full windows are told
+apart by the 64 bits that found them together with an XXH3 of their bytes.
 
 Windows are judged on the input. Nulls: a null text has no words. Repeated rows count as occurrences
 of one another. Null ids are kept. Words are kept unchanged.
@@ -23,25 +28,44 @@ from pyspark.sql import DataFrame
 
 from codeweft.llm import repeats as R
 from codeweft.llm.common import partitions
-from codeweft.llm.sequences import SPACES, Words, mix, pieces
+from codeweft.llm.sequences import SPACES, Words, pieces
 
-WINDOW = 35
-FOUND = 9
+WINDOW, SHORTEST = 35, 8
+FOUND, LEVEL = 9, 10
+
+
+def lengths(window: int) -> list[int]:
+    """The lengths below the wanted one, longest first."""
+    found = [(window + 1) // 2]
+    while (found[-1] + 1) // 2 >= SHORTEST:
+        found.append((found[-1] + 1) // 2)
+    return found
+
+
+def _anchors(held: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last start of every run, and the place of its half window."""
+    half = (window + 1) // 2
+    return R.runs(held.rolling.every(half), held.fits(window), window - half + 1)
+
+
+def _chosen(held: Words, at: np.ndarray, window: int, level: int) -> np.ndarray:
+    """Hashes of the windows of lengths(window)[level] that are chosen in the half windows at `at`."""
+    sizes = lengths(window)
+    for longer, shorter in zip(sizes, sizes[1 : level + 1], strict=False):
+        places, back = np.unique(at, return_inverse=True)
+        at = R.least_place(held.rolling.every(shorter), places, longer - shorter + 1)[back]
+    return R.signed(held.hashes(at, sizes[level]))
 
 
 def _runs(held: Words, window: int):
     """First start, last start, hash of the half window, hash of the content of every run."""
-    half = (window + 1) // 2
-    gram = held.rolling.every(half)
-    first, last, anchor = R.runs(gram, held.fits(window), window - half + 1)
-    return first, last, R.signed(gram[anchor]), R.signed(held.hashes(first, last - first + window))
+    first, last, anchor = _anchors(held, window)
+    return first, last, _chosen(held, anchor, window, 0), R.signed(held.strong(first, last - first + window))
 
 
 def _full(held: Words, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of the windows: the hash of the whole, and of its two halves mixed."""
-    half = (window + 1) // 2
-    other = mix(held.hashes(at, half) * np.uint64(3) + held.hashes(at + window - half, half) * np.uint64(0xD6E8FEB86659FD93))
-    return R.signed(held.hashes(at, window)), R.signed(other)
+    """128 bits of the windows: the rolling hash, and the strong one of the bytes."""
+    return R.signed(held.hashes(at, window)), R.signed(held.strong(at, window))
 
 
 def _texts(table: pa.Table) -> list:
@@ -54,15 +78,46 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     n = partitions(spark)
     dealt = R.blocks(docs, key, text)
 
-    def halves(g: int, bodies: list) -> Iterator[pa.RecordBatch]:
-        a, c = [], []
+    sizes = lengths(window)
+
+    def asking(g: int, a: list, c: list) -> pa.RecordBatch:
+        x, y, many = R.folded(np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *c]))
+        return R.request(g, x.view(np.uint64), y.view(np.uint64), many)
+
+    def shortest(g: int, bodies: list) -> Iterator[pa.RecordBatch]:
+        a = []
         for _, part in pieces(bodies):
-            _, _, anchor, content = _runs(Words(SPACES, part), window)
-            a.append(anchor)
-            c.append(content)
-        yield R.request(g, *(lambda x, y, z: (x.view(np.uint64), y.view(np.uint64), z))(*R.folded(np.concatenate(a), np.concatenate(c))))
+            held = Words(SPACES, part)
+            a.append(_chosen(held, np.unique(_anchors(held, window)[2]), window, len(sizes) - 1))
+        yield asking(g, a, [np.zeros(len(x), np.int64) for x in a])
+
+    def extended(level: int):
+        """What repeated one level below, at this level; at -1 as runs."""
+
+        def made(documents: pa.Table, replies: pa.Table) -> pa.Table:
+            seen = np.unique(replies.column("a").to_numpy())
+            a, c = [], []
+            for _, part in pieces(_texts(documents)) if len(seen) else ():
+                held = Words(SPACES, part)
+                first, last, anchor = _anchors(held, window)
+                if level >= 0:
+                    anchor = np.unique(anchor)
+                on = np.isin(_chosen(held, anchor, window, level + 1), seen)
+                a.append(_chosen(held, anchor[on], window, max(level, 0)))
+                c.append(R.signed(held.strong(first[on], last[on] - first[on] + window)) if level < 0 else np.zeros(len(a[-1]), np.int64))
+            return pa.Table.from_batches([asking(documents.column("g")[0].as_py() if documents.num_rows else 0, a, c)])
+
+        return made
+
+    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in R.groups(batches, ["a"]):
+            yield R.judged_windows(table, LEVEL)
 
-    asked = R.in_blocks(dealt, R.ROW, halves).repartition(n, "a").sortWithinPartitions("a", "c", "g")
+    asked = R.in_blocks(dealt, R.ROW, shortest)
+    for level in range(len(sizes) - 2, -2, -1):
+        seen = asked.repartition(n, "a").sortWithinPartitions("a", "c", "g").mapInArrow(twice, R.REPLY)
+        asked = R.with_replies(dealt, seen, R.ROW, extended(level))
+    asked = asked.repartition(n, "a").sortWithinPartitions("a", "c", "g")
     known = asked.mapInArrow(lambda batches: R.judged_runs(batches, 1 << 62, 0), R.REPLY)
 
     def wholes(documents: pa.Table, replies: pa.Table) -> pa.Table:

@@ -73,6 +73,18 @@ def runs(gram: np.ndarray, valid: np.ndarray, width: int) -> tuple[np.ndarray, n
     return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(anchors)
 
 
+def least_place(gram: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """For each place (ascending): that of the least of the `width` grams from there on, the first of equal ones."""
+    low, found = np.uint64((1 << 24) - 1), [np.zeros(0, np.int64)]
+    for start in range(0, len(gram), SEGMENT):
+        own = at[np.searchsorted(at, start) : np.searchsorted(at, start + SEGMENT)]
+        if len(own):
+            part = gram[start : start + SEGMENT + width - 1]
+            least = sliding_min((part & ~low) | np.arange(len(part), dtype=np.uint64), width)
+            found.append((least[own - start] & low).astype(np.int64) + start)
+    return np.concatenate(found)
+
+
 def folded(a: np.ndarray, c: np.ndarray, many: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (a, c) and whether each occurred more than once."""
     order = np.lexsort([c, a])

@@ -1,7 +1,9 @@
 """Rolling hashes over the bytes and words of texts, vectorised.
 
 A sequence of values v has the prefix sums of v[i] * r**i modulo 2**64; a window's hash is the
-difference of two of them times r**-start, mixed. Equal windows have equal hashes wherever they are.
+difference of two of them times r**-start, mixed. Equal windows have equal hashes wherever they are;
+texts can be made whose rolling hashes agree, so they choose and find windows, and `strong` hashes of
+the very bytes tell them apart.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
 PIECE = 1 << 19
 BASE = 0x9E3779B97F4A7C15
@@ -34,6 +37,12 @@ def mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def strong(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH3 of each slice of the data."""
+    view, digest = memoryview(data), xxhash.xxh3_64_intdigest
+    return np.array([digest(view[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+
+
 class Rolling:
     """Hashes of any window of a sequence of 64-bit values."""
 
@@ -75,6 +84,15 @@ class Words:
         """Of the words at ... at+width-1; the width is part of the hash."""
         return self.rolling.at(at, width)
 
+    def strong(self, at: np.ndarray, width) -> np.ndarray:
+        """Of the same words, from their bytes, joined by one space."""
+        if not hasattr(self, "flat"):
+            self.flat = b" ".join(self.data.split())
+            sizes = self.ends - self.starts
+            self.flat_ends = np.cumsum(sizes + 1) - 1
+            self.flat_starts = self.flat_ends - sizes
+        return strong(self.flat, self.flat_starts[at], self.flat_ends[at + width - 1])
+
     def fits(self, width: int) -> np.ndarray:
         """Where windows of this width start."""
         at = np.arange(max(0, len(self.starts) - width + 1))

@@ -36,7 +36,7 @@ def brute(sequences, window):
     return out
 
 
-@pytest.mark.parametrize("seed, window", [(1, 6), (2, 9), (3, 12)])
+@pytest.mark.parametrize("seed, window", [(1, 6), (2, 9), (3, 12), (4, 16), (5, 33)])
 def test_words(spark, seed, window):
     rows = corpus(seed, "word")
     words = [tuple((t or "").encode().split()) for _, t, *_ in rows]
@@ -111,3 +111,43 @@ def test_index(window):
         for end, r in zip(ends, runs, strict=True):
             for i in range(len(r) - window + 1):
                 assert got[end - len(r) + i] == (count[r[i : i + window]] > 1)
+
+
+def colliding(size=1024):
+    """Two words whose rolling hashes agree modulo a power of two whatever the base."""
+    bits = [bin(i).count("1") & 1 for i in range(size)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_with_equal_rolling_hashes_are_told_apart(spark):
+    x, y = colliding()
+    words = [f"w{i}" for i in range(40)]
+    one, other = list(words), list(words)
+    one[5] = one[30] = x
+    other[5] = other[30] = y
+    docs = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(other)), (3, " ".join(words)), (4, " ".join(words))], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in doubling.remove_repeats(docs).collect()} == {1: 0, 2: 0, 3: 40, 4: 40}
+
+
+def test_lengths_of_the_levels():
+    assert doubling.lengths(35) == [18, 9] and doubling.lengths(4) == [2] and doubling.lengths(64) == [32, 16, 8]
+
+
+def test_bytes_of_the_whole_small_table(spark):
+    """Every 400-byte window of sf0.01, told apart by Python's own hash of its bytes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r for r in bwt.remove_repeats(docs).collect()}
+    raws = [(r.doc_id, (r.text or "").encode()) for r in docs.select("doc_id", "text").collect()]
+    seen = {}
+    for _, raw in raws:
+        for at in range(len(raw) - 399):
+            h = hash(raw[at : at + 400])
+            seen[h] = seen.get(h, 0) + 1
+    assert len(got) == len(raws)
+    for doc, raw in raws:
+        gone = np.zeros(len(raw), bool)
+        for at in range(len(raw) - 399):
+            if seen[hash(raw[at : at + 400])] > 1:
+                gone[at : at + 400] = True
+        kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+        assert (got[doc].n_bytes, got[doc].n_removed, got[doc].kept_sha256) == (len(raw), int(gone.sum()), hashlib.sha256(kept).hexdigest())
