@@ -12,9 +12,10 @@ capped. Without structure in the data (independent random directions) recall nee
 default share of 55 % of the cells was chosen on such data.
 
 Nulls: a vector that is null, all zero, of another length than most, or has null or non-finite
-components takes no part, nor does a null id. Of queries with the same id one is asked; rows with
-the id of the query are its own. Equal scores are ordered by id. Fewer than k candidates give all
-of them only if `probes` reaches all cells, as it does in small tables.
+components takes no part. Rows are told apart, not ids: each row of a repeated id is asked and is a
+candidate for the others; a null id is a candidate too, last among equal scores. A query probes on
+until its cells hold more than k vectors, so it gets k results, or all candidates if they are fewer.
+An empty table, or one without queries, gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -81,12 +82,13 @@ class Index:
         rest = self.padded(x - self.centroids[cell])
         return cell, np.stack([nearest(rest[:, i * PART : (i + 1) * PART], b) for i, b in enumerate(self.books)], axis=1).astype(np.uint8)
 
-    def probed(self, q: np.ndarray, probes: int) -> np.ndarray:
-        """queries x cells: which cells are searched."""
+    def probed(self, q: np.ndarray, probes: int, sizes: np.ndarray, least: int) -> np.ndarray:
+        """queries x cells: which cells are searched; `probes`, and on until they hold `least` vectors."""
         promise = q @ self.centroids.T + np.sqrt((q * q).sum(axis=1))[:, None] * self.spread
-        edge = np.argsort(-promise, axis=1, kind="stable")[:, :probes]
+        order = np.argsort(-promise, axis=1, kind="stable")
+        before = np.cumsum(sizes[order], axis=1) - sizes[order]
         chosen = np.zeros(promise.shape, bool)
-        np.put_along_axis(chosen, edge, True, axis=1)
+        np.put_along_axis(chosen, order, (np.arange(order.shape[1]) < probes) | (before < least), axis=1)
         return chosen
 
     def tables(self, q: np.ndarray) -> np.ndarray:
@@ -98,11 +100,11 @@ class Index:
         return out
 
 
-def usable(frame: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
-    """(id, v): vectors that take part, and their length."""
+def usable(frame: DataFrame, key: str, vector: str, asks: Column) -> tuple[DataFrame, int]:
+    """(id, v, asks): vectors that take part, and their length."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     fine = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = frame.select(F.col(key).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
+    rows = frame.select(F.col(key).cast("long").alias("id"), v.alias("v"), F.coalesce(asks, F.lit(False)).alias("asks")).where(F.col("v").isNotNull() & fine)
     top = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     dim = top["n"] if top else 0
     return rows.where(F.size("v") == dim), dim
@@ -113,17 +115,17 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
 
 
 def search(
-    frame: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: str = "embedding", k: int = 20, probes: int | None = None, shortlist: int = 160, sample: int = SAMPLE
+    frame: DataFrame, asks: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = 20, probes: int | None = None, shortlist: int = 160, sample: int = SAMPLE
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): up to k rows a query, nearest first."""
+    """(query_id, rank, vec_id, score): k rows, nearest first, for each row of the frame that `asks` holds for."""
     spark = frame.sparkSession
-    rows, dim = usable(frame, key, vector)
+    rows, dim = usable(frame, key, vector, asks)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     total = rows.count()
     if not total:
         return empty
     share = min(1.0, sample / total)
-    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= int(share * (1 << 20))).limit(2 * sample).select("v").collect()
+    some = rows.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 20)) <= int(share * (1 << 20))).limit(2 * sample).select("v").collect()
     if not some:
         some = rows.limit(sample).select("v").collect()
     cells = max(1, min(4096, 1 << math.ceil(math.log2(4 * math.sqrt(total))), len(some) // 16))
@@ -138,11 +140,13 @@ def search(
             if batch.num_rows:
                 cell, code = index.encode(matrix(batch.column("v"), dim).astype(np.float32))
                 codes = pa.array([c.tobytes() for c in code], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), batch.column("id"), codes, batch.column("v")], names=["cell", "id", "code", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), batch.column("id"), codes, batch.column("v"), batch.column("asks")], names=["cell", "id", "code", "v", "asks"])
 
-    indexed = cut(rows.mapInArrow(placed, "cell int, id long, code binary, v array<double>"))
+    # Numbers of rows are written with them, so they stay.
+    indexed = cut(rows.mapInArrow(placed, "cell int, id long, code binary, v array<double>, asks boolean").withColumn("row", F.monotonically_increasing_id()))
     # One row a cell, at most 4096. Small cells share a group; `blocks` says how many blocks a group has.
     sizes = {r.cell: r["count"] for r in indexed.groupBy("cell").count().collect()}
+    count = np.array([sizes.get(c, 0) for c in range(cells)], np.int64)
     group_of, held = np.zeros(cells, np.int64), [0]
     for c in range(cells):
         if held[-1] and held[-1] + sizes.get(c, 0) > BLOCK:
@@ -155,14 +159,12 @@ def search(
         index = Index(*sent.value)
         for batch in batches:
             if batch.num_rows:
-                chosen = index.probed(matrix(batch.column("v"), dim).astype(np.float32), probes)
+                chosen = index.probed(matrix(batch.column("v"), dim).astype(np.float32), probes, count, k + 1)
                 asked = np.stack([chosen[:, group_of == g].any(axis=1) for g in range(len(held))], axis=1)
                 at, group = np.nonzero(asked)
-                yield pa.RecordBatch.from_arrays([pa.array(group.astype(np.int32)), batch.column("id").take(pa.array(at)), batch.column("v").take(pa.array(at))], names=["grp", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(group.astype(np.int32)), *(batch.column(c).take(pa.array(at)) for c in ("row", "id", "v"))], names=["grp", "row", "id", "v"])
 
-    asked, _ = usable(queries, key, vector)
-    asked = asked.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
-    asked = cut(asked.mapInArrow(routed, "grp int, id long, v array<double>"))
+    asked = cut(indexed.where("asks").select("row", "id", "v").mapInArrow(routed, "grp int, row long, id long, v array<double>"))
     counts = {r.grp: r["count"] for r in asked.groupBy("grp").count().collect()}
     loads = [-(-counts.get(g, 0) // ASKED) for g in range(len(held))]
 
@@ -171,42 +173,45 @@ def search(
 
     def dealt(side: DataFrame, own: list, other: list, names: tuple[str, str]) -> DataFrame:
         side = side.withColumn("theirs", number(other, F.col("grp"))).where("theirs > 0")
-        side = side.withColumn(names[0], F.pmod(F.xxhash64("id"), F.greatest(number(own, F.col("grp")), F.lit(1))).cast("int"))
+        side = side.withColumn(names[0], F.pmod(F.xxhash64("row"), F.greatest(number(own, F.col("grp")), F.lit(1))).cast("int"))
         return side.withColumn(names[1], F.explode(F.sequence(F.lit(0), F.col("theirs") - 1))).drop("theirs")
 
-    placed_rows = indexed.withColumn("grp", number(group_of, F.col("cell")))
+    placed_rows = indexed.drop("asks").withColumn("grp", number(group_of, F.col("cell")))
     data = dealt(placed_rows, blocks, loads, ("block", "load")).groupBy("grp", "block", "load")
-    asks = dealt(asked, loads, blocks, ("load", "block")).groupBy("grp", "block", "load")
+    asks_ = dealt(asked, loads, blocks, ("load", "block")).groupBy("grp", "block", "load")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out: dict[str, list] = {"query": [], "row": [], "score": []}
         if left.num_rows and right.num_rows:
             index = Index(*sent.value)
-            ids, x = left.column("id").to_numpy(), matrix(left.column("v"), dim)
-            order = np.argsort(ids, kind="stable")
-            ids, x, cell = ids[order], x[order], left.column("cell").to_numpy()[order]
-            code = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-            qids, q = right.column("id").to_numpy(), matrix(right.column("v"), dim)
+            last = np.iinfo(np.int64).max
+            ids, rows_ = left.column("id").fill_null(last).to_numpy(), left.column("row").to_numpy()
+            order = np.lexsort([rows_, ids])
+            rows_, x, cell = rows_[order], matrix(left.column("v"), dim)[order], left.column("cell").to_numpy()[order]
+            code = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(rows_), -1)[order]
+            asking, q = right.column("row").to_numpy(), matrix(right.column("v"), dim)
             small = q.astype(np.float32)
-            chosen, tables = index.probed(small, probes), index.tables(small)
-            rough = np.full((len(qids), len(ids)), -np.inf, np.float32)
+            chosen, tables = index.probed(small, probes, count, k + 1), index.tables(small)
+            rough = np.full((len(asking), len(rows_)), -np.inf, np.float32)
             for c in np.unique(cell).tolist():
                 who, own = np.flatnonzero(chosen[:, c]), np.flatnonzero(cell == c)
                 total = np.repeat((small[who] @ index.centroids[c])[:, None], len(own), axis=1)
                 for part in range(code.shape[1]):
                     total += tables[who, part][:, code[own, part]]
                 rough[np.ix_(who, own)] = total
-            rough[qids[:, None] == ids] = -np.inf
+            rough[asking[:, None] == rows_] = -np.inf
             best = np.argsort(-rough, axis=1, kind="stable")[:, :shortlist]
-            for i in range(len(qids)):
+            for i in range(len(asking)):
                 pick = best[i][rough[i, best[i]] > -np.inf]
                 exact = (x[pick] * q[i]).sum(axis=1)
-                top = np.lexsort([ids[pick], -exact])[:k]
-                out["query_id"].append(np.full(len(top), qids[i]))
-                out["vec_id"].append(ids[pick][top])
+                top = np.lexsort([pick, -exact])[:k]  # picks are in order of id
+                out["query"].append(np.full(len(top), i))
+                out["row"].append(order[pick][top])
                 out["score"].append(exact[top])
-        return pa.table({c: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64 if c != "score" else np.float64)) for c, v in out.items()})
+        query, row, score = (np.concatenate([np.zeros(0, kind), *out[c]]) for c, kind in (("query", np.int64), ("row", np.int64), ("score", np.float64)))
+        names = [(right, "row", query, "query"), (right, "id", query, "query_id"), (left, "row", row, "row"), (left, "id", row, "vec_id")]
+        return pa.table({name: side.column(c).take(pa.array(at)) for side, c, at, name in names} | {"score": pa.array(score)})
 
-    found = data.cogroup(asks).applyInArrow(score, "query_id long, vec_id long, score double")
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = data.cogroup(asks_).applyInArrow(score, "query long, query_id long, row long, vec_id long, score double")
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

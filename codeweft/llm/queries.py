@@ -24,8 +24,7 @@ def op1_url_filter(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op2_nearest_vectors(spark: SparkSession, root: str) -> DataFrame:
-    vectors = table(spark, root, "embeddings")
-    return ann.search(vectors, vectors.where("vec_id % 20 = 0"))
+    return ann.search(table(spark, root, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def op3_chat_format(spark: SparkSession, root: str) -> DataFrame:

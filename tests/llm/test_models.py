@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from codeweft.llm import ann, quality
 from codeweft.llm.common import table
@@ -23,11 +24,12 @@ def test_search(spark, monkeypatch, block, asked):
     x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
     x[100:160] = x[100]  # ties
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
-    bad = [(1000, None), (1020, [0.0] * 10), (1040, [float("nan")] + [1.0] * 9), (1060, [None] + [1.0] * 9), (1080, [1.0] * 3), (None, [1.0] * 10), (1100, [float("inf")] * 10)]
+    bad = [(1000, None), (1020, [0.0] * 10), (1040, [float("nan")] + [1.0] * 9), (1060, [None] + [1.0] * 9), (1080, [1.0] * 3), (None, [0.01] * 10), (1100, [float("inf")] * 10)]
     frame = spark.createDataFrame([(*r, 1) for r in rows + bad], "vec_id long, embedding array<float>, score int")
     got = {}
-    for r in ann.search(frame, frame.where("vec_id % 20 = 0")).collect():
+    for r in ann.search(frame, F.col("vec_id") % 20 == 0).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert all(f[1] is not None for found in got.values() for f in found)  # its products are small
     ids, wide = np.arange(900), x.astype(np.float64)
     hits = total = 0
     assert set(got) == set(range(0, 900, 20))
@@ -45,10 +47,26 @@ def test_search(spark, monkeypatch, block, asked):
 
 def test_search_small_and_empty(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
-    got = ann.search(frame, frame.where("vec_id = 0")).orderBy("rank").collect()
+    got = ann.search(frame, F.col("vec_id") == 0).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in got] == [(1, 1.0), (2, 0.0)]
-    assert ann.search(frame.limit(0), frame).count() == 0
-    assert ann.search(frame, frame.limit(0)).count() == 0
+    assert ann.search(frame.limit(0), F.col("vec_id") == 0).count() == 0
+    assert ann.search(frame, F.col("vec_id") == 9).count() == 0
+
+
+def test_search_tells_rows_apart_not_ids(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.9, 0.1]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (None, [0.5, 0.5]), (None, [0.2, 0.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    found = sorted(zip([r["rank"] for r in got], [r.vec_id or 0 for r in got], [round(r.score, 6) for r in got], strict=True))
+    one = [(1, 20, 0.9), (2, 1, 0.5), (3, 1, 0.5), (4, 0, 0.5), (5, 0, 0.2)]
+    two = [(1, 20, 0.9), (2, 1, 0.5), (3, 1, 0.5), (4, 0, 0.5), (5, 0, 0.18)]
+    assert found == sorted(one + two) and {r.query_id for r in got} == {20}
+
+
+def test_search_probes_on_until_k_are_found(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(400, 6)))]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=300, probes=1, shortlist=400)
+    assert got.groupBy("query_id").count().select("count").distinct().collect()[0][0] == 300
 
 
 def test_classifier_on_held_out_labels(spark):
