@@ -1,8 +1,11 @@
 """Chat formatting: a record's schema fingerprint selects the mapping to canonical turns.
 
 A record is a JSON object. Its fingerprint is a hash of the sorted set of its nested field paths
-(`messages[].role`), restricted to paths that some mapping knows, so that extra fields change
-nothing. The fingerprint selects one declarative mapping; a record without one has null turns.
+(`messages[].role`; names that hold `.`, `[`, `]` or a backslash are escaped), restricted to paths
+that some mapping knows, so that fields no mapping knows change nothing. The fingerprint selects one
+declarative mapping: the one with just these fields, or else the first listed one whose fields are all
+there (so messages win over a `prompt` beside them). A record without one, or with a message that is
+not an object, has null turns; no record raises an error.
 
 The template writes `<|im_start|>role NEWLINE text<|im_end|>NEWLINE` for each turn. Inside texts and
 roles a backslash is doubled and `<|` becomes `<\\|` (a newline in a role becomes `\\n`), so control
@@ -11,7 +14,9 @@ strings cannot occur there and reading back gives the very texts. The loss mask
 
 Nulls: a null role, text or field value is empty; a null record, or one that is not an object, has
 no mapping. Turns of a conversation are ordered by turn (null first), then role, then text; equal
-rows all count. A conversation is one output value and is gathered in one task.
+rows all count. A conversation is one output value and is gathered in one task. Half pairs of
+surrogates in JSON escapes become U+FFFD. An empty table gives an empty result; other columns of any
+name are ignored.
 """
 
 from __future__ import annotations
@@ -20,9 +25,10 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END, TARGET = "<|im_start|>", "<|im_end|>", "assistant"
@@ -60,7 +66,8 @@ def paths(value, at: str = "") -> Iterator[str]:
     """Nested field paths of a JSON value; lists contribute what their elements have."""
     if isinstance(value, dict):
         for k, v in value.items():
-            yield from paths(v, f"{at}.{k}" if at else k)
+            name = re.sub(r"[\\.\[\]]", lambda m: "\\" + m[0], k)
+            yield from paths(v, f"{at}.{name}" if at else name)
     elif isinstance(value, list):
         for v in value:
             yield from paths(v, at + "[]")
@@ -69,28 +76,40 @@ def paths(value, at: str = "") -> Iterator[str]:
 
 
 def string(value) -> str:
-    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    text = "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return text
+
+
+def selected(known: set[str]) -> dict | None:
+    """The mapping of a record with these known paths."""
+    return BY_FINGERPRINT.get(digest(known)) or next((m for m in MAPPINGS if fields(m) <= known), None)
 
 
-def turns(record: str | None) -> tuple[str | None, list[tuple[str, str]] | None]:
-    """The fingerprint of a record and its canonical turns, or None."""
+def turns(record: str | None) -> tuple[str | None, list[tuple[str, str]] | None, dict | None]:
+    """The fingerprint of a record, its canonical turns, or None, and their mapping."""
     try:
         value = json.loads(record) if record is not None else None
-    except ValueError:
-        value = None
-    if not isinstance(value, dict):
-        return None, None
-    mark = digest({p for p in paths(value) if p in KNOWN})
-    mapping = BY_FINGERPRINT.get(mark)
+        known = {p for p in paths(value) if p in KNOWN} if isinstance(value, dict) else None
+    except (ValueError, RecursionError):
+        known = None
+    if known is None:
+        return None, None, None
+    mark, mapping = digest(known), selected(known)
     if mapping is None:
-        return mark, None
+        return mark, None, None
     if "each" in mapping:
         name, role, text = mapping["each"]
+        if not all(isinstance(m, dict) for m in value[name]):
+            return mark, None, None
         names = mapping.get("roles", {})
         said = [(string(m.get(role)), string(m.get(text))) for m in value[name]]
-        return mark, [(names.get(r, r), t) for r, t in said]
+        return mark, [(names.get(r, r), t) for r, t in said], mapping
     take = lambda x: string(value[x]) if isinstance(x, str) else "\n\n".join(filter(None, (string(value[f]) for f in x)))
-    return mark, [(r, take(x)) for r, x in mapping["turns"]]
+    return mark, [(r, take(x)) for r, x in mapping["turns"]], mapping
 
 
 def escape(text: str) -> str:
@@ -129,9 +148,9 @@ def format_records(records: DataFrame, *, key: str = "key", record: str = "recor
         for batch in batches:
             rows = []
             for one in batch.column(1).to_pylist():
-                mark, said = turns(one)
+                mark, said, mapping = turns(one)
                 text, mask = formatted(said) if said is not None else (None, None)
-                rows.append({"fingerprint": mark, "layout": BY_FINGERPRINT[mark]["name"] if said is not None else None, "formatted": text, "mask": mask and [{"start": s, "end": e} for s, e in mask] if mask is not None else None})
+                rows.append({"fingerprint": mark, "layout": mapping and mapping["name"], "formatted": text, "mask": mask and [{"start": s, "end": e} for s, e in mask] if mask is not None else None})
             made = pa.Table.from_pylist(rows, schema=OUT).to_batches()[0] if rows else pa.RecordBatch.from_pylist([], schema=OUT)
             yield pa.RecordBatch.from_arrays([batch.column(0), *made.columns], names=["key", *OUT.names])
 
@@ -145,13 +164,33 @@ OUT = pa.schema([("fingerprint", pa.string()), ("layout", pa.string()), ("format
 
 
 def conversation_records(rows: DataFrame, *, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(key, record): conversations as JSON; a question with its answer in the prompt layout, others as messages."""
+    """(key, record): conversations as JSON, dealt over all layouts that can hold them by a hash of the key."""
     said = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("content"))
     gathered = rows.groupBy(F.col(key).alias("key")).agg(F.array_sort(F.collect_list(said)).alias("said"))
-    pair = (F.size("said") == 2) & (F.col("said")[0]["role"] == "user") & (F.col("said")[1]["role"] == "assistant")
-    prompt = F.to_json(F.struct(F.col("said")[0]["content"].alias("prompt"), F.col("said")[1]["content"].alias("response")))
-    messages = F.to_json(F.struct(F.transform("said", lambda x: F.struct(x["role"], x["content"])).alias("messages")))
-    return gathered.select(F.col("key").alias(key), F.when(pair, prompt).otherwise(messages).alias("record"))
+    roles, at, dealt = F.col("said.role"), lambda i: F.col("said")[i]["content"], F.pmod(F.xxhash64("key"), F.lit(12))
+
+    def flat(*names: tuple[str, Column]) -> Column:
+        return F.to_json(F.struct(*[value.alias(name) for name, value in names]))
+
+    def listed(name: str, role: str, text: str, roles: dict[str, str]) -> Column:
+        renamed = lambda r: reduce(lambda out, x: F.when(r == x[1], F.lit(x[0])).otherwise(out), roles.items(), r)
+        return F.to_json(F.struct(F.transform("said", lambda x: F.struct(renamed(x["role"]).alias(role), x["content"].alias(text))).alias(name)))
+
+    pair = (F.size("said") == 2) & (roles[0] == "user") & (roles[1] == "assistant")
+    three = (F.size("said") == 3) & (roles[0] == "system") & (roles[1] == "user") & (roles[2] == "assistant")
+    head, tail = F.substring_index(at(0), "\n\n", 1), F.expr("substring(said[0].content, length(substring_index(said[0].content, '\\n\\n', 1)) + 3)")
+    record = (
+        F.when(pair & (dealt % 5 == 0), flat(("prompt", at(0)), ("response", at(1))))
+        .when(pair & (dealt % 5 == 1), flat(("prompt", at(0)), ("completion", at(1))))
+        .when(pair & (dealt % 5 == 2), flat(("question", at(0)), ("answer", at(1))))
+        .when(pair & (dealt % 5 == 3) & (head != "") & (tail != ""), flat(("instruction", head), ("input", tail), ("output", at(1))))
+        .when(pair & (dealt % 5 == 3), flat(("instruction", at(0)), ("output", at(1))))
+        .when(three & (dealt % 2 == 0), flat(("system", at(0)), ("question", at(1)), ("answer", at(2))))
+        .when((dealt % 3 == 0) & ~F.exists(roles, lambda r: r.isin("human", "gpt")), listed("conversations", "from", "value", {"human": "user", "gpt": "assistant"}))
+        .when(dealt % 3 == 1, listed("turns", "role", "text", {}))
+        .otherwise(listed("messages", "role", "content", {}))
+    )
+    return gathered.select(F.col("key").alias(key), record.alias("record"))
 
 
 def digests(formatted_rows: DataFrame, *, key: str = "conv_id") -> DataFrame:

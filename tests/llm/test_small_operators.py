@@ -61,6 +61,27 @@ def test_chat_layouts():
     for bad in (None, "", "[1]", '{"x": 1}', "{", "null"):
         assert chat.turns(bad)[1] is None
     assert len(chat.BY_FINGERPRINT) == len(chat.MAPPINGS)
+    deep = "[" * 5000 + "]" * 5000
+    for odd in ('{"messages":["x",{"role":"user","content":"q"}]}', '{"messages":[null,{"role":"user","content":"q"}]}', '{"messages[].role":"user","messages[].content":"q"}', '{"messages":' + deep + "}", deep):
+        assert chat.turns(odd)[1] is None
+    both = json.dumps({"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "prompt": "q"})
+    assert chat.turns(both)[1] == qa
+    assert chat.turns('{"prompt": "\\ud800", "response": "\\ud83d\\ude00"}')[1] == [("user", "\ufffd"), ("assistant", "\U0001f600")]
+
+
+def test_chat_conversations_use_all_layouts(spark):
+    rows = []
+    for i in range(300):
+        rows += [(i, 0, "user", ("one\n\ntwo", "one", "\n\ntwo")[i % 3]), (i, 1, "assistant", "a")]
+        rows += [(1000 + i, 0, "system", "s"), (1000 + i, 1, "user", "q"), (1000 + i, 2, "assistant", "a")]
+        rows += [(2000 + i, 0, ("human", "user")[i % 2], "h"), (2000 + i, 1, "gpt", None)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat.format_records(chat.conversation_records(frame), key="conv_id").collect()
+    assert {r.layout for r in made} == {m["name"] for m in chat.MAPPINGS}
+    want = {}
+    for conv, _, role, text in sorted(rows, key=lambda r: r[:2]):
+        want.setdefault(conv, []).append((role, text or ""))
+    assert {r.conv_id: chat.read_back(r.formatted) for r in made} == want
 
 
 def test_chat_query_shape(spark):
