@@ -8,10 +8,14 @@ come nearest to what the source still lacks (at most half of one document off).
 fixed by size in words. Ties in Q go by id, then size; copies of a row tie and are interchangeable.
 
 No source is sorted as a whole: v = Q/(1+Q) falls in one of `BINS` bins; words per (source, bin) are
-summed map-side, and only documents of the one bin in which a source's sample ends are ranked.
+summed map-side, and only the one bin in which a source's sample ends is ranked, rows that are equal in
+(Q, id, size) folded to a count. What comes out is a row a source: the last document taken. Each
+document is then judged where it is; only rows equal to a source's last one, if some of them are taken
+and some are not, are numbered. So neither sizes nor texts are shuffled by source.
 
 Nulls: a null text has size 0; a null source is a source, last in order; a null id draws like an
-empty string. A source without words gets target 0. An empty table gives an empty result.
+empty string. A source without words gets target 0. An empty table gives an empty result. Other input
+columns of any name are left alone; `copies` replaces an input column so named (in `mixed`).
 """
 
 from __future__ import annotations
@@ -53,6 +57,76 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: int)
     return level.select("source", "source_size", target.alias("target"))
 
 
+def drawn(key: Column) -> Column:
+    """U of a document, between 0 and 1."""
+    random = F.conv(F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{SEED}"))), 1, 12), 16, 10)
+    return (random.cast("double") + 0.5) / F.lit(float(1 << 48))
+
+
+def ranked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`rows` with what is known of their source, their rank q (null where no document is drawn) and its bin."""
+    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part")))
+    # Names differ on the two sides: the source may be null, and the join must keep that row.
+    joined = rows.join(wanted, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("q", F.when(F.col("part") > 0, odds))
+    return joined.withColumn("bin", F.least(F.floor(F.col("q") / (1 + F.col("q")) * BINS), F.lit(BINS - 1)).cast("int"))
+
+
+def ends(light: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`wanted` with the place where each source's sample ends: the bin, and in it the last document taken,
+    of whose equals (`same` in all) so many are taken. A row a source."""
+    placed = ranked(light, wanted).where("q is not null")
+    bins = placed.groupBy("source", "bin", "lack").agg(F.sum("size").alias("held"))
+    running = W.partitionBy("source").orderBy("bin")
+    edges = (
+        bins.withColumn("upto", F.sum("held").over(running))
+        .where((F.col("upto") > F.col("lack")) & (F.col("upto") - F.col("held") <= F.col("lack")))
+        .groupBy(F.col("source").alias("edge_of"))
+        .agg(F.min("bin").alias("edge"), F.min_by(F.col("upto") - F.col("held"), F.col("bin")).alias("before"))
+    )
+    # A table, here and below: its true size decides whether it is broadcast, and documents stay where they are.
+    edges = cut(edges)
+    inside = placed.join(edges, F.col("source").eqNullSafe(F.col("edge_of")) & (F.col("bin") == F.col("edge")))
+    equal = inside.groupBy("source", "lack", "before", "q", "key", "size").agg(F.count("*").alias("same"))
+    order = W.partitionBy("source").orderBy("q", "key", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    start = F.col("before") + F.sum(F.col("size") * F.col("same")).over(order) - F.col("size") * F.col("same")
+    # The i-th of equal ones is taken if the middle of its words is not beyond what lacks.
+    many = F.when(F.col("size") == 0, F.when(start <= F.col("lack"), F.col("same")).otherwise(0)).otherwise(F.floor((F.col("lack") - start) / F.col("size") + 0.5))
+    last = equal.withColumn("many", F.least(F.greatest(many, F.lit(0)), F.col("same"))).where("many > 0")
+    last = last.groupBy(F.col("source").alias("last_of")).agg(F.max(F.struct("q", "key", "size", "many", "same")).alias("last"))
+    found = wanted.join(edges.drop("before"), F.col("of").eqNullSafe(F.col("edge_of")), "left").join(last, F.col("of").eqNullSafe(F.col("last_of")), "left")
+    return cut(found.drop("edge_of", "last_of"))
+
+
+def allotted(rows: DataFrame, ended: DataFrame) -> DataFrame:
+    """`rows` (key, source, size, u and others) with source_size, target and copies."""
+    own, last = F.struct("q", "key", "size"), F.struct("last.q", "last.key", "last.size")
+    extra = (
+        F.when(F.col("q").isNull(), 0)
+        .when(F.col("edge").isNull() | (F.col("bin") < F.col("edge")), 1)
+        .when((F.col("bin") > F.col("edge")) | F.col("last").isNull() | (own > last), 0)
+        .when((own < last) | (F.col("last.many") == F.col("last.same")), 1)
+    )
+    judged = ranked(rows, ended).withColumn("extra", extra.cast("long"))
+    sure = judged.where("extra is not null")
+    if not ended.where("last.many < last.same").isEmpty():
+        number = F.row_number().over(W.partitionBy("source").orderBy("key"))
+        sure = sure.unionByName(judged.where("extra is null").withColumn("extra", (number <= F.col("last.many")).cast("long")))
+    made = {"copies": F.col("whole") + F.col("extra")}
+    return sure.withColumns(made).drop("whole", "part", "lack", "edge", "last", "q", "bin", "extra")
+
+
+def _prepared(docs: DataFrame, key: Column, source: Column, text: str, *more: str) -> DataFrame:
+    return docs.select(*more, key.alias("key"), source.cast("string").alias("source"), words(text).alias("size"), drawn(key).alias("u"))
+
+
+def _ended(light: DataFrame, weights: tuple[int, ...], share: float, cap: int) -> DataFrame:
+    wanted = targets(light, weights, share, cap)
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    wanted = wanted.withColumn("whole", F.floor(ratio)).withColumn("part", ratio - F.col("whole"))
+    wanted = wanted.withColumn("lack", F.col("target") - F.col("whole") * F.col("source_size")).withColumnRenamed("source", "of")
+    return ends(light, cut(wanted))
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -64,55 +138,23 @@ def mix(
     cap: int = 2,
 ) -> DataFrame:
     """(key, source, size, source_size, target, copies, taken): one row a document."""
-    random = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{SEED}"))), 1, 12), 16, 10)
-    light = cut(
-        docs.select(
-            F.col(key).alias("key"),
-            F.col(source).cast("string").alias("source"),
-            words(text).alias("size"),
-            ((random.cast("double") + 0.5) / F.lit(float(1 << 48))).alias("u"),
-        )
-    )
-    wanted = targets(light, weights, share, cap)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    wanted = wanted.withColumn("whole", F.floor(ratio)).withColumn("part", ratio - F.col("whole"))
-    # A table, here and below: its true size decides whether it is broadcast, and documents stay where they are.
-    wanted = cut(wanted.withColumn("lack", F.col("target") - F.col("whole") * F.col("source_size")))
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part")))
-
-    # Names differ on the two sides: the source may be null, and the join must keep that row.
-    ranked = (
-        light.join(wanted.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-        .drop("of")
-        .withColumn("q", F.when(F.col("part") > 0, odds))
-        .withColumn("bin", F.least(F.floor(F.col("q") / (1 + F.col("q")) * BINS), F.lit(BINS - 1)).cast("int"))
-    )
-    bins = ranked.where("q is not null").groupBy("source", "bin", "lack").agg(F.sum("size").alias("held"))
-    running = W.partitionBy("source").orderBy("bin")
-    ends = (
-        bins.withColumn("upto", F.sum("held").over(running))
-        .where((F.col("upto") > F.col("lack")) & (F.col("upto") - F.col("held") <= F.col("lack")))
-        .groupBy(F.col("source").alias("of"))
-        .agg(F.min("bin").alias("edge"), F.min_by(F.col("upto") - F.col("held"), F.col("bin")).alias("before"))
-    )
-    placed = ranked.join(cut(ends), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
-    middle = F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("q", "key", "size").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size") / 2
-    at_edge = placed.where(F.col("bin") == F.col("edge")).withColumn("extra", (middle <= F.col("lack")).cast("long"))
-    below = F.when(F.col("q").isNull(), F.lit(0)).when(F.col("edge").isNull() | (F.col("bin") < F.col("edge")), F.lit(1)).otherwise(F.lit(0))
-    others = placed.where(F.coalesce(F.col("bin") != F.col("edge"), F.lit(True))).withColumn("extra", below.cast("long"))
-    copies = F.col("whole") + F.col("extra")
-    return at_edge.unionByName(others).select(
-        F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
-    )
-
-
-def mixed(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes, with their columns and how many copies of each."""
-    row = docs.withColumn("__key", F.concat_ws(":", "doc_id", F.xxhash64("doc_id", "text")))
-    # Repeated rows may be taken in part: they are numbered on both sides.
-    same = W.partitionBy("__key", "source")
-    taken = mix(row, key="__key").select(F.col("__key").alias("k"), F.col("source").alias("of"), "copies")
-    taken = taken.withColumn("i", F.row_number().over(W.partitionBy("k", "of").orderBy(F.desc("copies")))).where("copies > 0")
-    row = row.withColumn("__i", F.row_number().over(same.orderBy("__key")))
-    on = (F.col("__key") == F.col("k")) & F.col("source").eqNullSafe(F.col("of")) & (F.col("__i") == F.col("i"))
-    return row.join(taken, on).select(*docs.columns, "copies")
+    light = cut(_prepared(docs, F.col(key), F.col(source), text))
+    found = allotted(light, _ended(light, weights, share, cap))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return found.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "copies", taken)
+
+
+def mixed(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
+    """The documents that the mix takes, with their columns and how many copies of each.
+
+    Documents draw by id and text, so that repeated ids draw apart.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    inner = docs.toDF(*names)
+    of = lambda column: F.col(names[docs.columns.index(column)])
+    key = F.concat_ws(":", of("doc_id"), F.xxhash64(of("doc_id"), of("text")))
+    rows = _prepared(inner, key, of("source"), names[docs.columns.index("text")], *names)
+    light = cut(rows.select("key", "source", "size", "u"))
+    found = allotted(rows, _ended(light, weights, share, cap)).where("copies > 0").select(*names, "copies")
+    kept = [(n, c) for n, c in zip(names, docs.columns, strict=True) if c.lower() != "copies"]
+    return found.select(*[F.col(n).alias(c) for n, c in kept], "copies")

@@ -247,3 +247,12 @@ def test_decontamination(spark, monkeypatch, chunk):
     kept = decontaminate.clean(frame, bench.limit(0))
     assert kept.count() == len(docs) and kept.columns == frame.columns
     assert decontaminate.decontaminate(frame.limit(0), bench, keep=["doc_id"]).count() == 0
+
+
+def test_mixed_documents_keep_columns_of_any_name(spark):
+    rows = [(i % 5 or None, "a b c" if i % 2 else "d e", "s", i, i, i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int, key int, q int")
+    got = mixing.mixed(docs, weights=(1,), share=0.5).collect()
+    assert got[0].asDict().keys() == set(docs.columns) and all(r.key == r.q for r in got)
+    assert abs(sum(len(r.text.split()) * r.copies for r in got) - 75) <= 3
+    assert mixing.mixed(docs.limit(0)).count() == 0
