@@ -16,8 +16,8 @@ sets that have them is counted over all sets, the others follow by hash. Shingle
 lead to no pair and are dropped. No pair is missed, whatever the order and the number of documents.
 
 Every link is verified by the true Jaccard similarity, in whole numbers. Members of a shared shingle
-are first compared with one leader, round by round while that pays, so that a large group of near
-copies costs a row a member; all pairs of different components that remain are then compared, but
+are first compared with four leaders, in two rounds if the first pays, so that a large group of near
+copies costs a few rows a member; all pairs of different components that remain are then compared, but
 for those whose parity sketches (bits that an odd number of a set's shingles fall on) already differ
 in more bits than the sets may differ in shingles.
 """
@@ -40,7 +40,7 @@ from codeweft.llm.graph import components
 from codeweft.llm.simhash import bands, edges
 
 SEED = 42
-NEAR, COUNTED, ROUNDS, PARTS = 3, 0.35, 4, 16
+NEAR, COUNTED, ROUNDS, LEADERS, PARTS = 3, 0.35, 2, 4, 16
 #: The largest hash of all and the largest that is counted first, as the signed numbers that Spark compares.
 ALL = (1 << 63) - 1
 LAST = int(COUNTED * (1 << 64)) - (1 << 63)
@@ -203,20 +203,22 @@ def _links(texts: DataFrame, k: int) -> DataFrame:
     prefixes = cut(_prefixes(texts, k, LAST))
     nodes = prefixes.select("node").unionByName(close.select("node")).unionByName(close.select(F.col("other").alias("node"))).distinct()
     near = cut(texts.select("node", "text").join(cut(nodes), "node", "left_semi"))
-    tried(close)
     # Only these can be in a pair: with their own counts, of all shingles, the places bound more.
-    prefixes = cut(_prefixes(near, k, ALL))
-    held = cut(still_open(rooted(prefixes)))
+    held = cut(_prefixes(near, k, ALL).withColumn("root", F.col("node")))
+    others = [F.col(c).alias(d) for c, d in (("node", "other"), ("n", "m"), ("at", "to"), ("root", "its"))]
     for number in range(ROUNDS):
-        leader = F.min(F.struct(F.xxhash64("node", F.lit(number)).alias("h"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("root").alias("its")))
-        lead = cut(held.groupBy("token").agg(leader.alias("l")).select("token", "l.other", "l.m", "l.to", "l.its"))
-        count, new = tried(held.join(lead, "token").where((F.col("root") != F.col("its")) & _fits("n", "at", "m", "to")))
+        leader = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), *others))
+        leaders = F.array(*[leader(number * LEADERS + i) for i in range(LEADERS)])
+        lead = held.groupBy("token").agg(leaders.alias("l")).select("token", F.explode("l").alias("l"))
+        lead = cut(lead.select("token", "l.other", "l.m", "l.to", "l.its").distinct())
+        pairs = held.join(lead, "token").where((F.col("root") != F.col("its")) & _fits("n", "at", "m", "to")).select("node", "other")
+        count, new = tried(pairs if number else pairs.unionByName(close))
         if new:
             held = cut(still_open(rooted(held.drop("root"))))
         if new * 10 < count or not new:  # leaders no longer pay
             break
     held = held.join(cut(_sketches(near, k)), "node")
-    other = held.select("token", *[F.col(c).alias(d) for c, d in (("node", "other"), ("n", "m"), ("at", "to"), ("root", "its"))], *[F.col(f"s{i}").alias(f"t{i}") for i in range(PARTS)])
+    other = held.select("token", *others, *[F.col(f"s{i}").alias(f"t{i}") for i in range(PARTS)])
     apart = reduce(add, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(PARTS)])
     open_ = (F.col("node") < F.col("other")) & (F.col("root") != F.col("its")) & _fits("n", "at", "m", "to") & (apart * 9 <= F.col("n") + F.col("m"))
     tried(held.join(other, "token").where(open_))
