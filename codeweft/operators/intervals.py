@@ -97,12 +97,17 @@ def histogram_diff(old: list, new: list) -> list[tuple[object, str]]:
     return out
 
 
+def lines(text: str | None) -> list[str]:
+    """A null text has no lines, an empty one has one."""
+    return text.split("\n") if isinstance(text, str) else []
+
+
 def line_diff(pairs: DataFrame) -> DataFrame:
     """(key, line, text, status) of each (key, old, new)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(k, i, t, s) for k, o, n in zip(batch.key, batch.old, batch.new, strict=True) for i, (t, s) in enumerate(histogram_diff(o.split("\n"), n.split("\n")))]
+            rows = [(k, i, t, s) for k, o, n in zip(batch.key, batch.old, batch.new, strict=True) for i, (t, s) in enumerate(histogram_diff(lines(o), lines(n)))]
             yield pd.DataFrame(rows, columns=["key", "line", "text", "status"])
 
     return pairs.mapInPandas(run, f"key {pairs.schema['key'].dataType.simpleString()}, line int, text string, status string")

@@ -144,14 +144,14 @@ def agg16(spark, root):
 
 
 @query("join14_longest_prefix", """, asked AS (SELECT l_partkey AS id, lower(r_name) || '/' || lower(n_name) || '/x/' || CAST(l_linenumber AS VARCHAR) AS dependency
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE l_quantity = 1),
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 known AS (SELECT DISTINCT coordinate AS prefix FROM artifacts UNION SELECT DISTINCT string_split(coordinate, '/')[1] FROM artifacts)
 SELECT DISTINCT dependency, (SELECT prefix FROM known WHERE dependency = prefix OR starts_with(dependency, prefix || '/') ORDER BY length(prefix) DESC LIMIT 1) AS prefix FROM asked""")
 def join14(spark, root):
     """Every prefix of a dependency is an equi-join key; the longest that exists wins."""
     at = artifacts(spark, root)
     known = at.select(F.col("coordinate").alias("prefix")).union(at.select(F.split("coordinate", "/")[0])).distinct()
-    lines = table(spark, root, "lineitem").where("l_quantity = 1").select(F.col("l_suppkey").alias("artifact_id"), "l_linenumber")
+    lines = table(spark, root, "lineitem").select(F.col("l_suppkey").alias("artifact_id"), "l_linenumber")
     asked = lines.join(at, "artifact_id").select(F.concat("coordinate", F.lit("/x/"), F.col("l_linenumber").cast("string")).alias("dependency")).distinct()
     parts = F.split("dependency", "/")
     keys = asked.select("dependency", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("prefix"))

@@ -65,7 +65,7 @@ def sort01(spark, root):
     return listed.orderBy("type", "artifact_id", "path", "ref_id", "line").limit(1000)
 
 
-@query("sort02_own_artifact_first", "SELECT * FROM (SELECT type, source_artifact_id, source_file_id, ref_id, target, row_number() OVER (ORDER BY type, source_artifact_id <> 3, source_artifact_id, source_file_id, ref_id, target, line) AS place FROM refs) WHERE place <= 500")
+@query("sort02_own_artifact_first", "SELECT type, source_artifact_id, source_file_id, ref_id, target, row_number() OVER (ORDER BY type, source_artifact_id <> 3, source_artifact_id, source_file_id, ref_id, target, line) AS place FROM refs")
 def sort02(spark, root):
     order = ["type", F.col("source_artifact_id") != 3, "source_artifact_id", "source_file_id", "ref_id", "target", "line"]
     return placed(references(spark, root), order).select("type", "source_artifact_id", "source_file_id", "ref_id", "target", "place")

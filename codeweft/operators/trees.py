@@ -7,19 +7,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeweft.plans.register import query
-from codeweft.sources.tables import reachable, settled, table
+from codeweft.sources.tables import closure, reachable, settled
 from codeweft.sources.views import artifacts, bindings
 
 
-def descend(nodes: DataFrame, most: int = 64) -> DataFrame:
-    """(id, root, depth) for every node below a root (parent null): a recursive query."""
-    nodes.createOrReplaceTempView("__nodes")
-    return nodes.sparkSession.sql(
-        f"""WITH RECURSIVE walk(id, root, depth) AS (
-          SELECT id, id, 0 FROM __nodes WHERE parent IS NULL
-          UNION ALL SELECT n.id, w.root, w.depth + 1 FROM __nodes n JOIN walk w ON n.parent = w.id WHERE w.depth < {most})
-        SELECT * FROM walk"""
-    )
+def descend(nodes: DataFrame) -> DataFrame:
+    """(id, root, depth) for every node (unique id, parent) at or below a root (parent null), however deep.
+
+    Each node points upward and takes over the pointer of the node it points to, so ways double every
+    round. Nodes that lead into a cycle or to a missing parent have no root: when a round finishes no
+    node, none of those left will be.
+    """
+    at_root = F.col("parent").isNull()
+    own = settled(nodes.select("id", F.coalesce("parent", "id").alias("root"), (~at_root).cast("int").alias("depth"), at_root.alias("done")))
+    done = own.where("done").count()
+    while True:
+        upper = own.select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"), F.col("done").alias("ended"))
+        moved = own.where("not done").join(upper, "root").select("id", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ended").alias("done"))
+        own = settled(own.where("done").unionByName(moved))
+        before, done = done, own.where("done").count()
+        if done == before:
+            return own.where("done").select("id", "root", "depth")
 
 
 def _nodes(spark, root):
@@ -36,13 +44,9 @@ def join10(spark, root):
 
 @query("join21_transitive_closure", f"{WALK}, up(id, ancestor) AS (SELECT binding_id, parent FROM bindings WHERE parent IS NOT NULL UNION ALL SELECT u.id, b.parent FROM up u JOIN bindings b ON b.binding_id = u.ancestor WHERE b.parent IS NOT NULL) SELECT ancestor, count(*) AS below FROM up GROUP BY ancestor")
 def join21(spark, root):
-    """How many nodes lie below each: all (node, ancestor) pairs by recursion upward."""
-    _nodes(spark, root).select("id", "parent").createOrReplaceTempView("__up")
-    pairs = spark.sql(
-        """WITH RECURSIVE up(id, ancestor) AS (SELECT id, parent FROM __up WHERE parent IS NOT NULL
-        UNION ALL SELECT u.id, b.parent FROM up u JOIN __up b ON b.id = u.ancestor WHERE b.parent IS NOT NULL) SELECT * FROM up"""
-    )
-    return pairs.groupBy("ancestor").agg(F.count("*").alias("below"))
+    """How many nodes lie below each: all (node, ancestor) pairs by doubling ways."""
+    pairs = closure(_nodes(spark, root).select(F.col("id").alias("a"), F.col("parent").alias("b")))
+    return pairs.groupBy(F.col("b").alias("ancestor")).agg(F.count("*").alias("below"))
 
 
 @query("tree03_budgeted_levels", f"{WALK}, sizes AS (SELECT root, depth, count(*) AS n FROM walk WHERE depth > 0 GROUP BY ALL), upto AS (SELECT *, sum(n) OVER (PARTITION BY root ORDER BY depth) AS total FROM sizes) SELECT root, depth, n FROM upto WHERE depth = 1 OR total <= 100")
@@ -130,7 +134,7 @@ def sort04(spark, root):
 OLDNEW = ", o AS (SELECT binding_id % 1000 AS k, min(modifiers) AS m, min(parent % 1000) AS p FROM bindings WHERE realm = 0 GROUP BY 1), n AS (SELECT binding_id // 2 % 1000 AS k, min(modifiers) AS m, min(parent % 1000) AS p FROM bindings WHERE realm = 1 GROUP BY 1), own AS (SELECT coalesce(o.k, n.k) AS k, coalesce(n.p, o.p) AS p, CASE WHEN o.k IS NULL THEN 'INSERTION' WHEN n.k IS NULL THEN 'DELETION' WHEN o.m = n.m THEN 'UNCHANGED' ELSE 'CHANGED' END AS s FROM o FULL JOIN n ON o.k = n.k)"
 
 
-@query("diff04_declaration_diff", f"{OLDNEW} SELECT k, CASE WHEN s = 'UNCHANGED' AND EXISTS (SELECT 1 FROM own c WHERE c.p = own.k AND c.s <> 'UNCHANGED') THEN 'CHANGED_INTERNALLY' ELSE s END AS status FROM own")
+@query("diff04_declaration_diff", f"{OLDNEW}, above(k) AS (SELECT p FROM own WHERE s <> 'UNCHANGED' UNION SELECT o.p FROM above a JOIN own o ON o.k = a.k WHERE o.s = 'UNCHANGED') SELECT k, CASE WHEN s = 'UNCHANGED' AND k IN (SELECT k FROM above WHERE k IS NOT NULL) THEN 'CHANGED_INTERNALLY' ELSE s END AS status FROM own")
 def diff04(spark, root):
     """Two versions of declarations; what is unchanged above a change, at any distance, changed internally."""
     b = bindings(spark, root)

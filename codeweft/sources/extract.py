@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from codeweft.functions.porter import TOKEN
 from codeweft.plans.register import query
-from codeweft.sources.tables import table
+from codeweft.sources.tables import closure, table
 
 #: Keywords of the language.
 KEYWORDS = frozenset("abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while true false null".split())
@@ -196,11 +196,7 @@ def overridden(supers: DataFrame, methods: DataFrame) -> DataFrame:
 
     supers: (type, base) edges; methods: (type, method).
     """
-    supers.createOrReplaceTempView("__supers")
-    above = supers.sparkSession.sql(
-        """WITH RECURSIVE above(type, base, depth) AS (SELECT type, base, 1 FROM __supers
-        UNION ALL SELECT a.type, s.base, a.depth + 1 FROM above a JOIN __supers s ON s.type = a.base WHERE a.depth < 64) SELECT type, base, min(depth) depth FROM above GROUP BY 1, 2"""
-    )
+    above = closure(supers.select(F.col("type").alias("a"), F.col("base").alias("b"))).select(F.col("a").alias("type"), F.col("b").alias("base"))
     of = methods.withColumnRenamed("type", "base")
     found = methods.join(above, "type").join(of, ["base", "method"])
     nearer = found.select("type", "method", F.col("base").alias("near")).join(above.select(F.col("type").alias("near"), F.col("base")), "near").select("type", "method", "base")

@@ -33,6 +33,22 @@ def reachable(wanted: DataFrame, edges: DataFrame) -> DataFrame:
     return reached.distinct()
 
 
+def closure(edges: DataFrame) -> DataFrame:
+    """(a, b) of all b that can be reached from a over edges (a, b), one at least; cycles end, nothing is capped.
+
+    Every round joins the pairs with themselves, so the ways double in length and rounds grow with their logarithm.
+    """
+    pairs = settled(edges.select("a", "b").where("a is not null and b is not null").distinct())
+    count = pairs.count()
+    while True:
+        longer = pairs.join(pairs.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
+        more = settled(pairs.unionByName(longer).distinct())
+        before, count = count, more.count()
+        if count == before:
+            return pairs
+        pairs = more
+
+
 def placed(rows: DataFrame, order: list) -> DataFrame:
     """All rows with their `place` in the order, from 1: ranges are numbered apart, after the rows of those before."""
     parts = settled(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
