@@ -145,15 +145,46 @@ def fn15(spark, root):
     return references(spark, root).groupBy("type").agg(F.count("*").alias("count")).select("type", F.coalesce(names[F.col("type")], F.lit("UNCLASSIFIED")).alias("name"), "count")
 
 
-@query("fn16_method_signatures", "SELECT binding_id, '<T> void m' || binding_id || '(java.util.List<T>, int[]) throws java.io.IOException' AS text FROM bindings")
+#: Method signatures and how they are written out, with {} for the name.
+SIGNATURES = [
+    ("<T:Ljava/lang/Object;>(Ljava/util/List<TT;>;[I)V^Ljava/io/IOException;", "<T> void {}(java.util.List<T>, int[]) throws java.io.IOException"),
+    ("()[[D", "double[][] {}()"),
+    ("(ZBCSJF)Lorg/sample/Outcome;", "org.sample.Outcome {}(boolean, byte, char, short, long, float)"),
+    ("<K:Ljava/lang/Number;>(Ljava/util/Map<TK;+Lorg/sample/Unit;>;)TK;", "<K extends java.lang.Number> K {}(java.util.Map<K, ? extends org.sample.Unit>)"),
+    ("(Ljava/util/Set<-TX;>;Ljava/lang/Class<*>;)V", "void {}(java.util.Set<? super X>, java.lang.Class<?>)"),
+]
+
+
+@query("fn16_method_signatures", f"SELECT binding_id, CASE modifiers % {len(SIGNATURES)} " + " ".join(f"WHEN {i} THEN replace('{text}', '{{}}', 'm' || binding_id)" for i, (_, text) in enumerate(SIGNATURES)) + " END AS text FROM bindings")
 def fn16(spark, root):
-    signature = F.lit("<T:Ljava/lang/Object;>(Ljava/util/List<TT;>;[I)V^Ljava/io/IOException;")
+    signature = F.element_at(F.array(*[F.lit(s) for s, _ in SIGNATURES]), (F.col("modifiers") % len(SIGNATURES) + 1).cast("int"))
     return bindings(spark, root).select("binding_id", S.pretty_method_udf(signature, F.concat(F.lit("m"), F.col("binding_id").cast("string"))).alias("text"))
 
 
-@query("fn17_keywords", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\b(is|for|in|this)\b')) AS INT) AS keywords FROM documents WHERE lang = 'en'")
+# The reserved words and literals of Java, and the words that are reserved in module declarations only.
+KEYWORDS = """abstract assert boolean break byte case catch char class const continue default do double else enum extends final
+finally float for goto if implements import instanceof int interface long native new package private protected public return
+short static strictfp super switch synchronized this throw throws transient try void volatile while _ true false null""".split()
+MODULE_KEYWORDS = "open module requires transitive exports opens to uses provides with".split()
+#: Comments, strings and characters, in which words are no keywords.
+DISABLED = r"""/[*](?s:.*?)[*]/|//[^\n]*|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)'"""
+
+
+IDENTIFIER = r"[\p{L}\p{M}\p{N}_$]+"
+
+
+def keyword_count(text, module: bool = False):
+    """Keywords of a Java source (or a module declaration) outside comments and literals."""
+    words = F.regexp_extract_all(F.regexp_replace(text, DISABLED, " "), F.lit(IDENTIFIER), F.lit(0))
+    return F.size(F.filter(words, lambda w: w.isin(KEYWORDS + MODULE_KEYWORDS * module)))
+
+
+_LISTED = ", ".join(f"'{w}'" for w in KEYWORDS + MODULE_KEYWORDS)
+
+
+@query("fn17_keywords", "SELECT doc_id, CAST(len(list_filter(regexp_extract_all(regexp_replace(text, '" + DISABLED.replace("'", "''") + f"', ' ', 'g'), '{IDENTIFIER}'), lambda w: w IN ({_LISTED}))) AS INT) AS keywords FROM documents")
 def fn17(spark, root):
-    return table(spark, root, "documents").where("lang = 'en'").select("doc_id", F.regexp_count("text", F.lit(r"\b(is|for|in|this)\b")).alias("keywords"))
+    return table(spark, root, "documents").select("doc_id", keyword_count(F.col("text"), module=True).alias("keywords"))
 
 
 @query("fn19_json_rows", "SELECT binding_id, to_json({'binding': binding, 'modifiers': modifiers}) AS json FROM bindings")

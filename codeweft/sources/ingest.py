@@ -157,17 +157,47 @@ def snk03(spark, root):
     return shredded(_extracted(spark, root))["lexeme"].groupBy("set", "artifact_id").agg(F.count("*").alias("count"))
 
 
-@query("udtf05_field_access", "SELECT type, CASE WHEN type IN (1, 21) THEN 'READ' WHEN type IN (14, 34) THEN 'WRITE' ELSE 'READ_WRITE' END AS access, count(*) AS count FROM refs GROUP BY ALL")
+def field_access(source, name):
+    """READ, WRITE or READ_WRITE of the one use of a field in a Java expression, by what stands beside it; null if it is not there."""
+    found = lambda *pattern: F.call_function("regexp_extract", source, F.concat(*pattern), F.lit(1))
+    use = found(F.lit(r"\b"), name, F.lit(r"\b\s*(\+\+|--|(?:<<|>>>?|[-+*/%&|^])=|==|=|)"))
+    before = found(F.lit(r"(\+\+|--)\s*(?:\w+\.)*\b"), name, F.lit(r"\b"))
+    there = F.rlike(source, F.concat(F.lit(r"\b"), name, F.lit(r"\b")))
+    return F.when(~there, F.lit(None)).when(use == "=", "WRITE").when((before != "") | ~use.isin("", "=="), "READ_WRITE").otherwise("READ")
+
+
+#: Uses of a field {} and the access each of them is.
+USES = [
+    ("this.{} = other.value", "WRITE"), ("{} += 2", "READ_WRITE"), ("a.b.{}++", "READ_WRITE"), ("call({}, 1)", "READ"), ("if ({} == 3) return", "READ"),
+    ("-- node.{}", "READ_WRITE"), ("{} >>>= 1", "READ_WRITE"), ("return {} + 1", "READ"), ("x = {}", "READ"), ("plain", None),
+]
+
+
+@query("udtf05_field_access", "SELECT access, count(*) AS count FROM (SELECT CASE ref_id * line % 10 " + " ".join(f"WHEN {i} THEN " + (f"'{access}'" if access else "NULL") for i, (_, access) in enumerate(USES)) + " END AS access FROM refs) GROUP BY access")
 def udtf05(spark, root):
+    """Every reference as a use of a field named after its target, classified from the source text."""
     from codeweft.sources.views import references
 
-    access = F.when(F.col("type").isin(1, 21), "READ").when(F.col("type").isin(14, 34), "WRITE").otherwise("READ_WRITE")
-    return references(spark, root).groupBy("type", access.alias("access")).agg(F.count("*").alias("count"))
+    name = F.concat(F.lit("f"), F.col("target").cast("string"))
+    template = F.element_at(F.array(*[F.lit(t) for t, _ in USES]), (F.col("ref_id") * F.col("line") % 10 + 1).cast("int"))
+    return references(spark, root).groupBy(field_access(F.replace(template, F.lit("{}"), name), name).alias("access")).agg(F.count("*").alias("count"))
+
+
+def module_requires(source):
+    """array<struct<module, transitive, static>> of a module declaration, without comments."""
+    plain = F.regexp_replace(source, r"/[*](?s:.*?)[*]/|//[^\n]*", " ")
+    each = F.regexp_extract_all(plain, F.lit(r"\brequires\s+((?:(?:transitive|static)\s+)*[^\s;]+)\s*;"), F.lit(1))
+    words = lambda x: F.split(x, r"\s+")
+    return F.transform(each, lambda x: F.struct(F.element_at(words(x), -1).alias("module"), x.rlike(r"\btransitive\s").alias("transitive"), x.rlike(r"\bstatic\s").alias("static")))
 
 
-@query("udtf08_module_requires", r"SELECT page_id, regexp_extract(url, '://([^/?#]+)', 1) AS module FROM pages")
+@query("udtf08_module_requires", r"""SELECT page_id, module, transitive, optional FROM pages, LATERAL (VALUES ('java.base', false, false), (regexp_extract(url, '://([^/?#]+)', 1), true, false), ('tool.p' || page_id, true, true)) t(module, transitive, optional)""")
 def udtf08(spark, root):
-    return table(spark, root, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]+)", 1).alias("module"))
+    """A module declaration for every page, read back: what it requires."""
+    host, own = F.regexp_extract("url", "://([^/?#]+)", 1), F.col("page_id").cast("string")
+    source = F.concat(F.lit("/* requires none; */ open module m"), own, F.lit(" {\n  requires java.base; // requires not.this;\n  requires transitive "), host, F.lit(";\n  requires static\n transitive tool.p"), own, F.lit(";\n  exports a.b to c;\n}"))
+    each = table(spark, root, "pages").select("page_id", F.inline(module_requires(source)))
+    return each.withColumnRenamed("static", "optional")
 
 
 @query("disp01_union_of_sources", "SELECT kind, count(*) AS count FROM (SELECT CASE artifact_id % 4 WHEN 0 THEN 'java' WHEN 1 THEN 'maven' WHEN 2 THEN 'android' ELSE 'graal' END AS kind FROM artifacts) GROUP BY kind")
