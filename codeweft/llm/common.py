@@ -27,9 +27,11 @@ def whole_text(name: str = "text") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see; a temporary one only where the session names none."""
+    """The folder that all executors see; a temporary one only where a local session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="codeweft-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
