@@ -18,7 +18,10 @@ def settled(frame: DataFrame) -> DataFrame:
     """The frame as written to the checkpoint folder, so that it is computed once and its plan ends there."""
     context = frame.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="codeweft-"))
+        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="codeweft-"))
     return frame.checkpoint()
 
 
