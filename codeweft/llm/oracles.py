@@ -103,3 +103,28 @@ hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i,
 listed AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN listed USING (rid)"""
+
+
+def _codebook_rounds(rounds: int) -> str:
+    """CTEs book0 ... book<rounds> (p, e, v): the codebooks before each round and after the last."""
+    near = "SELECT rid, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT w.rid, w.p, b.e, list_sum(list_transform(list_zip(w.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM parts w JOIN book{0} b USING (p)) GROUP BY rid, p"
+    out = ["book0 AS (SELECT p, rid - 1 AS e, v FROM parts WHERE rid <= 64)"]
+    for i in range(rounds):
+        out.append(f"near{i} AS ({near.format(i)})")
+        out.append(f"""means{i} AS (SELECT p, e, list(CAST(floor(s / n) AS BIGINT) ORDER BY j) AS v FROM (
+  SELECT p, e, j, sum(x) AS s, count(*) AS n FROM (SELECT w.p, n.e, unnest(w.v) AS x, unnest(range(len(w.v))) AS j FROM parts w JOIN near{i} n USING (rid, p)) GROUP BY p, e, j) GROUP BY p, e)""")
+        out.append(f"book{i + 1} AS (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book{i} b LEFT JOIN means{i} m USING (p, e))")
+    out.append(f"last AS ({near.format(rounds)})")
+    return ",\n".join(out)
+
+
+SQL["op11_vector_codes"] = f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT rid, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS v FROM kept, range(16) r(p)),
+{_codebook_rounds(2)},
+coded AS (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM last GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM book2) AS codebooks_sha256
+FROM kept JOIN coded USING (rid)"""
