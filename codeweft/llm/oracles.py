@@ -128,3 +128,34 @@ coded AS (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
   (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM book2) AS codebooks_sha256
 FROM kept JOIN coded USING (rid)"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit: a byte enters at the first of its eight shifts."""
+    steps = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: [CAST(ascii(substr({text}, i, 1)) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {steps}), lambda s, x: xor(xor(s, x) >> 1, 3988292384 * (xor(s, x) & 1))), CAST(4294967295 AS BIGINT))"
+
+
+SQL["op12_conversation_trie"] = f"""
+WITH turns AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+  SELECT c.conv_id, pos, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND pos <= h
+  UNION ALL SELECT c.conv_id, pos, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND pos > h),
+steps AS (
+  SELECT conv_id, row_number() OVER o AS depth, string_agg(sha256(length(role) || ':' || role || text), '') OVER o AS path, strlen(text) AS bytes FROM rebuilt WINDOW o AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+lengths AS (SELECT conv_id, max(depth) AS length FROM steps GROUP BY conv_id),
+nodes AS (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = length), '') AS ended
+  FROM steps JOIN lengths USING (conv_id) GROUP BY depth, path),
+fed AS (SELECT n.*, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, 64 * (n.depth - 1))),
+children AS (SELECT left(path, 64 * (depth - 1)) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+below AS (
+  SELECT left(n.path, 64 * d) AS path, count(*) FILTER (c.path IS NULL) AS n_leaves, sum((n_convs - 1) * bytes) AS saved
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM nodes) n LEFT JOIN children c ON c.path = n.path GROUP BY 1)
+SELECT conv_id, depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(ended) AS ends_sha256
+FROM fed LEFT JOIN children USING (path) JOIN below USING (path)"""

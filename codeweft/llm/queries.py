@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import ann, bwt, chat, decontaminate, doubling, mixing, quality, secrets, simhash, urltrie, vectorcodes
+from codeweft.llm import ann, bwt, chat, convtrie, decontaminate, doubling, mixing, quality, secrets, simhash, urltrie, vectorcodes
 from codeweft.llm.common import table
 
 # The rules of the URL query.
@@ -84,3 +84,7 @@ def op11_vector_codes(spark: SparkSession, root: str) -> DataFrame:
     coded, digest, _ = vectorcodes.compress(table(spark, root, "embeddings"))
     found = vectorcodes.with_label_error(coded)
     return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def op12_conversation_trie(spark: SparkSession, root: str) -> DataFrame:
+    return convtrie.build(table(spark, root, "conversations"))
