@@ -37,11 +37,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(frame: DataFrame) -> DataFrame:
+def cut(frame: DataFrame, **options: str) -> DataFrame:
     """The frame as a table written to the shared folder and read back: its lineage ends there."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/codeweft-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.options(**options).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import ann, bwt, chat, convtrie, decontaminate, doubling, mixing, quality, secrets, simhash, urltrie, vectorcodes
+from codeweft.llm import ann, bwt, chat, convtrie, decontaminate, doubling, hmm, mixing, quality, secrets, simhash, urltrie, vectorcodes
 from codeweft.llm.common import table
 
 # The rules of the URL query.
@@ -88,3 +88,11 @@ def op11_vector_codes(spark: SparkSession, root: str) -> DataFrame:
 
 def op12_conversation_trie(spark: SparkSession, root: str) -> DataFrame:
     return convtrie.build(table(spark, root, "conversations"))
+
+
+def op13_hidden_markov(spark: SparkSession, root: str) -> DataFrame:
+    blocks = hmm.encoded(table(spark, root, "documents"), "doc_id", "text", ~hmm.held_out())
+    counted = hmm.counts(blocks)
+    model = hmm.fit(blocks, counted)
+    found = hmm.score(blocks, counted, model)
+    return found.select(F.col("id").alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
