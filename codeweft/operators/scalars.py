@@ -147,7 +147,7 @@ def fn15(spark, root):
 
 #: Method signatures and how they are written out, with {} for the name.
 SIGNATURES = [
-    ("<T:Ljava/lang/Object;>(Ljava/util/List<TT;>;[I)V^Ljava/io/IOException;", "<T> void {}(java.util.List<T>, int[]) throws java.io.IOException"),
+    ("<V::Ljava/lang/Comparable<TV;>;>([TV;J)Ljava/util/Optional<TV;>;^Lorg/sample/Late;", "<V extends java.lang.Comparable<V>> java.util.Optional<V> {}(V[], long) throws org.sample.Late"),
     ("()[[D", "double[][] {}()"),
     ("(ZBCSJF)Lorg/sample/Outcome;", "org.sample.Outcome {}(boolean, byte, char, short, long, float)"),
     ("<K:Ljava/lang/Number;>(Ljava/util/Map<TK;+Lorg/sample/Unit;>;)TK;", "<K extends java.lang.Number> K {}(java.util.Map<K, ? extends org.sample.Unit>)"),

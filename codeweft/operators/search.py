@@ -1,24 +1,16 @@
-"""Full-text and type-name search.
-
-Text: an inverted index of (document, lexeme, position); queries are trees of Term, Not, And, Or and
-Phrase, compiled to joins on positions. A negated term inside a phrase stands for some other lexeme
-at that place. Names: components at index time, then the least number of paid jumps of a match.
-"""
+"""Words of texts and components of type names."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from codeweft.functions.porter import tokenize
 from codeweft.plans.register import query
 from codeweft.sources.tables import placed, table
-from codeweft.sources.views import artifacts, bindings
+from codeweft.sources.views import bindings
 
 
 def index(frame: DataFrame, key: str, text: str) -> DataFrame:
@@ -30,136 +22,16 @@ def index(frame: DataFrame, key: str, text: str) -> DataFrame:
 INDEX = ", idx AS (SELECT doc_id AS doc, unnest(w) AS lexeme, unnest(range(0, len(w))) AS pos FROM (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents))"
 
 
-@dataclass(frozen=True)
-class Term:
-    text: str
-    prefix: bool = False
-
-
-@dataclass(frozen=True)
-class Not:
-    of: object
-
-
-@dataclass(frozen=True)
-class And:
-    parts: tuple
-
-
-@dataclass(frozen=True)
-class Or:
-    parts: tuple
-
-
-@dataclass(frozen=True)
-class Phrase:
-    """Terms, or negated terms, each `distance` after the one before."""
-
-    parts: tuple
-    distance: int = 1
-
-
-def holds(term: Term) -> Column:
-    return F.col("lexeme").startswith(term.text) if term.prefix else F.col("lexeme") == term.text
-
-
-def flat(phrase: Phrase, at: int = 0) -> list[tuple[object, int]]:
-    """The terms of nested phrases with their places."""
-    out, place = [], at
-    for i, part in enumerate(phrase.parts):
-        place += phrase.distance if i else 0
-        if isinstance(part, Phrase):
-            inner = flat(part, place)
-            out += inner
-            place = inner[-1][1]
-        elif isinstance(part, Term) or isinstance(part, Not) and isinstance(part.of, Term):
-            out.append((part, place))
-        else:
-            raise ValueError("a phrase has terms, negated terms and phrases")
-    return out
-
-
-def matches(tokens: DataFrame, tree: object) -> DataFrame:
-    """(doc, positions): documents that match, with the sorted positions that contributed."""
-    if isinstance(tree, Term):
-        return tokens.where(holds(tree)).groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
-    if isinstance(tree, Not):
-        docs = tokens.select("doc").distinct()
-        return docs.join(matches(tokens, tree.of), "doc", "left_anti").withColumn("positions", F.array().cast("array<int>"))
-    if isinstance(tree, Phrase):
-        if not tree.parts:
-            return tokens.select("doc").distinct().withColumn("positions", F.array().cast("array<int>"))
-        places = flat(tree)
-        found = None
-        for part, place in places:
-            here = tokens.where(~holds(part.of) if isinstance(part, Not) else holds(part)).select("doc", (F.col("pos") - place).alias("base")).distinct()
-            found = here if found is None else found.join(here, ["doc", "base"])
-        every = F.array(*[F.col("base") + place for _, place in places])
-        return found.groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(every)))).alias("positions"))
-    sides = [matches(tokens, part) for part in tree.parts]
-    if isinstance(tree, Or):
-        both = sides[0]
-        for side in sides[1:]:
-            both = both.unionByName(side)
-        return both.groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
-    found = sides[0]
-    for side in sides[1:]:
-        found = found.join(side.withColumnRenamed("positions", "more"), "doc").select("doc", F.array_sort(F.array_union("positions", "more")).alias("positions"))
-    return found
-
-
 def _documents(spark, root):
     return index(table(spark, root, "documents"), "doc_id", "text")
 
 
-def _listed(found: DataFrame) -> DataFrame:
-    return found.select("doc", F.size("positions").cast("long").alias("n"), F.array_min("positions").cast("long").alias("first"))
-
-
-@query("fts05_inverted_index", f"{INDEX} SELECT lexeme, count(DISTINCT doc) AS docs, count(*) AS occurrences FROM idx GROUP BY lexeme")
-def fts05(spark, root):
-    by_doc = _documents(spark, root).groupBy("lexeme", "doc").agg(F.count("*").alias("n"))
-    return by_doc.groupBy("lexeme").agg(F.count("*").alias("docs"), F.sum("n").alias("occurrences"))
-
-
-@query("fts08_term_positions", f"{INDEX} SELECT doc, count(*) AS n, min(pos) AS first FROM idx WHERE lexeme = 'of' GROUP BY doc")
-def fts08(spark, root):
-    return _listed(matches(_documents(spark, root), Term("of")))
-
-
-PHRASE = f"{INDEX}, hit AS (SELECT a.doc, a.pos FROM idx a JOIN idx b ON a.doc = b.doc AND b.pos = a.pos + 1 WHERE a.lexeme = 'of' AND b.lexeme = 'the'), every AS (SELECT doc, pos FROM hit UNION SELECT doc, pos + 1 FROM hit)"
-
-
-@query("fts09_phrase", f"{PHRASE} SELECT doc, count(*) AS n, min(pos) AS first FROM every GROUP BY doc")
-def fts09(spark, root):
-    return _listed(matches(_documents(spark, root), Phrase((Term("of"), Term("the")))))
-
-
-@query("fts09_phrase_with_negation", f"{INDEX}, hit AS (SELECT a.doc, a.pos FROM idx a JOIN idx b ON a.doc = b.doc AND b.pos = a.pos + 1 WHERE a.lexeme = 'of' AND b.lexeme <> 'the'), every AS (SELECT doc, pos FROM hit UNION SELECT doc, pos + 1 FROM hit) SELECT doc, count(*) AS n, min(pos) AS first FROM every GROUP BY doc")
-def fts09n(spark, root):
-    return _listed(matches(_documents(spark, root), Phrase((Term("of"), Not(Term("the"))))))
-
-
 @query("win04_adjacent_lexemes", f"{INDEX} SELECT doc, count(*) AS n FROM (SELECT doc, lexeme, lead(lexeme) OVER (PARTITION BY doc ORDER BY pos) AS following FROM idx) WHERE lexeme = 'of' AND following = 'the' GROUP BY doc")
 def win04(spark, root):
     following = F.lead("lexeme").over(W.partitionBy("doc").orderBy("pos"))
     return _documents(spark, root).withColumn("following", following).where("lexeme = 'of' and following = 'the'").groupBy("doc").agg(F.count("*").alias("n"))
 
 
-@query("fts06_boolean_query", f"{INDEX} SELECT DISTINCT doc FROM idx a WHERE (lexeme = 'the' OR starts_with(lexeme, 'que')) AND EXISTS (SELECT 1 FROM idx b WHERE b.doc = a.doc AND b.lexeme = 'of') AND NOT EXISTS (SELECT 1 FROM idx b WHERE b.doc = a.doc AND b.lexeme = 'was')")
-def fts06(spark, root):
-    tree = And((Or((Term("the"), Term("que", prefix=True))), Term("of"), Not(Term("was"))))
-    return matches(_documents(spark, root), tree).select("doc")
-
-
-@query("fts10_search_with_filter", f"{PHRASE} SELECT d.source, doc, count(*) AS n FROM every JOIN documents d ON d.doc_id = doc WHERE d.source IN ('src1', 'src2') GROUP BY ALL")
-def fts10(spark, root):
-    """The filter reaches the scan, so that only its documents are tokenised."""
-    docs = table(spark, root, "documents").where(F.col("source").isin("src1", "src2"))
-    found = matches(index(docs, "doc_id", "text"), Phrase((Term("of"), Term("the"))))
-    return found.join(docs.select(F.col("doc_id").alias("doc"), "source"), "doc").select("source", "doc", F.size("positions").cast("long").alias("n"))
-
-
 LINES = ", lines AS (SELECT doc_id AS doc, unnest(w) AS body, unnest(range(0, len(w))) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents))"
 
 
@@ -225,104 +97,6 @@ def typ05(spark, root):
     return named.where(starts).select("binding_id", "binding")
 
 
-def least_jumps(parts: list[str], wanted: str) -> int:
-    """Paid jumps of the cheapest match, or -1: the first run starts at any component, later ones after a jump."""
-    text, starts = "".join(parts), [0]
-    for part in parts:
-        starts.append(starts[-1] + len(part))
-    n = len(text)
-    heads = set(starts[:-1])
-    # cost[p]: least jumps with the last character matched just before place p of the text
-    cost = {p + 1: 0 for p in heads if text[p : p + 1] == wanted[0]}
-    for letter in wanted[1:]:
-        following: dict[int, int] = {}
-        best, order = None, sorted(cost)
-        i = 0
-        for p in range(n):
-            if i < len(order) and order[i] <= p:
-                best = cost[order[i]] if best is None else min(best, cost[order[i]])
-                i += 1
-            if text[p] != letter:
-                continue
-            options = [cost[p]] if p in cost else []
-            if p in heads and best is not None:
-                options.append(best + 1)
-            if options:
-                following[p + 1] = min(options)
-        cost = following
-        if not cost:
-            return -1
-    return min(cost.values(), default=-1)
-
-
-def highlight(parts: list[str], wanted: str, jumps: int) -> list[int] | None:
-    """Matched prefix length of each component with at most `jumps` paid jumps; later components are preferred."""
-    best: dict[tuple, list[int] | None] = {}
-
-    def go(i: int, at: int, left: int, joined: bool) -> list[int] | None:
-        """From component i on, with wanted[at:] open; joined: the component before was matched to its end."""
-        if at == len(wanted):
-            return [0] * (len(parts) - i)
-        if i == len(parts):
-            return None
-        key = (i, at, left, joined)
-        if key not in best:
-            best[key] = None
-            skipped = None if joined and at else go(i + 1, at, left, False)
-            price = 0 if joined or not at else 1
-            if joined and at:
-                skipped = go(i + 1, at, left, False)
-            if skipped is not None:
-                best[key] = [0, *skipped]
-            elif left >= price:
-                same = 0
-                while same < len(parts[i]) and at + same < len(wanted) and parts[i][same] == wanted[at + same]:
-                    same += 1
-                for n in range(1, same + 1):
-                    rest = go(i + 1, at + n, left - price, n == len(parts[i]))
-                    if rest is not None:
-                        best[key] = [n, *rest]
-                        break
-        return best[key]
-
-    return go(0, 0, jumps, False)
-
-
-def type_search(names: DataFrame, wanted: str, depth: int = 5) -> DataFrame:
-    """`names` (binding) that match, with depth and highlight: depth 0 is the simple name without jumps,
-    depth d the full name with d-1 paid jumps."""
-    import re
-
-    low = wanted.lower()
-    pattern = "^(?:.*\\|)?" + "(?:\\|?|.*\\|)".join(re.escape(c) for c in low)
-    found = names.withColumn("c", components(F.col("binding"))).where(F.array_join("c", "|").rlike(pattern))
-    jumps = F.pandas_udf(lambda cs: pd.Series([least_jumps(list(c), low) for c in cs]), IntegerType())
-    lit = F.pandas_udf(lambda cs, js: pd.Series([highlight(list(c), low, int(j)) for c, j in zip(cs, js, strict=True)], dtype=object), ArrayType(IntegerType()))
-    simple = components(F.substring_index("binding", ".", -1))
-    whole = F.exists(F.sequence(F.lit(1), F.size(simple)), lambda i: F.array_join(F.slice(simple, i, F.size(simple)), "").startswith(low))
-    found = found.withColumn("jumps", jumps("c")).where(F.col("jumps").between(0, depth - 1))
-    return found.withColumn("depth", F.when(whole, 0).otherwise(F.col("jumps") + 1)).withColumn("match", lit("c", "jumps"))
-
-
-def ranked(found: DataFrame) -> list:
-    return ["depth", F.length(F.substring_index("binding", ".", -1)), F.length("binding"), "binding", "binding_id"]
-
-
-@query("typ06_type_search")
-def typ06(spark, root):
-    """Names that match `reWi` with up to four jumps (no SQL twin; tested against brute force)."""
-    return type_search(bindings(spark, root).where("include_in_type_search"), "reWi").select("binding_id", "binding", "depth", "match")
-
-
-@query("typ09_search_within_dependencies")
-def typ09(spark, root):
-    """Limited search among artifacts 1 to 5 and the newest of equal names, ranked."""
-    scope = artifacts(spark, root).where("artifact_id between 1 and 5").select("artifact_id")
-    found = type_search(bindings(spark, root).join(scope, "artifact_id", "left_semi"), "smring")
-    newest = found.groupBy("depth", "binding").agg(F.min("binding_id").alias("binding_id"))
-    return newest.orderBy(*ranked(newest)).limit(100)
-
-
 @query("prj07_component_lengths", f"{PARTS} SELECT binding_id, array_to_string(list_transform(c, lambda x: length(x)), ',') AS lengths FROM named")
 def prj07(spark, root):
     return bindings(spark, root).select("binding_id", F.array_join(F.transform(components(F.col("binding")), lambda x: F.length(x).cast("string")), ",").alias("lengths"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,17 +16,36 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which the driver and all executors see; a temporary one only in a local session that names none."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="codeweft-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return folder
+
+
 def settled(frame: DataFrame) -> DataFrame:
     """The frame as written to the checkpoint folder, so that it is computed once and its plan ends there."""
-    context = frame.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="codeweft-"))
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
 
 
+_MADE: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, name: tuple, make: Callable):
+    """What `make` gives for a fresh folder below the shared one; made once a session and name."""
+    key = (spark.sparkContext.applicationId, *name)
+    if key not in _MADE:
+        _MADE[key] = make(f"{shared_folder(spark)}/codeweft-{uuid.uuid4().hex}")
+    return _MADE[key]
+
+
 def reachable(wanted: DataFrame, edges: DataFrame) -> DataFrame:
     """(id) of all that is reachable from `wanted` (id) over edges (a, b): new ids only, until there is none."""
     edges = settled(edges.select("a", "b").distinct())

@@ -1,42 +1,11 @@
-"""Text query algebra and name search against known answers and brute force."""
+"""Name search against known answers and brute force."""
 
 import itertools
 
 import pytest
 
 from codeweft.operators import search as S
-
-T = S.Term
-
-
-@pytest.mark.parametrize(
-    "vector, tree, want",
-    [
-        ("a b c d", S.Phrase((T("b"), T("c"))), [1, 2]),
-        ("a b c d", S.And((T("a"), T("d"))), [0, 3]),
-        ("a b c d", S.And((T("a"), T("e"))), None),
-        ("a b c d", S.Or((T("a"), T("e"))), [0]),
-        ("a b c d", S.Or((T("a"), T("d"))), [0, 3]),
-        ("a bc d", T("b", prefix=True), [1]),
-        ("a bc d", T("c", prefix=True), None),
-        ("a b c d", S.Not(T("e")), []),
-        ("a b c d", S.Phrase((T("b"), S.Not(T("e")))), [1, 2]),
-        ("a b c d", S.Phrase((T("b"), S.Not(T("c")))), None),
-        ("a b c d", S.Phrase((T("d"), S.Not(T("e")))), None),
-        ("a b c d", S.Phrase((T("a"), T("d")), distance=3), [0, 3]),
-        ("a b c d", S.Phrase((S.Phrase((T("a"), T("b"))), T("c"))), [0, 1, 2]),
-    ],
-)
-def test_query_algebra(spark, vector, tree, want):
-    tokens = S.index(spark.createDataFrame([(1, vector)], "id long, text string"), "id", "text")
-    got = S.matches(tokens, tree).collect()
-    assert [list(r.positions) for r in got] == ([want] if want is not None else [])
-
-
-def test_phrase_of_trees_is_refused():
-    with pytest.raises(ValueError):
-        S.flat(S.Phrase((T("a"), S.Or((T("b"), T("c"))))))
-
+from codeweft.operators import typesearch as T
 
 def test_components(spark):
     names = ["ConcurrentHashMap", "java.util", "URI", "Jsr320", "JSR320"]
@@ -60,7 +29,7 @@ def test_components(spark):
     ],
 )
 def test_highlight(parts, wanted, jumps, want):
-    assert S.highlight(parts.split(), wanted, jumps) == want
+    assert T.highlight(parts.split(), wanted, jumps) == want
 
 
 def brute(parts, wanted):
@@ -80,17 +49,25 @@ def brute(parts, wanted):
     return -1
 
 
-def test_least_jumps():
-    assert S.least_jumps(["java.", "util.", "concurrent.", "concurrent", "hash", "map"], "javuticohamap") == 4
-    assert S.least_jumps(["io.", "netty.", "buffer.", "byte", "buf"], "nettybytebuf") == 1
-    assert S.least_jumps(["java.", "lang.", "string"], "string") == 0
-    for parts in itertools.product(["a", "ab", "ba"], repeat=3):
-        for n in (1, 2, 3, 4):
-            for wanted in map("".join, itertools.product("ab", repeat=n)):
-                assert S.least_jumps(list(parts), wanted) == brute(parts, wanted), (parts, wanted)
+def test_least_jumps(spark):
+    """The frontier over written suffixes, for every short query over names of few letters."""
+    names = [f"{'A' if i else ''}{x}.{y}{z.capitalize()}" for i, (x, y, z) in enumerate(itertools.product(["a", "ab", "ba"], repeat=3))] + ["java.util.concurrent.ConcurrentHashMap", "io.netty.buffer.ByteBuf", "java.lang.String"]
+    frame = spark.createDataFrame(list(enumerate(names)), "id long, n string")
+    parts = {r.id: list(r.c) for r in frame.select("id", S.components(S.F.col("n")).alias("c")).collect()}
+    table = T.suffixes(frame, "id", "n").cache()
+    for wanted in ["a", "ab", "bab", "aba", "abb", "baab", "aaab", "abba", "javuticohamap", "nettybytebuf", "string"]:
+        want = {i: brute(c, wanted) for i, c in parts.items()}
+        assert {r.name: r.jumps for r in T.jumps(table, wanted).collect()} == {i: j for i, j in want.items() if 0 <= j < T.DEPTH}, wanted
+    assert T.jumps(table, "").count() == 0
+
+
+def test_search_order(spark, tmp_path):
+    names = spark.createDataFrame([(1, "xxxxx.LongerName"), (2, "long.ShortName"), (3, "other.Thing"), (4, None)], "binding_id long, binding string")
+    found = T.type_search(names, T.written(names, "binding_id", "binding", f"file://{tmp_path}/names"), "long")
+    assert [(r.binding, r.depth) for r in found.orderBy(*T.ranked()).collect()] == [("xxxxx.LongerName", 0), ("long.ShortName", 1)]
 
 
-def test_search_order(spark):
-    names = spark.createDataFrame([(1, "xxxxx.LongerName"), (2, "long.ShortName"), (3, "other.Thing")], "binding_id long, binding string")
-    found = S.type_search(names, "long")
-    assert [r.binding for r in found.orderBy(*S.ranked(found)).collect()] == ["xxxxx.LongerName", "long.ShortName"]
+def test_only_the_letters_buckets_are_read(spark, tmp_path):
+    names = spark.createDataFrame([(i, f"pkg{i}.{'abcdef'[i % 6]}Name") for i in range(60)], "binding_id long, binding string")
+    plan = T.jumps(T.written(names, "binding_id", "binding", f"file://{tmp_path}/names"), "na")._jdf.queryExecution().executedPlan().toString()
+    assert "bucket#" in plan and all(f"{ord(c) % T.BUCKETS}" in plan.split("PartitionFilters: [")[1].split("]")[0] for c in "na")
