@@ -123,14 +123,6 @@ def join06(spark, root):
     return counted.join(named, "doc", "left").select("doc", "path", "n")
 
 
-@query("typ08_replaced_category", "SELECT binding_id, CASE WHEN artifact_id = 3 THEN upper(binding) ELSE binding END AS binding FROM bindings")
-def typ08(spark, root):
-    """Names of one artifact replaced, the others kept: what a partition overwrite leaves."""
-    names = bindings(spark, root)
-    kept = names.where("artifact_id <> 3").select("binding_id", "binding")
-    return kept.unionByName(names.where("artifact_id = 3").select("binding_id", F.upper("binding").alias("binding")))
-
-
 @query("sort07_merged_categories", "SELECT binding_id, artifact_id, row_number() OVER (ORDER BY length(binding), binding, artifact_id, binding_id) AS place FROM bindings WHERE include_in_type_search")
 def sort07(spark, root):
     """All categories in one order, without a task that holds them all."""

@@ -16,6 +16,7 @@ Null names have no components and match nothing; an empty query matches nothing.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import pandas as pd
@@ -26,7 +27,8 @@ from pyspark.sql.types import StringType
 from codeweft.operators.search import components
 from codeweft.operators.versions import KEYED, version_key
 from codeweft.plans.register import query
-from codeweft.sources.tables import once, reachable, table
+from codeweft.sources.store import Store
+from codeweft.sources.tables import once, reachable, shared_folder, table
 from codeweft.sources.views import artifacts, bindings
 
 BUCKETS, DEPTH = 32, 5
@@ -173,6 +175,21 @@ def typ03(spark, root):
     return type_search(bindings(spark, root), names_of(spark, root), "comring").groupBy(F.col("depth").cast("long").alias("depth"), F.col("jumps").cast("long").alias("jumps")).agg(F.count("*").alias("names"))
 
 
+ENTRIES = "category long, name long, start int, own boolean, rest string, bucket int"
+
+
+@query("typ08_replaced_category", f"""{_searched("sring", "(SELECT * REPLACE (CASE WHEN artifact_id = 3 THEN 'new.Spring' || binding ELSE binding END AS binding) FROM bindings)")} SELECT binding_id, jumps FROM depths""")
+def typ08(spark, root):
+    """Suffixes stored by category; one category's names change and its partition alone is replaced, then the search runs on the store."""
+    names = bindings(spark, root).select("binding_id", "artifact_id", "binding")
+    entries = lambda rows: suffixes(rows, "binding_id", "binding").join(rows.select(F.col("binding_id").alias("name"), F.col("artifact_id").alias("category")), "name")
+    store = Store(spark, f"{shared_folder(spark)}/codeweft-{uuid.uuid4().hex}")
+    store.publish({"entries": entries(names)}, "category")
+    renamed = names.where("artifact_id = 3").withColumn("binding", F.concat(F.lit("new.Spring"), "binding"))
+    store.replace({"entries": entries(renamed)}, "category")
+    return jumps(store.read("entries", ENTRIES), "sring").select(F.col("name").alias("binding_id"), "jumps")
+
+
 def uses(spark: SparkSession, root: str) -> DataFrame:
     """(a, b): artifact a uses artifact b."""
     key = F.col("s_suppkey")

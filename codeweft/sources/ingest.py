@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from codeweft.functions.porter import tokenize
 from codeweft.plans.register import query
-from codeweft.sources.tables import reachable, table
-from codeweft.sources.views import artifacts
+from codeweft.sources.store import Store
+from codeweft.sources.tables import reachable, shared_folder, table
+from codeweft.sources.views import artifacts, bindings
 
 ANNOTATION = "array<struct<start:int,length:int,kind:string,binding:string,parent:string,type:int,duplicate:boolean>>"
 COMPILER_VERSION = 43
@@ -64,23 +65,32 @@ def lexemes(files: DataFrame) -> DataFrame:
     return files.select("artifact_id", "source_file_id", "text").mapInPandas(run, f"artifact_id {kind}, source_file_id long, set string, pos int, lexeme string, start int, length int")
 
 
-def replace_artifacts(rows: DataFrame, path: str) -> None:
-    """Writes rows so that only the partitions of the artifacts among them are replaced."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("artifact_id").parquet(path)
+NAMES = "binding_id long, artifact_id long, binding string"
 
 
-def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> str:
-    """A full rebuild: all tables go to a fresh staging folder, then a pointer file names it as current."""
-    stage = f"{root}/wip-{uuid.uuid4().hex}"
-    for name, frame in tables.items():
-        frame.write.parquet(f"{stage}/{name}")
-    spark.createDataFrame([(stage,)], "stage string").coalesce(1).write.mode("overwrite").text(f"{root}/current")
-    return stage
+@query("snk04_replaced_artifacts", "SELECT binding_id, artifact_id, CASE WHEN artifact_id IN (3, 7) THEN upper(binding) ELSE binding END AS binding, artifact_id IN (3, 7) AS fresh FROM bindings WHERE artifact_id <> 5")
+def snk04(spark, root):
+    """A stored table by artifact in which two artifacts are replaced and one goes; rows of the new version, and whether its predecessor lacks them."""
+    names = bindings(spark, root).select("binding_id", "artifact_id", "binding")
+    store = Store(spark, f"{shared_folder(spark)}/codeweft-{uuid.uuid4().hex}")
+    first = store.publish({"names": names}, "artifact_id")
+    store.replace({"names": names.where("artifact_id in (3, 7)").withColumn("binding", F.upper("binding"))}, "artifact_id", gone=spark.sql("select 5L as key"))
+    before = store.read("names", NAMES, first).select("binding_id", F.col("binding").alias("old"))
+    return store.read("names", NAMES).join(before, "binding_id").select("binding_id", "artifact_id", "binding", (F.col("binding") != F.col("old")).alias("fresh"))
 
 
-def current(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table of the published folder."""
-    return spark.read.parquet(f"{spark.read.text(f'{root}/current').first()[0]}/{name}")
+@query("snk05_published_versions", "SELECT CAST(1 AS BIGINT) AS version, 'names' AS name, count(*) AS rows, sum(binding_id) AS ids FROM bindings WHERE realm = 0 UNION ALL SELECT 1, 'artifacts', count(*), sum(artifact_id) FROM artifacts UNION ALL SELECT 2, 'names', count(*), sum(binding_id) FROM bindings UNION ALL SELECT 2, 'artifacts', count(*), sum(artifact_id) FROM artifacts WHERE artifact_id > 2")
+def snk05(spark, root):
+    """Two full rebuilds of two tables; a reader of the first version still sees all of it after the second."""
+    names, known = bindings(spark, root), artifacts(spark, root)
+    store = Store(spark, f"{shared_folder(spark)}/codeweft-{uuid.uuid4().hex}")
+    versions = [store.publish({"names": n.select("binding_id", "artifact_id", "binding"), "artifacts": a.select("artifact_id", "version")}, "artifact_id") for n, a in ((names.where("realm = 0"), known), (names, known.where("artifact_id > 2")))]
+    out = None
+    for version in versions:
+        for name, schema, key in (("names", NAMES, "binding_id"), ("artifacts", "artifact_id long, version string", "artifact_id")):
+            one = store.read(name, schema, version).agg(F.lit(version).cast("long").alias("version"), F.lit(name).alias("name"), F.count("*").alias("rows"), F.sum(key).alias("ids"))
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
 def stale(configured: DataFrame, compiled: DataFrame, version: int = COMPILER_VERSION) -> DataFrame:
@@ -130,17 +140,17 @@ def src17(spark, root):
 
 def _extracted(spark, root) -> DataFrame:
     """Conversations stand in for extracted files: one declaration and one reference each."""
-    said = table(spark, root, "conversations").where("turn = 0")
-    name = F.concat(F.lit("pkg"), (F.col("conv_id") % 5).cast("string"), F.lit(".sub.C"), F.col("conv_id").cast("string"))
+    said = table(spark, root, "conversations")
+    name = F.concat(F.lit("pkg"), (F.col("conv_id") % 5).cast("string"), F.lit(".sub"), F.col("turn").cast("string"), F.lit(".C"), F.col("conv_id").cast("string"))
     mark = lambda kind, binding, start, duplicate: F.struct(F.lit(start).alias("start"), F.lit(1).alias("length"), F.lit(kind).alias("kind"), binding.alias("binding"), F.lit(None).cast("string").alias("parent"), F.lit(1).alias("type"), F.lit(duplicate).alias("duplicate"))
     marks = F.array(mark("decl", name, 0, False), mark("ref", F.lit("pkg0.sub.C0"), 20, False), mark("ref", F.lit("pkg0.sub.C0"), 20, True))
-    return said.select((F.col("conv_id") % 10).alias("artifact_id"), F.concat(F.lit("f"), F.col("conv_id").cast("string"), F.lit(".java")).alias("path"), "text", marks.alias("annotations"))
+    return said.select((F.col("conv_id") % 10).alias("artifact_id"), F.concat(F.lit("f"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"), F.lit(".java")).alias("path"), "text", marks.alias("annotations"))
 
 
-FILES = ", said AS (SELECT conv_id, conv_id % 10 AS artifact_id, text FROM conversations WHERE turn = 0)"
+FILES = ", said AS (SELECT conv_id, turn, conv_id % 10 AS artifact_id, text FROM conversations)"
 
 
-@query("udtf04_shredded_packages", f"{FILES} SELECT DISTINCT artifact_id, p AS binding FROM said, (VALUES (0), (1), (2)) t(i), LATERAL (SELECT CASE i WHEN 0 THEN '' WHEN 1 THEN 'pkg' || (conv_id % 5) ELSE 'pkg' || (conv_id % 5) || '.sub' END AS p)")
+@query("udtf04_shredded_packages", f"{FILES} SELECT DISTINCT artifact_id, p AS binding FROM said, (VALUES (0), (1), (2)) t(i), LATERAL (SELECT CASE i WHEN 0 THEN '' WHEN 1 THEN 'pkg' || (conv_id % 5) ELSE 'pkg' || (conv_id % 5) || '.sub' || turn END AS p)")
 def udtf04(spark, root):
     return shredded(_extracted(spark, root))["package"].select("artifact_id", "binding")
 

@@ -64,16 +64,6 @@ def test_refresh_on_update(spark, tmp_path):
     assert sorted(seen) == [1, 2]
 
 
-def test_replace_and_publish(spark, tmp_path):
-    path = str(tmp_path / "t")
-    ingest.replace_artifacts(spark.createDataFrame([(1, "a"), (2, "b")], "artifact_id int, x string"), path)
-    ingest.replace_artifacts(spark.createDataFrame([(2, "c")], "artifact_id int, x string"), path)
-    assert sorted((r.artifact_id, r.x) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c")]
-    for x in ("old", "new"):
-        ingest.publish(spark, {"t": spark.createDataFrame([(x,)], "x string")}, str(tmp_path / "root"))
-    assert ingest.current(spark, str(tmp_path / "root"), "t").first().x == "new"
-
-
 def test_in_place_choice():
     assert ingest.in_place(3, 10) and not ingest.in_place(4, 10) and not ingest.in_place(0, 0)
 
