@@ -59,10 +59,11 @@ def join01(spark, root):
     return with_files(spark, root).select("type", "artifact_id", "path", "ref_id", "line", "target")
 
 
-@query("sort01_reference_listing", f"SELECT r.type, r.source_artifact_id AS artifact_id, f.path, r.ref_id, r.line FROM {REF_FILE} WHERE r.type = 1 ORDER BY ALL LIMIT 1000")
+@query("sort01_reference_listing", f"SELECT r.type, r.source_artifact_id AS artifact_id, f.path, r.ref_id, r.line, row_number() OVER (ORDER BY r.type, r.source_artifact_id, f.path, r.ref_id, r.line) AS place FROM {REF_FILE}")
 def sort01(spark, root):
-    listed = with_files(spark, root).where("type = 1").select("type", "artifact_id", "path", "ref_id", "line")
-    return listed.orderBy("type", "artifact_id", "path", "ref_id", "line").limit(1000)
+    """All references in the order of the listing."""
+    listed = with_files(spark, root).select("type", "artifact_id", "path", "ref_id", "line")
+    return placed(listed, ["type", "artifact_id", "path", "ref_id", "line"])
 
 
 @query("sort02_own_artifact_first", "SELECT type, source_artifact_id, source_file_id, ref_id, target, row_number() OVER (ORDER BY type, source_artifact_id <> 3, source_artifact_id, source_file_id, ref_id, target, line) AS place FROM refs")
@@ -108,13 +109,12 @@ WHERE CASE WHEN here THEN n <= 3 ELSE n <= rest END"""
 @query("join08_dynamic_top_n", TOPN)
 def join08(spark, root):
     """Per target and type: references of artifact 1 first, then others up to what is left of three."""
-    refs = references(spark, root)
-    group = ["target", "type", F.col("source_artifact_id") == 1]
     order = ["source_artifact_id", "source_file_id", "ref_id", "line"]
-    ranked = refs.withColumn("here", F.col("source_artifact_id") == 1).withColumn("n", F.row_number().over(W.partitionBy(*group).orderBy(*order)))
-    held = F.sum(F.col("here").cast("int")).over(W.partitionBy("target", "type"))
-    rest = F.greatest(F.lit(0), 3 - F.col("held"))
-    return ranked.withColumn("held", held).where(F.when(F.col("here"), F.col("n") <= 3).otherwise(F.col("n") <= rest)).select("target", "type", *order)
+    refs = references(spark, root).select("target", "type", *order, (F.col("source_artifact_id") == 1).alias("here"))
+    # Three of each side at most are of use: tasks drop the rest before the shuffle, and count what is left.
+    ranked = refs.withColumn("n", F.row_number().over(W.partitionBy("target", "type", "here").orderBy(*order))).where("n <= 3")
+    held = F.count_if("here").over(W.partitionBy("target", "type"))
+    return ranked.withColumn("held", held).where("here or n <= 3 - held").select("target", "type", *order)
 
 
 @query("join09_scalar_subquery", "SELECT target, type, count(*) AS count FROM refs WHERE target = (SELECT min(binding_id) FROM bindings WHERE binding = 'com.small.BlueBolt2') GROUP BY ALL")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from codeweft.functions.scalars import html_escaped
 from codeweft.operators.intervals import line_diff
 from codeweft.plans.register import query
-from codeweft.sources.tables import table
+from codeweft.sources.tables import once, table
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -143,3 +143,25 @@ def diff05_rendered(spark, root):
     rows = interleaved(pairs, html, new)
     side = lambda skip: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("status") != skip, F.struct("nth", "html")))), lambda x: x["html"]), "\n"), 256)
     return rows.groupBy("key").agg(side("INSERTION").alias("old_sha"), side("DELETION").alias("new_sha"))
+
+
+def annotated(spark, root) -> DataFrame:
+    """Texts stored with their marks as an array of structs, written when first asked for."""
+
+    def write(path: str) -> DataFrame:
+        docs = _documents(spark, root)
+        mark = F.struct("start", "length", "tag")
+        held = found_marks(docs).groupBy("doc").agg(F.array_sort(F.collect_list(mark)).alias("annotations"))
+        none = F.array().cast("array<struct<start:int,length:int,tag:string>>")
+        docs.join(held, "doc", "left").withColumn("annotations", F.coalesce("annotations", none)).write.parquet(path)
+        return spark.read.schema("doc long, text string, annotations array<struct<start:int,length:int,tag:string>>").parquet(path)
+
+    return once(spark, (root, "annotated"), write)
+
+
+@query("src17_pruned_annotations", "SELECT doc_id AS doc, CAST(len(regexp_extract_all(text, '[a-z]{8,}')) AS INT) AS words, CAST(len(regexp_extract_all(text, '[^.\n]+[.]')) AS INT) AS sentences FROM documents")
+def src17(spark, root):
+    """Marks of each kind: the scan reads the tags alone, neither texts nor ranges."""
+    tags = F.col("annotations.tag")
+    count = lambda tag: F.size(F.filter(tags, lambda x: x == tag))
+    return annotated(spark, root).select("doc", count("b").alias("words"), count("i").alias("sentences"))

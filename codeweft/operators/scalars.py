@@ -198,12 +198,6 @@ def agg08(spark, root):
     return table(spark, root, "conversations").groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(parts, lambda x: x["text"]), "\n"), 256).alias("texts"), F.count("*").alias("n"))
 
 
-@query("agg12_heavy_hitters", "SELECT word, count(*) AS count FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY word ORDER BY count DESC, word LIMIT 50")
-def agg12(spark, root):
-    words = table(spark, root, "documents").select(F.explode(F.split("text", " ")).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "word").limit(50)
-
-
 @query("agg14_best_platform", "SELECT path, min_by(artifact_id, {'rank': CASE artifact_id WHEN 3 THEN 0 WHEN 1 THEN 1 ELSE 2 END, 'a': artifact_id}) AS artifact_id FROM files GROUP BY path")
 def agg14(spark, root):
     rank = F.when(F.col("artifact_id") == 3, 0).when(F.col("artifact_id") == 1, 1).otherwise(2)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeweft.plans.register import query
-from codeweft.sources.tables import closure, reachable, settled
+from codeweft.sources.tables import closure, placed, reachable, settled, table
 from codeweft.sources.views import artifacts, bindings
 
 
@@ -119,16 +121,49 @@ def tree06(spark, root):
     return at.join(other, "coordinate").where("artifact_id <> other").select("artifact_id", F.col("v").alias("version"))
 
 
-@query("sort09_topological_order", f"{WALK} SELECT id, max(depth) AS rank FROM walk GROUP BY id")
+def topological(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, rank) of nodes (id) with edges (a, b), a before b: the longest way to a node from one without a way in.
+
+    Each round takes away the nodes that no edge leads to any more, and their edges, so a node goes once all that
+    lead to it are gone; as many rounds as the longest way. Nodes on a cycle or behind one never go: their rank is null.
+    An edge to or from what is no node, or from a node to itself, is none, or a cycle.
+    """
+    every = settled(nodes.select("id").distinct())
+    known = lambda c: every.select(F.col("id").alias(c))
+    edges = settled(edges.select("a", "b").distinct().join(known("a"), "a", "left_semi").join(known("b"), "b", "left_semi").select("a", "b"))
+    left, ranked, rank = every, [], 0
+    while True:
+        free = settled(left.join(edges.select(F.col("b").alias("id")).distinct(), "id", "left_anti"))
+        if free.isEmpty():
+            break
+        ranked.append(free.withColumn("rank", F.lit(rank)))  # the rounds stay tables of their own
+        gone = free.select(F.col("id").alias("a"))
+        left, edges, rank = settled(left.join(free, "id", "left_anti")), settled(edges.join(gone, "a", "left_anti")), rank + 1
+    return reduce(DataFrame.unionByName, ranked, left.withColumn("rank", F.lit(None).cast("int")))
+
+
+_DAG = "SELECT p_partkey AS a, p_partkey * 2 AS b FROM part UNION SELECT p_partkey, p_partkey * 3 FROM part UNION SELECT p_partkey + 1, p_partkey FROM part WHERE p_partkey % 100 = 34 UNION SELECT p_partkey, p_partkey + 1 FROM part WHERE p_partkey % 100 = 34"
+
+
+@query("sort09_topological_order", f""", pairs AS (SELECT * FROM ({_DAG}) WHERE b IN (SELECT p_partkey FROM part) AND a IN (SELECT p_partkey FROM part)),
+knotted(id) AS (SELECT a FROM pairs WHERE EXISTS (SELECT 1 FROM pairs q WHERE q.a = pairs.b AND q.b = pairs.a) UNION SELECT b FROM knotted JOIN pairs ON a = id),
+ways(id, n) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey NOT IN (SELECT b FROM pairs) UNION SELECT b, n + 1 FROM ways JOIN pairs ON a = id WHERE b NOT IN (SELECT id FROM knotted))
+SELECT p_partkey AS id, CASE WHEN p_partkey IN (SELECT id FROM knotted) THEN NULL ELSE (SELECT max(n) FROM ways WHERE id = p_partkey) END AS rank FROM part""")
 def sort09(spark, root):
-    """The rank of each node is the longest way from a root: ordering by it puts parents first."""
-    return descend(_nodes(spark, root)).groupBy("id").agg(F.max("depth").alias("rank"))
+    """Parts behind their halves and thirds; some stand in cycles of two."""
+    part = table(spark, root, "part").select(F.col("p_partkey").alias("id"))
+    few = part.where("id % 100 = 34")
+    edges = part.selectExpr("id a", "id * 2 b").union(part.selectExpr("id a", "id * 3 b")).union(few.selectExpr("id + 1 a", "id b")).union(few.selectExpr("id a", "id + 1 b"))
+    return topological(part, edges)
 
 
 @query("sort04_display_order", "SELECT binding_id, row_number() OVER (PARTITION BY realm ORDER BY artifact_id, CASE WHEN source_file_id IS NULL THEN binding END NULLS LAST, source_file_id, binding_id) AS place FROM bindings")
 def sort04(spark, root):
-    order = ["artifact_id", F.when(F.col("source_file_id").isNull(), F.col("binding")).asc_nulls_last(), "source_file_id", "binding_id"]
-    return bindings(spark, root).select("binding_id", F.row_number().over(W.partitionBy("realm").orderBy(*order)).alias("place"))
+    """Numbered by ranges over all realms, then from each realm's first."""
+    order = ["realm", "artifact_id", F.when(F.col("source_file_id").isNull(), F.col("binding")).asc_nulls_last(), "source_file_id", "binding_id"]
+    rows = settled(placed(bindings(spark, root).select("binding_id", "realm", "artifact_id", "binding", "source_file_id"), order))
+    first = rows.groupBy("realm").agg(F.min("place").alias("first"))  # a row a realm
+    return rows.join(first, "realm").select("binding_id", (F.col("place") - F.col("first") + 1).cast("long").alias("place"))
 
 
 OLDNEW = ", o AS (SELECT binding_id % 1000 AS k, min(modifiers) AS m, min(parent % 1000) AS p FROM bindings WHERE realm = 0 GROUP BY 1), n AS (SELECT binding_id // 2 % 1000 AS k, min(modifiers) AS m, min(parent % 1000) AS p FROM bindings WHERE realm = 1 GROUP BY 1), own AS (SELECT coalesce(o.k, n.k) AS k, coalesce(n.p, o.p) AS p, CASE WHEN o.k IS NULL THEN 'INSERTION' WHEN n.k IS NULL THEN 'DELETION' WHEN o.m = n.m THEN 'UNCHANGED' ELSE 'CHANGED' END AS s FROM o FULL JOIN n ON o.k = n.k)"
@@ -156,11 +191,77 @@ def changed_inside(own: DataFrame) -> DataFrame:
     return own.join(marked, "k", "left").select("k", F.when((F.col("s") == "UNCHANGED") & F.col("below"), "CHANGED_INTERNALLY").otherwise(F.col("s")).alias("status"))
 
 
-@query("diff02_ordered_package_diff", ", o AS (SELECT DISTINCT lower(binding) AS k FROM bindings WHERE realm = 0), n AS (SELECT DISTINCT lower(binding) AS k FROM bindings WHERE realm = 1) SELECT coalesce(o.k, n.k) AS k, CASE WHEN o.k IS NULL THEN 'INSERTION' WHEN n.k IS NULL THEN 'DELETION' ELSE 'UNCHANGED' END AS status FROM o FULL JOIN n ON o.k = n.k")
+def tree_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(old_id, new_id, depth, names, status) of two trees (id, parent, name), roots without parent.
+
+    Level by level: children are matched below matched parents only, by their names without regard to case and, of
+    equal ones, by their order (name, then id); all below a node without a partner is inserted or deleted. A matched
+    node is CHANGED_INTERNALLY if something below it is not the same. `names` is the way from the root: its order,
+    then the ids', is the order of display. As many rounds as levels; a node below a missing parent or in a cycle
+    is not in the tree.
+    """
+    kin = W.partitionBy("parent", F.lower("name")).orderBy("name", "id")
+    sides = [settled(side.select("id", "parent", "name").withColumn("nth", F.row_number().over(kin))) for side in (old, new)]
+    key = ["above", "low", "nth"]
+    of = lambda side, name, above: side.select(F.col("id").alias(f"{name}_id"), F.lower("name").alias("low"), "nth", above)
+    tops = [of(side.where("parent is null"), name, F.lit(0).cast("long").alias("above")) for side, name in zip(sides, ("old", "new"), strict=True)]
+    levels, depth, names = [], 0, F.array("low")
+    level = tops[0].join(tops[1], key, "full").withColumn("way", names)
+    while True:
+        level = settled(level.select(F.monotonically_increasing_id().alias("node"), F.col("above"), "old_id", "new_id", "way"))
+        if level.isEmpty():
+            break
+        levels.append(level.withColumn("depth", F.lit(depth)))
+        below = []
+        for side, name in zip(sides, ("old", "new"), strict=True):
+            parents = level.where(f"{name}_id is not null").select(F.col(f"{name}_id").alias("parent"), F.col("node").alias("above"))
+            below.append(of(side.join(parents, "parent"), name, F.col("above")))
+        ways = level.select(F.col("node").alias("above"), F.col("way").alias("upper"))
+        level = below[0].join(below[1], key, "full").join(ways, "above").withColumn("way", F.concat("upper", names))
+        depth += 1
+    status = F.when(F.col("old_id").isNull(), "INSERTION").when(F.col("new_id").isNull(), "DELETION").otherwise("UNCHANGED")
+    # From the lowest level up: what changed, or holds a change, marks its parent.
+    out, marked = [], None
+    for level in reversed(levels):
+        now = level.withColumn("status", status)
+        if marked is not None:
+            now = now.join(marked.select(F.col("above").alias("node"), F.lit(True).alias("inside")), "node", "left")
+            now = now.withColumn("status", F.when((F.col("status") == "UNCHANGED") & F.col("inside"), "CHANGED_INTERNALLY").otherwise(F.col("status"))).drop("inside")
+        now = settled(now)
+        marked = now.where("status <> 'UNCHANGED'").select("above").distinct()
+        out.append(now.select("old_id", "new_id", "depth", F.col("way").alias("names"), "status"))
+    if not out:
+        return old.sparkSession.createDataFrame([], f"old_id {old.schema['id'].dataType.simpleString()}, new_id {new.schema['id'].dataType.simpleString()}, depth int, names array<string>, status string")
+    return reduce(DataFrame.unionByName, out)
+
+
+def _packages(spark, root, realm: int) -> DataFrame:
+    """The tree of a realm's page addresses: host labels from the right, then path segments; names in mixed case."""
+    pages = table(spark, root, "pages").where(F.col("page_id") % 2 == realm)
+    parts = F.concat(F.reverse(F.split(F.regexp_extract("url", "://([^/]+)", 1), r"\.")), F.filter(F.split(F.regexp_extract("url", "://[^/]+/(.*)", 1), "[/?#=&]"), lambda x: x != ""))
+    each = pages.select(parts.alias("p")).select("p", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("n"))
+    upto = lambda n: F.array_join(F.slice("p", F.lit(1), n), "/")
+    name = F.element_at("p", F.col("n"))
+    return each.select(upto(F.col("n")).alias("id"), F.when(F.col("n") > 1, upto(F.col("n") - 1)).alias("parent"), (F.upper(name) if realm else name).alias("name")).distinct()
+
+
+_PACKAGES = r"""(SELECT DISTINCT array_to_string(p[1:n], '/') AS id, CASE WHEN n > 1 THEN array_to_string(p[1:n - 1], '/') END AS parent, lower(p[n]) AS name FROM (SELECT p, unnest(range(1, len(p) + 1)) AS n FROM (
+  SELECT list_concat(list_reverse(string_split(regexp_extract(url, '://([^/]+)', 1), '.')), list_filter(regexp_split_to_array(regexp_extract(url, '://[^/]+/(.*)', 1), '[/?#=&]'), lambda x: x <> '')) AS p FROM pages WHERE page_id % 2 = {})))"""
+
+
+@query("diff02_ordered_package_diff", f""", o AS {_PACKAGES.format(0)}, n AS {_PACKAGES.format(1)},
+walk(old_id, new_id, depth, names) AS (
+  SELECT o.id, n.id, 0, [coalesce(o.name, n.name)] FROM (SELECT * FROM o WHERE parent IS NULL) o FULL JOIN (SELECT * FROM n WHERE parent IS NULL) n ON o.name = n.name
+  UNION ALL
+  SELECT c.old_id, c.new_id, w.depth + 1, list_append(w.names, c.name) FROM walk w JOIN (
+    SELECT o.id AS old_id, n.id AS new_id, coalesce(o.name, n.name) AS name, o.parent AS old_parent, n.parent AS new_parent FROM (SELECT * FROM o WHERE parent IS NOT NULL) o FULL JOIN (SELECT * FROM n WHERE parent IS NOT NULL) n ON o.parent = n.parent AND o.name = n.name) c
+  ON CASE WHEN c.old_id IS NOT NULL THEN c.old_parent = w.old_id ELSE c.new_parent = w.new_id END),
+own AS (SELECT *, array_to_string(names, '/') AS way, CASE WHEN old_id IS NULL THEN 'INSERTION' WHEN new_id IS NULL THEN 'DELETION' ELSE 'UNCHANGED' END AS s FROM walk),
+above AS (SELECT DISTINCT array_to_string(names[1:k], '/') AS way FROM (SELECT names, unnest(range(1, len(names))) AS k FROM own WHERE s <> 'UNCHANGED'))
+SELECT CAST(depth AS INT) AS depth, own.way, CASE WHEN s = 'UNCHANGED' AND above.way IS NOT NULL THEN 'CHANGED_INTERNALLY' ELSE s END AS status FROM own LEFT JOIN above USING (way)""")
 def diff02(spark, root):
-    side = lambda r, x: bindings(spark, root).where(f"realm = {r}").select(F.lower("binding").alias("k"), F.lit(True).alias(x)).distinct()
-    both = side(0, "o").join(side(1, "n"), "k", "full")
-    return both.select("k", F.when(F.col("o").isNull(), "INSERTION").when(F.col("n").isNull(), "DELETION").otherwise("UNCHANGED").alias("status"))
+    """Two realms' address trees, of seven levels and more."""
+    return tree_diff(_packages(spark, root, 0), _packages(spark, root, 1)).select("depth", F.array_join("names", "/").alias("way"), "status")
 
 
 @query("join19_correspondence", ", b0 AS (SELECT binding, min(binding_id) AS source_id FROM bindings WHERE realm = 0 GROUP BY binding), b1 AS (SELECT binding, min(binding_id) AS bytecode_id FROM bindings WHERE realm = 1 GROUP BY binding) SELECT binding, source_id, bytecode_id FROM b0 JOIN b1 USING (binding)")

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeweft.plans.register import query
-from codeweft.sources.tables import table
+from codeweft.sources.tables import placed, table
 from codeweft.sources.views import artifacts, bindings
 
 
@@ -37,7 +37,7 @@ def ver01(spark, root):
 
 @query("sort05_global_version_order", f"{KEYED} SELECT artifact_id, version, row_number() OVER (ORDER BY k, artifact_id) AS place FROM keyed")
 def sort05(spark, root):
-    return keyed(spark, root).select("artifact_id", "version", F.row_number().over(W.orderBy("k", "artifact_id")).alias("place"))
+    return placed(keyed(spark, root).select("artifact_id", "version", "k"), ["k", "artifact_id"]).select("artifact_id", "version", "place")
 
 
 @query("agg13_versions_of_coordinate", f"{KEYED} SELECT coordinate, count(*) AS versions, min_by(version, k) AS newest FROM keyed GROUP BY coordinate")

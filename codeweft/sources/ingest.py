@@ -132,12 +132,6 @@ def src05(spark, root):
     return table(spark, root, "supplier").where("s_suppkey = 7").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
 
 
-@query("src17_pruned_annotations", "SELECT doc_id, CAST(len(regexp_extract_all(text, '\\b[A-Z][a-z]+')) AS INT) AS marks FROM documents")
-def src17(spark, root):
-    """Only the pieces of a nested array that a query needs are built."""
-    return table(spark, root, "documents").select("doc_id", F.regexp_count("text", F.lit(r"\b[A-Z][a-z]+")).alias("marks"))
-
-
 def _extracted(spark, root) -> DataFrame:
     """Conversations stand in for extracted files: one declaration and one reference each."""
     said = table(spark, root, "conversations")
