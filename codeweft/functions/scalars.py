@@ -11,8 +11,19 @@ from pyspark.sql.types import StringType
 CRAWLERS = "Googlebot Bingbot Slurp DuckDuckBot Baiduspider YandexBot Sogou Exabot facebot facebookexternalhit ia_archiver DotBot SemrushBot AhrefsBot".split()
 #: Primitive types of methods' parameters.
 PRIMITIVES = "boolean byte char short int long float double void".split()
-#: Access bits and their names.
+#: Access bits and their names, by what they stand on.
 METHOD_FLAGS = {0x1: "public", 0x2: "private", 0x4: "protected", 0x8: "static", 0x10: "final", 0x20: "synchronized", 0x100: "native", 0x400: "abstract", 0x800: "strict"}
+CLASS_FLAGS = {0x1: "public", 0x10: "final", 0x20: "super", 0x200: "interface", 0x400: "abstract", 0x1000: "synthetic", 0x2000: "annotation", 0x4000: "enum", 0x8000: "module"}
+FIELD_FLAGS = {0x1: "public", 0x2: "private", 0x4: "protected", 0x8: "static", 0x10: "final", 0x40: "volatile", 0x80: "transient", 0x1000: "synthetic", 0x4000: "enum"}
+MODULE_FLAGS = {0x20: "open", 0x1000: "synthetic", 0x8000: "mandated"}
+FLAGS = {"method": METHOD_FLAGS, "class": CLASS_FLAGS, "field": FIELD_FLAGS, "module": MODULE_FLAGS}
+#: Instructions in the order of their codes; braces stand for each letter, word or number in them.
+INSTRUCTIONS = """nop aconst_null iconst_m1 iconst_{0-5} lconst_{0-1} fconst_{0-2} dconst_{0-1} bipush sipush ldc ldc_w ldc2_w
+{ilfda}load {ilfda}load_{0-3} {ilfdabcs}aload {ilfda}store {ilfda}store_{0-3} {ilfdabcs}astore pop pop2 dup dup_x1 dup_x2 dup2 dup2_x1 dup2_x2 swap
+{ilfd}add {ilfd}sub {ilfd}mul {ilfd}div {ilfd}rem {ilfd}neg {il}shl {il}shr {il}ushr {il}and {il}or {il}xor iinc
+i2l i2f i2d l2i l2f l2d f2i f2l f2d d2i d2l d2f i2b i2c i2s lcmp fcmpl fcmpg dcmpl dcmpg if{eq,ne,lt,ge,gt,le} if_icmp{eq,ne,lt,ge,gt,le} if_acmp{eq,ne}
+goto jsr ret tableswitch lookupswitch {ilfda}return return getstatic putstatic getfield putfield invokevirtual invokespecial invokestatic invokeinterface invokedynamic
+new newarray anewarray arraylength athrow checkcast instanceof monitorenter monitorexit wide multianewarray ifnull ifnonnull goto_w jsr_w"""
 #: Descriptor letters.
 LETTERS = {"B": "byte", "C": "char", "D": "double", "F": "float", "I": "int", "J": "long", "S": "short", "Z": "boolean", "V": "void"}
 
@@ -47,9 +58,28 @@ def method_pattern(term: Column) -> Column:
     return F.concat(name, F.lit("("), F.array_join(F.transform(F.split(inner, ","), lambda p: one(F.trim(p))), ","), F.lit(")"))
 
 
-def flags(bits: Column) -> Column:
-    """Names of the access bits that are set."""
-    pairs = F.array(*[F.struct(F.lit(b).alias("bit"), F.lit(n).alias("name")) for b, n in METHOD_FLAGS.items()])
+def mnemonics() -> list[str]:
+    """The instruction of each code, from 0."""
+
+    def expanded(name: str) -> list[str]:
+        head, _, rest = name.partition("{")
+        if not rest:
+            return [name]
+        inner, _, tail = rest.partition("}")
+        each = inner.split(",") if "," in inner else [str(i) for i in range(int(inner[0]), int(inner[-1]) + 1)] if "-" in inner else list(inner)
+        return [head + e + t for e in each for t in expanded(tail)]
+
+    return [m for name in INSTRUCTIONS.split() for m in expanded(name)]
+
+
+def mnemonic(code: Column) -> Column:
+    """The instruction of a code; null if there is none."""
+    return F.get(F.array(*[F.lit(m) for m in mnemonics()]), code.cast("int"))
+
+
+def flags(bits: Column, target: str = "method") -> Column:
+    """Names of the access bits that are set on a method, class, field or module."""
+    pairs = F.array(*[F.struct(F.lit(b).alias("bit"), F.lit(n).alias("name")) for b, n in FLAGS[target].items()])
     return F.transform(F.filter(pairs, lambda x: bits.bitwiseAND(x["bit"]) != 0), lambda x: x["name"])
 
 

@@ -50,9 +50,20 @@ def join20(spark, root):
     return a.join(b, "id").where("n1 < n2 and s1 < e2 and s2 < e1").groupBy("id", "n1", "n2").agg(F.count("*").alias("c"))
 
 
-@query("ivl02_merge_equal_spans", f"{SPANS} SELECT id, start, stop, array_to_string(list_sort(list(DISTINCT n)), ',') AS styles FROM spans GROUP BY id, start, stop")
+def merged_spans(frame: DataFrame) -> DataFrame:
+    """(id, start, stop, styles, ref) of (id, start, stop, style, ref): one row a range, with the styles of all in order and the
+    one reference among them. Two different references on one range are an error that names it."""
+    refs = F.collect_set("ref")
+    where = F.concat_ws(" ", F.lit("more than one reference at"), F.col("id").cast("string"), F.col("start").cast("string"), F.col("stop").cast("string"))
+    out = frame.groupBy("id", "start", "stop").agg(F.array_sort(F.collect_set("style")).alias("styles"), refs.alias("refs"))
+    return out.select("id", "start", "stop", "styles", F.when(F.size("refs") > 1, F.raise_error(where)).otherwise(F.get("refs", F.lit(0))).alias("ref"))
+
+
+@query("ivl02_merge_equal_spans", f"{SPANS} SELECT id, start, stop, array_to_string(list_sort(list(DISTINCT n)), ',') AS styles, CASE WHEN start % 3 = 0 THEN id * 7 + stop END AS ref FROM spans GROUP BY id, start, stop")
 def ivl02(spark, root):
-    return spans(spark, root).groupBy("id", "start", "stop").agg(F.array_join(F.transform(F.array_sort(F.collect_set("n")), lambda x: x.cast("string")), ",").alias("styles"))
+    """Styles of equal ranges united; some ranges refer to something, each to one thing."""
+    marks = spans(spark, root).select("id", "start", "stop", F.col("n").alias("style"), F.when(F.col("start") % 3 == 0, F.col("id") * 7 + F.col("stop")).alias("ref"))
+    return merged_spans(marks).select("id", "start", "stop", F.array_join(F.transform("styles", lambda x: x.cast("string")), ",").alias("styles"), "ref")
 
 
 @query("ivl03_event_sweep", f"{SPANS}, e AS (SELECT id, start AS place, 1 AS d FROM spans UNION ALL SELECT id, stop, -1 FROM spans), s AS (SELECT id, place, sum(d) AS d FROM e GROUP BY ALL) SELECT id, max(level) AS deepest FROM (SELECT id, sum(d) OVER (PARTITION BY id ORDER BY place) AS level FROM s) GROUP BY id")

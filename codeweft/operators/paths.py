@@ -173,15 +173,16 @@ def src04(spark, root):
     return files(spark, root).where((F.col("realm") == 1) & (F.col("artifact_id") == 5) & F.col("path").startswith("tion")).select("source_file_id", "hash")
 
 
-@query("diff06_path_segments", "SELECT a.source_file_id, CAST(len(string_split(b.path, '/')) - len(string_split(a.path, '/')) AS BIGINT) AS net FROM files a JOIN files b ON b.source_file_id = a.source_file_id + 1")
+@query("diff06_path_segments", "SELECT a.source_file_id, a.path AS old, b.path AS new, CAST(len(string_split(b.path, '/')) - len(string_split(a.path, '/')) AS BIGINT) AS net FROM files a JOIN files b ON b.source_file_id = a.source_file_id + 1")
 def diff06(spark, root):
-    """Segments inserted less those deleted between neighbouring paths."""
+    """Segments kept, inserted and deleted between neighbouring paths; both paths read back from them, and the net count."""
     from codeweft.operators.intervals import line_diff
 
     old = files(spark, root).select(F.col("source_file_id").alias("key"), F.replace("path", F.lit("/"), F.lit("\n")).alias("old"))
     new = files(spark, root).select((F.col("source_file_id") - 1).alias("key"), F.replace("path", F.lit("/"), F.lit("\n")).alias("new"))
+    side = lambda skip: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("status") != skip, F.struct("line", "text")))), lambda x: x["text"]), "/")
     edits = line_diff(old.join(new, "key")).groupBy(F.col("key").alias("source_file_id"))
-    return edits.agg((F.count_if(F.col("status") == "INSERTION") - F.count_if(F.col("status") == "DELETION")).alias("net"))
+    return edits.agg(side("INSERTION").alias("old"), side("DELETION").alias("new"), (F.count_if(F.col("status") == "INSERTION") - F.count_if(F.col("status") == "DELETION")).alias("net"))
 
 
 @query("set02_set_difference", "SELECT artifact_id FROM files WHERE realm = 0 EXCEPT SELECT artifact_id FROM files WHERE path LIKE 'blog%'")

@@ -97,9 +97,11 @@ def fn05(spark, root):
     return table(spark, root, "pages").select("page_id", F.sha2(S.html_escaped(F.col("html")), 256).alias("escaped"))
 
 
-@query("fn08_url_round_trip", "SELECT page_id, url FROM pages")
+@query("fn08_url_round_trip", "SELECT page_id, replace(replace(replace(url_encode(url), '%20', '+'), '~', '%7E'), '%2A', '*') AS escaped, url FROM pages")
 def fn08(spark, root):
-    return table(spark, root, "pages").select("page_id", F.url_decode(F.url_encode("url")).alias("url"))
+    """Form escapes, and what they decode to."""
+    escaped = F.url_encode("url")
+    return table(spark, root, "pages").select("page_id", escaped.alias("escaped"), F.url_decode(escaped).alias("url"))
 
 
 @query("fn09_hashes", "SELECT doc_id, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents")
@@ -134,9 +136,23 @@ def fn13(spark, root):
     return members.crossJoin(pattern).where(F.expr("member ilike pattern")).drop("pattern")  # one row on the right
 
 
-@query("fn14_access_flags", "SELECT binding_id, array_to_string(list_transform(list_filter([" + ", ".join(f"{{'b': {b}, 'n': '{n}'}}" for b, n in S.METHOD_FLAGS.items()) + "], lambda x: (modifiers & x.b) <> 0), lambda x: x.n), ' ') AS flags FROM bindings")
+def _flag_names(bits: str, target: str) -> str:
+    parts = [f"CASE WHEN ({bits} & {b}) <> 0 THEN '{n}' END" for b, n in S.FLAGS[target].items()]
+    return f"concat_ws(' ', {', '.join(parts)})"
+
+
+@query("fn14_access_flags", "SELECT binding_id, " + ", ".join(f"{_flag_names('modifiers * 1031 % 65536', t)} AS {t}_flags" for t in S.FLAGS) + f", {_flag_names('modifiers', 'method')} AS flags FROM bindings")
 def fn14(spark, root):
-    return bindings(spark, root).select("binding_id", F.array_join(S.flags(F.col("modifiers")), " ").alias("flags"))
+    """The same bits as flags of each kind of target."""
+    wide = (F.col("modifiers") * 1031 % 65536).cast("int")
+    return bindings(spark, root).select("binding_id", *[F.array_join(S.flags(wide, t), " ").alias(f"{t}_flags") for t in S.FLAGS], F.array_join(S.flags(F.col("modifiers")), " ").alias("flags"))
+
+
+@query("fn15_mnemonics", "SELECT code, [" + ", ".join(f"'{m}'" for m in S.mnemonics()) + "][code + 1] AS mnemonic, count(*) AS count FROM (SELECT CAST((ref_id * 31 + line * 7 + target) % 210 AS INT) AS code FROM refs) GROUP BY ALL")
+def fn15_codes(spark, root):
+    """References' hashes as instruction codes; codes over the last have no mnemonic."""
+    code = ((F.col("ref_id") * 31 + F.col("line") * 7 + F.col("target")) % 210).cast("int")
+    return references(spark, root).groupBy(code.alias("code")).agg(F.count("*").alias("count")).select("code", S.mnemonic(F.col("code")).alias("mnemonic"), "count")
 
 
 @query("fn15_type_names", "SELECT type, CASE type WHEN 1 THEN 'SUPER_TYPE' WHEN 14 THEN 'FIELD_READ' WHEN 18 THEN 'METHOD_CALL' ELSE 'UNCLASSIFIED' END AS name, count(*) AS count FROM refs GROUP BY ALL")

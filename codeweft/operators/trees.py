@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codeweft.operators.versions import KEYED, keyed
 from codeweft.plans.register import query
 from codeweft.sources.tables import closure, placed, reachable, settled, table
 from codeweft.sources.views import artifacts, bindings
@@ -121,6 +122,21 @@ def tree06(spark, root):
     return at.join(other, "coordinate").where("artifact_id <> other").select("artifact_id", F.col("v").alias("version"))
 
 
+_VERSIONS = f"{KEYED}, held AS (SELECT string_split(coordinate, '/')[1] AS line, artifact_id, version, k, regexp_replace(path, '[0-9]+', '', 'g') AS path FROM files JOIN keyed USING (artifact_id) GROUP BY ALL)"
+
+
+@query("tree06_file_alternatives", f"{_VERSIONS} SELECT line, path, artifact_id, version, CAST(row_number() OVER (PARTITION BY line, path ORDER BY k, artifact_id) AS INT) AS place, count(*) OVER (PARTITION BY line, path) AS alternatives FROM held")
+def tree06_files(spark, root):
+    """The versions that hold a file, newest first: each row's alternatives are the others of its line and path."""
+    from codeweft.sources.views import files
+
+    line = F.substring_index("coordinate", "/", 1)
+    path = F.regexp_replace("path", "[0-9]+", "")
+    held = files(spark, root).select("artifact_id", path.alias("path")).distinct().join(keyed(spark, root), "artifact_id").select(line.alias("line"), "path", "artifact_id", "version", "k")
+    kin = W.partitionBy("line", "path")
+    return held.select("line", "path", "artifact_id", "version", F.row_number().over(kin.orderBy("k", "artifact_id")).alias("place"), F.count("*").over(kin).alias("alternatives"))
+
+
 def topological(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, rank) of nodes (id) with edges (a, b), a before b: the longest way to a node from one without a way in.
 
@@ -166,17 +182,17 @@ def sort04(spark, root):
     return rows.join(first, "realm").select("binding_id", (F.col("place") - F.col("first") + 1).cast("long").alias("place"))
 
 
-OLDNEW = ", o AS (SELECT binding_id % 1000 AS k, min(modifiers) AS m, min(parent % 1000) AS p FROM bindings WHERE realm = 0 GROUP BY 1), n AS (SELECT binding_id // 2 % 1000 AS k, min(modifiers) AS m, min(parent % 1000) AS p FROM bindings WHERE realm = 1 GROUP BY 1), own AS (SELECT coalesce(o.k, n.k) AS k, coalesce(n.p, o.p) AS p, CASE WHEN o.k IS NULL THEN 'INSERTION' WHEN n.k IS NULL THEN 'DELETION' WHEN o.m = n.m THEN 'UNCHANGED' ELSE 'CHANGED' END AS s FROM o FULL JOIN n ON o.k = n.k)"
+OLDNEW = ", o AS (SELECT binding_id % 1000 AS k, min(modifiers) % 4 AS m, min(string_split(binding, '.')[2]) AS d, min(parent % 1000) AS p FROM bindings WHERE realm = 0 GROUP BY 1), n AS (SELECT binding_id // 2 % 1000 AS k, min(modifiers) % 4 AS m, min(string_split(binding, '.')[2]) AS d, min(parent % 1000) AS p FROM bindings WHERE realm = 1 GROUP BY 1), own AS (SELECT coalesce(o.k, n.k) AS k, coalesce(n.p, o.p) AS p, CASE WHEN o.k IS NULL THEN 'INSERTION' WHEN n.k IS NULL THEN 'DELETION' WHEN o.m IS NOT DISTINCT FROM n.m AND o.d IS NOT DISTINCT FROM n.d THEN 'UNCHANGED' ELSE 'CHANGED' END AS s FROM o FULL JOIN n ON o.k = n.k)"
 
 
 @query("diff04_declaration_diff", f"{OLDNEW}, above(k) AS (SELECT p FROM own WHERE s <> 'UNCHANGED' UNION SELECT o.p FROM above a JOIN own o ON o.k = a.k WHERE o.s = 'UNCHANGED') SELECT k, CASE WHEN s = 'UNCHANGED' AND k IN (SELECT k FROM above WHERE k IS NOT NULL) THEN 'CHANGED_INTERNALLY' ELSE s END AS status FROM own")
 def diff04(spark, root):
-    """Two versions of declarations; what is unchanged above a change, at any distance, changed internally."""
+    """Two versions of declarations, equal in binding, modifiers and description; what is unchanged above a change, at any distance, changed internally."""
     b = bindings(spark, root)
-    side = lambda f, k, x: f.groupBy(k.alias("k")).agg(F.min("modifiers").alias(f"m{x}"), F.min(F.col("parent") % 1000).alias(f"p{x}"))
+    side = lambda f, k, x: f.groupBy(k.alias("k")).agg((F.min("modifiers") % 4).alias(f"m{x}"), F.min(F.split("binding", r"\.")[1]).alias(f"d{x}"), F.min(F.col("parent") % 1000).alias(f"p{x}"))
     old = side(b.where("realm = 0"), F.col("binding_id") % 1000, 0).withColumn("in0", F.lit(True))
     new = side(b.where("realm = 1"), F.floor(F.col("binding_id") / 2) % 1000, 1).withColumn("in1", F.lit(True))
-    status = F.when(F.col("in0").isNull(), "INSERTION").when(F.col("in1").isNull(), "DELETION").when(F.col("m0") == F.col("m1"), "UNCHANGED").otherwise("CHANGED")
+    status = F.when(F.col("in0").isNull(), "INSERTION").when(F.col("in1").isNull(), "DELETION").when(F.col("m0").eqNullSafe(F.col("m1")) & F.col("d0").eqNullSafe(F.col("d1")), "UNCHANGED").otherwise("CHANGED")
     own = old.join(new, "k", "full").select("k", F.coalesce("p1", "p0").alias("p"), status.alias("s"))
     return changed_inside(own)
 

@@ -136,9 +136,10 @@ def agg11(spark, root):
     return artifacts(spark, root).groupBy("coordinate").agg(F.count("*").alias("count")).where("count > 1")
 
 
-@query("flt15_stale_artifacts", "SELECT artifact_id FROM artifacts WHERE artifact_id % 12 < 5")
+@query("flt15_stale_artifacts", "SELECT artifact_id FROM artifacts WHERE artifact_id NOT IN (SELECT o_custkey % 120 FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 5 DAY)")
 def flt15(spark, root):
-    """Artifacts whose stored compiler version is behind: an anti join with those up to date."""
-    at = artifacts(spark, root)
-    current = at.where(F.split("version", r"\.")[0].cast("int") >= 5).select("artifact_id")
-    return at.join(current, "artifact_id", "left_anti").select("artifact_id")
+    """Artifacts that no compilation of the last five days brought up to date: an anti join with those that are."""
+    compiled = table(spark, root, "orders").select((F.col("o_custkey") % 120).alias("artifact_id"), "o_orderdate")
+    last = compiled.agg(F.max("o_orderdate").alias("last"))
+    current = compiled.join(F.broadcast(last)).where(F.col("o_orderdate") >= F.col("last") - F.expr("interval 5 days"))  # one row on the right
+    return artifacts(spark, root).select("artifact_id").join(current, "artifact_id", "left_anti")

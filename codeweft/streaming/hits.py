@@ -29,11 +29,11 @@ def stream_hits(source: DataFrame, path: str, checkpoint: str, late: str = "2 ho
 
 
 def on_update(updates: DataFrame, refreshers: list[Callable[[DataFrame, int], None]], checkpoint: str) -> StreamingQuery:
-    """Each micro-batch of updated artifacts, distinct, goes to every refresher: requests that arrive
-    while one runs coalesce into the next batch, and a batch is replayed after a failure."""
+    """Each micro-batch of updated artifacts (artifact_id, requests), each once, goes to every refresher: requests that
+    arrive while one runs coalesce into the next batch, so a run follows each of them; a failed batch is replayed."""
 
     def each(batch: DataFrame, number: int) -> None:
-        changed = batch.select("artifact_id").distinct()
+        changed = settled(batch.groupBy("artifact_id").agg(F.count("*").alias("requests")))
         for refresh in refreshers:
             refresh(changed, number)
 
@@ -122,3 +122,23 @@ def str05(spark: SparkSession, root: str) -> DataFrame:
 
     on_update(updates, [refresh], f"{folder}/checkpoint").awaitTermination()
     return store.read("summary", SUMMARY)
+
+
+@query("str03_listeners", "SELECT artifact_id, listener, count(*) AS requests FROM (SELECT user_id % 50 AS artifact_id FROM events), (VALUES ('artifact'), ('global')) t(listener) WHERE listener = 'artifact' OR artifact_id % 2 = 0 GROUP BY ALL")
+def str03(spark: SparkSession, root: str) -> DataFrame:
+    """Announced updates, a file a batch, handed to two listeners: one hears every artifact, one the even ones; both store what they heard."""
+    folder = fresh_folder(spark)
+    table(spark, root, "events").select((F.col("user_id") % 50).alias("artifact_id")).repartition(3).write.parquet(f"{folder}/in")
+    store = Store(spark, f"{folder}/store")
+    schema = "artifact_id long, listener string, requests long"
+
+    def listener(name: str, only: str) -> Callable[[DataFrame, int], None]:
+        def heard(batch: DataFrame, number: int) -> None:
+            rows = batch.where(only).select("artifact_id", F.lit(name).alias("listener"), "requests")
+            store.merge("heard", schema, rows, "artifact_id", added(["artifact_id", "listener"], "requests"), batch=(name, number))
+
+        return heard
+
+    source = spark.readStream.schema("artifact_id long").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    on_update(source, [listener("artifact", "true"), listener("global", "artifact_id % 2 = 0")], f"{folder}/checkpoint").awaitTermination()
+    return store.read("heard", schema)

@@ -143,3 +143,12 @@ def test_columns(spark):
     assert tuple(row) == ("p&quot;q&lt;&amp;&gt;&#39;", "org.sample.Unit#go", 3, "public static", False)
     got = spark.createDataFrame([("go(long, *)",), ("o.Unit.go(Word,org.sample.Other)",)], "t string").select(S.method_pattern(F.col("t"))).collect()
     assert [r[0] for r in got] == ["%.go(long,%)", "o.Unit#go(%.Word,org.sample.Other)"]
+
+
+def test_mnemonics_stand_at_their_published_codes(spark):
+    names = S.mnemonics()
+    assert len(names) == len(set(names)) == 202
+    known = {0x00: "nop", 0x02: "iconst_m1", 0x12: "ldc", 0x19: "aload", 0x2A: "aload_0", 0x32: "aaload", 0x3A: "astore", 0x60: "iadd", 0x84: "iinc", 0x94: "lcmp", 0xA7: "goto", 0xB0: "areturn", 0xB6: "invokevirtual", 0xBB: "new", 0xC9: "jsr_w"}
+    assert {c: names[c] for c in known} == known
+    got = spark.createDataFrame([(0xBA,), (202,), (None,)], "c int").select(S.mnemonic(F.col("c"))).collect()
+    assert [r[0] for r in got] == ["invokedynamic", None, None]

@@ -64,6 +64,31 @@ def test_refresh_on_update(spark, tmp_path):
     assert sorted(seen) == [1, 2]
 
 
+def test_requests_that_arrive_during_a_run_are_run_again(spark, tmp_path):
+    """A request written while a batch is handled is in a later batch; requests of one batch are one run an artifact."""
+    put = lambda *ids: spark.createDataFrame([(i,) for i in ids], "artifact_id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    put(1, 1, 2)
+    seen = []
+
+    def refresh(batch, number):
+        if not seen:
+            put(1)
+        seen.append({r.artifact_id: r.requests for r in batch.collect()})
+
+    for _ in range(2):
+        hits.on_update(spark.readStream.schema("artifact_id long").parquet(str(tmp_path / "in")), [refresh], str(tmp_path / "mark")).awaitTermination()
+    assert seen == [{1: 2, 2: 1}, {1: 1}]
+
+
+def test_equal_ranges_with_two_references_are_an_error(spark):
+    schema = "id long, start long, stop long, style string, ref string"
+    fine = [(1, 0, 5, "b", "x"), (1, 0, 5, "a", None), (1, 0, 5, "b", "x"), (1, 0, 6, "c", "y")]
+    got = sorted(tuple(r) for r in I.merged_spans(spark.createDataFrame(fine, schema)).collect())
+    assert got == [(1, 0, 5, ["a", "b"], "x"), (1, 0, 6, ["c"], "y")]
+    with pytest.raises(Exception, match="more than one reference at 1 0 5"):
+        I.merged_spans(spark.createDataFrame([*fine, (1, 0, 5, "a", "z")], schema)).collect()
+
+
 def test_in_place_choice():
     assert ingest.in_place(3, 10) and not ingest.in_place(4, 10) and not ingest.in_place(0, 0)
 
