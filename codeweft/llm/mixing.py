@@ -1,11 +1,14 @@
 """Mixing sources to target weights by Pareto order sampling. DataFrame operations only.
 
-Each source gets a target of words; the expected number of copies of its documents is target/size.
-The whole part of it is certain. For the rest, each document draws U from its id and has the
-inclusion odds p/(1-p), p being the fractional part; documents are ranked by their random odds over
-their inclusion odds, Q = (U/(1-U)) / (p/(1-p)), and the lowest ranks are taken until their words
-come nearest to what the source still lacks (at most half of one document off). The sample is thus
-fixed by size in words. Ties in Q go by id, then size; copies of a row tie and are interchangeable.
+Each source gets a target of words. Documents have unequal probabilities: a document is expected in the
+mix `level` * `measure` times, up to `cap`, where its measure falls with the bits of its number of words
+(a mix of few long texts is less varied), and the level of its source is such that the expected words
+are the target. The whole part of the expected copies is certain. For the rest, each document draws U
+from its id and has the inclusion odds p/(1-p), p being its own fractional part; documents are ranked by
+their random odds over their inclusion odds, Q = (U/(1-U)) / (p/(1-p)), and the lowest ranks are taken
+until their words come nearest to what the source still lacks (at most half of one document off). The
+sample is thus fixed by size in words. Ties in Q go by id, then size; copies of a row tie and are
+interchangeable.
 
 No source is sorted as a whole: v = Q/(1+Q) falls in one of `BINS` bins; words per (source, bin) are
 summed map-side, and only the one bin in which a source's sample ends is ranked, rows that are equal in
@@ -14,7 +17,7 @@ document is then judged where it is; only rows equal to a source's last one, if
 and some are not, are numbered. So neither sizes nor texts are shuffled by source.
 
 Nulls: a null text has size 0; a null source is a source, last in order; a null id draws like an
-empty string. A source without words gets target 0. An empty table gives an empty result. Other input
+empty string. A source without words gets target 0. No document is taken more than `cap` times. An empty table gives an empty result. Other input
 columns of any name are left alone; `copies` replaces an input column so named (in `mixed`).
 """
 
@@ -57,6 +60,31 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: int)
     return level.select("source", "source_size", target.alias("target"))
 
 
+def measure(size: Column) -> Column:
+    """What a document's expected copies are proportional to: 60 for one word, 8 for 8192 and more."""
+    return F.greatest(64 - 4 * F.length(F.bin(size)), F.lit(8)).cast("long")
+
+
+def expected(light: DataFrame, wanted: DataFrame, cap: int) -> DataFrame:
+    """(of, kind, source_size, target, whole, part, lack): copies of each source's documents by their measure.
+
+    Water-filling within a source, over its few measures from the largest down: those that the level lifts beyond
+    `cap` copies stay at it, and the level is what the others then need.
+    """
+    kinds = light.groupBy("source", F.col("measure").alias("kind")).agg(F.sum("size").alias("held"))
+    kinds = kinds.join(wanted.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+    every, down = W.partitionBy("source"), W.partitionBy("source").orderBy(F.desc("kind"))
+    full = F.coalesce(F.sum("held").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) * cap
+    open_ = F.sum(F.col("held") * F.col("kind")).over(down.rowsBetween(0, W.unboundedFollowing))
+    kinds = kinds.withColumns({"place": F.row_number().over(down), "level": F.when(open_ > 0, (F.col("target") - full) / open_)})
+    kinds = kinds.withColumn("first", F.min(F.when(F.col("level") * F.col("kind") <= cap, F.col("place"))).over(every))
+    kinds = kinds.withColumn("final", F.max(F.when(F.col("place") == F.col("first"), F.col("level"))).over(every))
+    copies = F.when(F.col("source_size") == 0, 0.0).when(F.col("first").isNull() | (F.col("place") < F.col("first")), float(cap)).otherwise(F.col("final") * F.col("kind"))
+    kinds = kinds.withColumn("whole", F.floor(copies)).withColumn("part", copies - F.col("whole"))
+    kinds = kinds.withColumn("lack", F.col("target") - F.sum(F.col("whole") * F.col("held")).over(every))
+    return kinds.select("of", "kind", "source_size", "target", "whole", "part", "lack")
+
+
 def drawn(key: Column) -> Column:
     """U of a document, between 0 and 1."""
     random = F.conv(F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{SEED}"))), 1, 12), 16, 10)
@@ -67,13 +95,13 @@ def ranked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """`rows` with what is known of their source, their rank q (null where no document is drawn) and its bin."""
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part")))
     # Names differ on the two sides: the source may be null, and the join must keep that row.
-    joined = rows.join(wanted, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("q", F.when(F.col("part") > 0, odds))
+    joined = rows.join(wanted, F.col("source").eqNullSafe(F.col("of")) & (F.col("measure") == F.col("kind"))).drop("of", "kind").withColumn("q", F.when(F.col("part") > 0, odds))
     return joined.withColumn("bin", F.least(F.floor(F.col("q") / (1 + F.col("q")) * BINS), F.lit(BINS - 1)).cast("int"))
 
 
 def ends(light: DataFrame, wanted: DataFrame) -> DataFrame:
     """`wanted` with the place where each source's sample ends: the bin, and in it the last document taken,
-    of whose equals (`same` in all) so many are taken. A row a source."""
+    of whose equals (`same` in all) so many are taken. A row a source and measure."""
     placed = ranked(light, wanted).where("q is not null")
     bins = placed.groupBy("source", "bin", "lack").agg(F.sum("size").alias("held"))
     running = W.partitionBy("source").orderBy("bin")
@@ -112,19 +140,15 @@ def allotted(rows: DataFrame, ended: DataFrame) -> DataFrame:
         number = F.row_number().over(W.partitionBy("source").orderBy("key"))
         sure = sure.unionByName(judged.where("extra is null").withColumn("extra", (number <= F.col("last.many")).cast("long")))
     made = {"copies": F.col("whole") + F.col("extra")}
-    return sure.withColumns(made).drop("whole", "part", "lack", "edge", "last", "q", "bin", "extra")
+    return sure.withColumns(made).drop("measure", "whole", "part", "lack", "edge", "last", "q", "bin", "extra")
 
 
 def _prepared(docs: DataFrame, key: Column, source: Column, text: str, *more: str) -> DataFrame:
-    return docs.select(*more, key.alias("key"), source.cast("string").alias("source"), words(text).alias("size"), drawn(key).alias("u"))
+    return docs.select(*more, key.alias("key"), source.cast("string").alias("source"), words(text).alias("size"), drawn(key).alias("u")).withColumn("measure", measure(F.col("size")))
 
 
 def _ended(light: DataFrame, weights: tuple[int, ...], share: float, cap: int) -> DataFrame:
-    wanted = targets(light, weights, share, cap)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    wanted = wanted.withColumn("whole", F.floor(ratio)).withColumn("part", ratio - F.col("whole"))
-    wanted = wanted.withColumn("lack", F.col("target") - F.col("whole") * F.col("source_size")).withColumnRenamed("source", "of")
-    return ends(light, cut(wanted))
+    return ends(light, cut(expected(light, cut(targets(light, weights, share, cap)), cap)))
 
 
 def mix(
@@ -154,7 +178,7 @@ def mixed(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float
     of = lambda column: F.col(names[docs.columns.index(column)])
     key = F.concat_ws(":", of("doc_id"), F.xxhash64(of("doc_id"), of("text")))
     rows = _prepared(inner, key, of("source"), names[docs.columns.index("text")], *names)
-    light = cut(rows.select("key", "source", "size", "u"))
+    light = cut(rows.select("key", "source", "size", "u", "measure"))
     found = allotted(rows, _ended(light, weights, share, cap)).where("copies > 0").select(*names, "copies")
     kept = [(n, c) for n, c in zip(names, docs.columns, strict=True) if c.lower() != "copies"]
     return found.select(*[F.col(n).alias(c) for n, c in kept], "copies")

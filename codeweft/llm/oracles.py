@@ -58,10 +58,17 @@ levels AS (SELECT *, row_number() OVER o AS place,
 firsts AS (SELECT *, min(CASE WHEN most > level * weight THEN place END) OVER () AS first FROM levels),
 finals AS (SELECT *, max(CASE WHEN place = first THEN level END) OVER () AS final FROM firsts),
 wanted AS (SELECT source, source_size, CASE WHEN place >= first THEN final * weight ELSE CAST(most AS DOUBLE) END AS target FROM finals),
-ratios AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS ratio FROM wanted),
-parts AS (SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS part, target - floor(ratio) * source_size AS lack FROM ratios),
+kinds AS (SELECT l.source, kind, held, target, source_size FROM (SELECT source, greatest(64 - 4 * length(bin(size)), 8) AS kind, CAST(sum(size) AS BIGINT) AS held FROM light GROUP BY ALL) l
+  JOIN wanted w ON l.source IS NOT DISTINCT FROM w.source),
+lifted AS (SELECT *, row_number() OVER o AS place,
+    (target - coalesce(sum(held) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 2) / nullif(sum(held * kind) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS level
+  FROM kinds WINDOW o AS (PARTITION BY source ORDER BY kind DESC)),
+opened AS (SELECT *, min(CASE WHEN level * kind <= 2 THEN place END) OVER (PARTITION BY source) AS first FROM lifted),
+levelled AS (SELECT *, max(CASE WHEN place = first THEN level END) OVER (PARTITION BY source) AS final FROM opened),
+copied AS (SELECT *, CASE WHEN source_size = 0 THEN 0.0::DOUBLE WHEN first IS NULL OR place < first THEN 2.0::DOUBLE ELSE final * kind END AS e FROM levelled),
+parts AS (SELECT source, kind, source_size, target, floor(e) AS whole, e - floor(e) AS part, target - sum(floor(e) * held) OVER (PARTITION BY source) AS lack FROM copied),
 odds AS (SELECT l.*, p.* EXCLUDE (source), CASE WHEN part > 0 THEN (u / (1 - u)) / (part / (1 - part)) END AS q
-  FROM light l JOIN parts p ON l.source IS NOT DISTINCT FROM p.source),
+  FROM light l JOIN parts p ON l.source IS NOT DISTINCT FROM p.source AND p.kind = greatest(64 - 4 * length(bin(size)), 8)),
 mids AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2 AS mid FROM odds)
 SELECT doc_id, size, source_size, target,
   CAST((whole + CASE WHEN q IS NOT NULL AND mid <= lack THEN 1 ELSE 0 END) AS BIGINT) * size AS taken,

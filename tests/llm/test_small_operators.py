@@ -201,6 +201,24 @@ def test_mixing(spark):
     assert mixing.mix(docs.where("size < 0 or text is null")).first().taken == 0
 
 
+def test_sizes_decide_inclusion(spark):
+    """Within a source the odds of a document fall with its number of words, as its measure says."""
+    sizes = [4, 40, 400]
+    docs = spark.createDataFrame([(i, " ".join(["w"] * sizes[i % 3]), "s") for i in range(6000)], "doc_id long, text string, source string")
+    for share in (0.3, 1.0):
+        got = mixing.mix(docs, weights=(1,), share=share).collect()
+        assert abs(sum(r.taken for r in got) - got[0].target) <= 200
+        mean = [sum(r.copies for r in got if r.size == n) / 2000 for n in sizes]
+        kind = [64 - 4 * n.bit_length() for n in sizes]
+        level = got[0].target / sum(2000 * n * k for n, k in zip(sizes, kind, strict=True))
+        assert all(abs(m - level * k) < 0.05 for m, k in zip(mean, kind, strict=True)) and mean[0] > mean[1] > mean[2]
+        # The whole copies are certain.
+        assert all(r.copies >= int(level * k) for r in got for n, k in zip(sizes, kind, strict=True) if r.size == n)
+    # Near the cap all short documents are taken twice, and the level is that of the others.
+    got = mixing.mix(docs, weights=(1,), share=1.9).collect()
+    assert {r.copies for r in got if r.size == 4} == {2} and {r.copies for r in got if r.size == 400} == {1, 2}
+
+
 def test_mixing_takes_repeated_rows_one_by_one(spark):
     rows = [(7, "a b", "s")] * 500 + [(None, "c d", "s")] * 500 + [(i, "e f", "t") for i in range(500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
