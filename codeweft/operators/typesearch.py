@@ -7,7 +7,7 @@ ahead to a component. `jumps` is the least number of jumps that consumes the que
 
 A search is a frontier of (name, letters consumed, place), one join with the suffixes for each jump, of
 which five are allowed at most; of equal (name, letters) only the least place goes on, since every way
-onwards from a later place is open from it too. The suffixes are read once, from the buckets of the
+onwards from a later place is open from it too; names that are done are carried along. The suffixes are read once, from the buckets of the
 query's letters, and shuffled once, by name; all rounds stand in one plan.
 
 Depth 0 is a match of the simple name without jumps, depth d one of the full name with d - 1 jumps.
@@ -68,24 +68,25 @@ def consumed(rest: Column, wanted: str) -> Column:
 def jumps(table_: DataFrame, wanted: str, depth: int = DEPTH) -> DataFrame:
     """(name, jumps, own): names that match with fewer than `depth` jumps; own: the simple name without any."""
     low, n = wanted.lower(), len(wanted)
+    if not n:
+        return table_.limit(0).select("name", F.lit(0).alias("jumps"), "own")
     heads = table_.where(F.col("bucket").isin(sorted({ord(c) % BUCKETS for c in low})))
     heads = heads.where(reduce(Column.__or__, [F.col("rest").startswith(c) for c in sorted(set(low))], F.lit(False)))
     heads = heads.select("name", "start", "own", F.array(*[consumed(F.col("rest"), low[i:]) for i in range(n)], F.lit(0)).alias("reach"))
 
-    def onward(rows: DataFrame, at: Column) -> DataFrame:
-        """Every number of letters that a run can consume, and the least place it ends at."""
-        ran = rows.withColumn("at", at).where(F.get("reach", F.col("at")) > 0).withColumn("run", F.explode(F.sequence(F.lit(1), F.get("reach", F.col("at")))))
-        return ran.groupBy("name", (F.col("at") + F.col("run")).alias("at")).agg(F.min(F.col("start") + F.col("run")).alias("place"))
-
-    simple = heads.where("own").where(F.get("reach", F.lit(0)) == n).select("name").distinct().withColumn("own", F.lit(True))
-    front, found = onward(heads, F.lit(0)), []
-    for count in range(depth):
-        found.append(front.where(F.col("at") == n).select("name", F.lit(count).alias("jumps")))
-        if count < depth - 1:
-            ahead = front.where(F.col("at") < n).withColumnRenamed("at", "done").join(heads, "name").where("start >= place")
-            front = onward(ahead, F.col("done"))
-    best = reduce(DataFrame.unionByName, found).groupBy("name").agg(F.min("jumps").alias("jumps"))
-    return best.join(simple, "name", "left").select("name", "jumps", F.coalesce("own", F.lit(False)).alias("own"))
+    simple = F.max(F.col("own") & (F.get("reach", F.lit(0)) == n))
+    ran = heads.withColumn("run", F.explode(F.sequence(F.lit(0), F.get("reach", F.lit(0)))))
+    # A run of no letters is only kept for what it says of the simple name.
+    front = ran.groupBy("name", F.col("run").alias("at")).agg(F.min(F.col("start") + F.col("run")).alias("place"), simple.alias("own"), F.lit(0).alias("jumps")).where("at > 0")
+    ahead = heads.select(F.col("name").alias("of"), "start", "reach")
+    for count in range(1, depth):
+        # Names that are done stay as they are, others go on or end here.
+        more = (F.col("name") == F.col("of")) & (F.col("at") < n) & (F.col("start") >= F.col("place")) & (F.get("reach", F.col("at")) > 0)
+        met, goes = front.join(ahead, more, "left"), F.col("start").isNotNull()
+        met = met.where(goes | (F.col("at") == n)).withColumn("run", F.explode(F.when(goes, F.sequence(F.lit(1), F.get("reach", F.col("at")))).otherwise(F.array(F.lit(0)))))
+        met = met.select("name", (F.col("at") + F.col("run")).alias("at"), F.when(goes, F.col("start") + F.col("run")).otherwise(F.col("place")).alias("place"), F.when(goes, count).otherwise(F.col("jumps")).alias("jumps"), F.when(goes, False).otherwise(F.col("own")).alias("own"))
+        front = met.groupBy("name", "at").agg(F.min("place").alias("place"), F.max("own").alias("own"), F.min("jumps").alias("jumps"))
+    return front.where(F.col("at") == n).select("name", "jumps", "own")
 
 
 def highlight(parts: list[str], wanted: str, jumps: int) -> list[int] | None:
