@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeweft.plans.register import query
+from codeweft.sources.extract import sources
 from codeweft.sources.tables import table
 
 #: Comments, strings and characters, and the brackets of blocks.
@@ -86,19 +87,6 @@ def declarations(docs: DataFrame) -> DataFrame:
     return found.join(blocks.select("doc", F.col("start").alias("parent"), F.col("kind").alias("parent_kind")), ["doc", "parent"], "left").select("doc", "start", "stop", "kind", "parent", "parent_kind")
 
 
-def _sources(spark, root) -> DataFrame:
-    """A class a conversation: each turn is a method with as many lambdas in each other as the text's length says (0 to 3),
-    within a block, and an anonymous body with an initialiser; the text stands in a comment and a string."""
-    size = F.length("text") % 4
-    quoted = F.regexp_replace("text", r"[\\\"\n*]", " ")
-    method = F.concat(
-        F.lit("void m"), F.col("turn").cast("string"), F.lit("(int a) throws E { /* { "), quoted, F.lit(" */ if (a > 0) { "), F.repeat(F.lit("run(x -> { "), size.cast("int")), F.lit('say("{'), quoted, F.lit('");'),
-        F.repeat(F.lit(" });"), size.cast("int")), F.lit(" } go(new p.T<A>(1) { { b = 2; } int f() { return 1; } }); }\n"),
-    )
-    bodies = table(spark, root, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", method.alias("m")))), lambda x: x["m"]), "").alias("body"))
-    return bodies.select(F.col("conv_id").alias("doc"), F.concat(F.lit("package p; public class C"), F.col("conv_id").cast("string"), F.lit(" { static { a = 1; }\n"), "body", F.lit("}\n")).alias("text"))
-
-
 @query("udtf07_enclosing_declarations", """, said AS (SELECT conv_id, turn, length(text) % 4 AS n FROM conversations), found AS (
   SELECT conv_id AS doc, 'type' AS kind, NULL AS parent_kind, 1 AS n FROM (SELECT DISTINCT conv_id FROM said) UNION ALL SELECT conv_id, 'initializer', 'type', 1 FROM (SELECT DISTINCT conv_id FROM said)
   UNION ALL SELECT conv_id, k, p, 1 FROM said, (VALUES ('method', 'type'), ('anonymous', 'method'), ('initializer', 'anonymous'), ('method', 'anonymous')) t(k, p)
@@ -106,7 +94,7 @@ def _sources(spark, root) -> DataFrame:
 SELECT doc, kind, parent_kind, CAST(sum(n) AS BIGINT) AS count FROM found GROUP BY ALL""")
 def udtf07(spark, root):
     """What each declaration of the sources is enclosed by."""
-    return declarations(_sources(spark, root)).groupBy("doc", "kind", "parent_kind").agg(F.count("*").alias("count"))
+    return declarations(sources(spark, root)).groupBy("doc", "kind", "parent_kind").agg(F.count("*").alias("count"))
 
 
 #: Elements of pages in place of brackets.

@@ -106,13 +106,26 @@ def tree02(spark, root):
     return found.withColumn("rest", F.expr("substring(path, length(artifact) + 2)"))
 
 
-@query("tree05_leaf_view", "SELECT a.artifact_id, count(DISTINCT b.binding_id) FILTER (b.source_file_id IS NULL) AS packages, count(DISTINCT b.binding_id) AS bindings, (SELECT count(*) FROM files f WHERE f.artifact_id = a.artifact_id) AS files FROM artifacts a LEFT JOIN bindings b USING (artifact_id) GROUP BY a.artifact_id")
+@query("tree05_leaf_view", f"""{KEYED}, uses AS (SELECT DISTINCT l_suppkey AS artifact_id, p_partkey % 10 AS used FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_discount = 0 AND l_suppkey <> p_partkey % 10)
+SELECT a.artifact_id, (SELECT count(*) FROM bindings b WHERE b.artifact_id = a.artifact_id AND source_file_id IS NULL) AS packages, (SELECT count(*) FROM bindings b WHERE b.artifact_id = a.artifact_id) AS bindings,
+  (SELECT count(*) FROM files f WHERE f.artifact_id = a.artifact_id AND realm = 0) AS files_0, (SELECT count(*) FROM files f WHERE f.artifact_id = a.artifact_id AND realm = 1) AS files_1,
+  coalesce((SELECT string_agg(CAST(used AS VARCHAR), ',' ORDER BY used) FROM uses u WHERE u.artifact_id = a.artifact_id), '') AS dependencies,
+  coalesce((SELECT string_agg(version, ',' ORDER BY k, o.artifact_id) FROM keyed o WHERE o.coordinate = a.coordinate AND o.artifact_id <> a.artifact_id), '') AS alternatives
+FROM artifacts a""")
 def tree05(spark, root):
+    """What a leaf's page shows: packages and names, files of both realms, what the artifact uses, and its other versions, newest first."""
     from codeweft.sources.views import files
 
     by = bindings(spark, root).groupBy("artifact_id").agg(F.count_if(F.col("source_file_id").isNull()).alias("packages"), F.count("*").alias("bindings"))
-    held = files(spark, root).groupBy("artifact_id").agg(F.count("*").alias("files"))
-    return artifacts(spark, root).select("artifact_id").join(by, "artifact_id", "left").join(held, "artifact_id", "left").na.fill(0)
+    held = files(spark, root).groupBy("artifact_id").agg(*[F.count_if(F.col("realm") == r).alias(f"files_{r}") for r in (0, 1)])
+    lines = table(spark, root, "lineitem").where("l_discount = 0").select(F.col("l_suppkey").alias("artifact_id"), F.col("l_partkey").alias("p_partkey"))
+    uses = lines.join(table(spark, root, "part").select("p_partkey", (F.col("p_partkey") % 10).alias("used")), "p_partkey").where("artifact_id <> used").select("artifact_id", "used").distinct()
+    uses = uses.groupBy("artifact_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("used")), lambda x: x.cast("string")), ",").alias("dependencies"))
+    at = keyed(spark, root)
+    kin = at.groupBy("coordinate").agg(F.array_sort(F.collect_list(F.struct("k", "artifact_id", "version"))).alias("kin"))  # the versions of one library
+    others = F.filter("kin", lambda x: x["artifact_id"] != F.col("artifact_id"))
+    out = at.join(kin, "coordinate").select("artifact_id", F.array_join(F.transform(others, lambda x: x["version"]), ",").alias("alternatives"))
+    return out.join(by, "artifact_id", "left").join(held, "artifact_id", "left").join(uses, "artifact_id", "left").na.fill(0).na.fill("", ["dependencies"])
 
 
 @query("tree06_alternatives", "SELECT a.artifact_id, b.version FROM artifacts a JOIN artifacts b ON a.coordinate = b.coordinate AND a.artifact_id <> b.artifact_id")

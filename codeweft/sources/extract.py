@@ -209,24 +209,45 @@ def udtf06(spark, root):
     return overridden(part.where("p_partkey > 0").selectExpr("p_partkey type", "p_partkey div 3 base"), part.selectExpr("p_partkey type", "p_size % 4 method"))
 
 
-@query("udtf03_styles")
+def sources(spark, root) -> DataFrame:
+    """A class a conversation: each turn is a method with as many lambdas in each other as the text's length says (0 to 3),
+    within a block, and an anonymous body with an initialiser; the text stands in a comment and a string."""
+    size = F.length("text") % 4
+    quoted = F.regexp_replace("text", r"[\\\"\n*]", " ")
+    method = F.concat(
+        F.lit("void m"), F.col("turn").cast("string"), F.lit("(int a) throws E { /* { "), quoted, F.lit(" */ if (a > 0) { "), F.repeat(F.lit("run(x -> { "), size.cast("int")), F.lit('say("{'), quoted, F.lit('");'),
+        F.repeat(F.lit(" });"), size.cast("int")), F.lit(" } go(new p.T<A>(1) { { b = 2; } int f() { return 1; } }); }\n"),
+    )
+    bodies = table(spark, root, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", method.alias("m")))), lambda x: x["m"]), "").alias("body"))
+    return bodies.select(F.col("conv_id").alias("doc"), F.concat(F.lit("package p; public class C"), F.col("conv_id").cast("string"), F.lit(" { static { a = 1; }\n"), "body", F.lit("}\n")).alias("text"))
+
+
+SAID = ", said AS (SELECT conv_id AS doc, length(text) % 4 AS n FROM conversations)"
+
+
+@query("udtf03_styles", f"""{SAID} SELECT style, CAST(sum(n) AS BIGINT) AS count FROM (
+  SELECT style, m AS n FROM (SELECT DISTINCT doc FROM said), (VALUES ('keyword', 4), ('number', 1)) t(style, m)
+  UNION ALL SELECT style, m FROM said, (VALUES ('comment', 1), ('string', 1), ('number', 4), ('keyword', 7)) t(style, m)) GROUP BY style""")
 def udtf03(spark, root):
-    """Style classes of conversation texts taken as sources (no SQL twin: a scanner)."""
+    """Style classes of the sources made of each conversation."""
 
     def run(batches):
         for batch in batches:
             yield pd.DataFrame([(k,) for t in batch.text for _, _, k in styles(t or "")], columns=["style"])
 
-    return table(spark, root, "conversations").select("text").mapInPandas(run, "style string").groupBy("style").agg(F.count("*").alias("count"))
+    return sources(spark, root).select("text").mapInPandas(run, "style string").groupBy("style").agg(F.count("*").alias("count"))
 
 
-@query("udtf01_extracted_java", "SELECT conv_id AS artifact_id, 2 AS decls, 1 AS refs FROM (SELECT DISTINCT conv_id FROM conversations)")
+@query("udtf01_extracted_java", f"""{SAID} SELECT doc AS artifact_id, kind, binding, CAST(count(*) AS BIGINT) AS count FROM (
+  SELECT DISTINCT doc, 'decl' AS kind, 'p.C' || doc AS binding FROM said
+  UNION ALL SELECT conv_id, 'decl', 'p.C' || conv_id || '#m' || turn || '(int)' FROM conversations
+  UNION ALL SELECT doc, kind, replace(b, '@', 'p.C' || doc) FROM said, (VALUES ('decl', '@#f()'), ('ref', 'say'), ('ref', 'go')) t(kind, b)
+  UNION ALL SELECT doc, 'ref', 'run' FROM said, range(0, 4) r(i) WHERE i < n) GROUP BY ALL""")
 def udtf01(spark, root):
-    """A source made around each conversation's id, extracted: a type, a method and a call."""
-    text = F.concat(F.lit("package p; class C"), F.col("conv_id").cast("string"), F.lit(" { int m(int a) { return g(a); } }"))
-    files = table(spark, root, "conversations").select(F.col("conv_id").alias("artifact_id"), F.lit("p/C.java").alias("path"), text.alias("text")).distinct()
-    kinds = F.col("annotations.kind")
-    return extracted(files).select("artifact_id", F.size(F.filter(kinds, lambda k: k == "decl")).alias("decls"), F.size(F.filter(kinds, lambda k: k == "ref")).alias("refs"))
+    """Declarations and references extracted from the sources: types, methods with their parameters, calls."""
+    files = sources(spark, root).select(F.col("doc").alias("artifact_id"), F.lit("p/C.java").alias("path"), "text")
+    each = extracted(files).select("artifact_id", F.inline("annotations"))
+    return each.groupBy("artifact_id", "kind", "binding").agg(F.count("*").alias("count"))
 
 
 @query("fn18_javadoc", "SELECT conv_id, '<b>n</b> <code>' || conv_id || '</code><dl><dt>return</dt><dd>it</dd></dl>' AS html FROM (SELECT DISTINCT conv_id FROM conversations)")

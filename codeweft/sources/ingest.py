@@ -204,11 +204,26 @@ def udtf08(spark, root):
     return each.withColumnRenamed("static", "optional")
 
 
-@query("disp01_union_of_sources", "SELECT kind, count(*) AS count FROM (SELECT CASE artifact_id % 4 WHEN 0 THEN 'java' WHEN 1 THEN 'maven' WHEN 2 THEN 'android' ELSE 'graal' END AS kind FROM artifacts) GROUP BY kind")
+#: Which source an artifact of a region comes from, and how each names its files; all others come from images.
+KINDS = {"america": "java", "europe": "maven", "asia": "android"}
+
+
+def planned(at: DataFrame, kind: str) -> DataFrame:
+    """(artifact_id, kind, location) of the artifacts (artifact_id, coordinate, version) of one kind, by its own rule."""
+    region, name = F.split_part("coordinate", F.lit("/"), F.lit(1)), F.split_part("coordinate", F.lit("/"), F.lit(2))
+    known = [r for r, k in KINDS.items() if k == kind]
+    mine = at.where(region == known[0] if known else ~region.isin(list(KINDS)))
+    location = {"java": F.concat(name, F.lit("/src-"), "version", F.lit(".zip")), "maven": F.concat_ws(":", region, name, "version"), "android": F.concat(F.lit("platform-"), F.split_part("version", F.lit("."), F.lit(1)))}
+    return mine.select("artifact_id", F.lit(kind).alias("kind"), location.get(kind, F.concat_ws("/", F.lit("image"), name)).alias("location"))
+
+
+@query("disp01_union_of_sources", """SELECT artifact_id, CASE r WHEN 'america' THEN 'java' WHEN 'europe' THEN 'maven' WHEN 'asia' THEN 'android' ELSE 'graal' END AS kind,
+  CASE r WHEN 'america' THEN n || '/src-' || version || '.zip' WHEN 'europe' THEN r || ':' || n || ':' || version WHEN 'asia' THEN 'platform-' || string_split(version, '.')[1] ELSE 'image/' || n END AS location
+FROM (SELECT *, string_split(coordinate, '/')[1] AS r, string_split(coordinate, '/')[2] AS n FROM artifacts)""")
 def disp01(spark, root):
+    """Every artifact goes to the source of its kind, which says where its files are; the kinds' rows are united."""
     at = artifacts(spark, root)
-    kinds = [at.where(f"artifact_id % 4 = {i}").select(F.lit(k).alias("kind")) for i, k in enumerate(("java", "maven", "android", "graal"))]
-    out = kinds[0]
-    for k in kinds[1:]:
-        out = out.unionByName(k)
-    return out.groupBy("kind").agg(F.count("*").alias("count"))
+    out = planned(at, "graal")
+    for kind in KINDS.values():
+        out = out.unionByName(planned(at, kind))
+    return out
