@@ -37,13 +37,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_WRITTEN: list[str] = []
+
+
 def cut(frame: DataFrame, **options: str) -> DataFrame:
     """The frame as a table written to the shared folder and read back: its lineage ends there."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/codeweft-{uuid.uuid4().hex}"
     frame.write.options(**options).parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def written() -> int:
+    """How many tables this process has cut so far."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the tables cut after the first `since`, but for the last `keep`. Only for results that are written elsewhere."""
+    gone = _WRITTEN[since : len(_WRITTEN) - keep]
+    for path in gone:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    del _WRITTEN[since : since + len(gone)]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

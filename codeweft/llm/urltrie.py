@@ -1,14 +1,16 @@
 """URL filters: a trie over reversed host labels, then path segments, is sent to every executor.
 
-A rule is (verdict, host, path). It fits its host and every subdomain when the path of the URL
-starts with the rule's path (a prefix of characters, so the rule's last segment may be partial).
+A rule is (verdict, host, path). Hosts are compared in ASCII lower case, a rule's as a URL's; the rule
+is named as it was given. It fits its host and every subdomain when the path of the URL starts with the rule's path (a prefix of characters, so the rule's last segment may be partial).
 Of all rules that fit, the longest wins, counted in characters of host and path; between equally
 long ones the longer host wins, then `block`. Rules come as a driver-side list; each trie holds
 `RULES_PER_TRIE` rules at most, which bounds a broadcast to some tens of MB. Longer lists become
-several tries that are consulted one after another in the same task: no shuffle, so no skew.
+several tries that are consulted one after another in the same task: no shuffle, so no skew. A list of
+over `RULES` rules is refused, so all tries together have a bound too.
 
 Nulls: a null URL, or one without `://`, has an empty host and path, and only the default verdict.
-Added columns replace input columns of the same name; rows are neither added nor dropped.
+Added columns replace input columns of the same name; rows are neither added nor dropped. An empty
+table stays empty; without rules every URL has the default verdict.
 """
 
 from __future__ import annotations
@@ -19,10 +21,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import ascii_lower
+from codeweft.llm.common import LOWER, UPPER, ascii_lower
 
-RULES_PER_TRIE = 100_000
+RULES_PER_TRIE, RULES = 100_000, 1_000_000
 Rule = tuple[str, str, str]
+FOLD = str.maketrans(UPPER, LOWER)
 
 
 def build(rules: Sequence[Rule]) -> dict:
@@ -30,7 +33,7 @@ def build(rules: Sequence[Rule]) -> dict:
     root: dict = {"next": {}, "paths": None}
     for verdict, host, path in rules:
         node = root
-        for label in reversed(host.split(".")) if host else ():
+        for label in reversed(host.translate(FOLD).split(".")) if host else ():
             node = node["next"].setdefault(label, {"next": {}, "paths": None})
         node["paths"] = node["paths"] or {"next": {}, "last": {}}
         *whole, last = path.split("/")
@@ -77,6 +80,8 @@ def path_of(url: Column) -> Column:
 
 def judge(frame: DataFrame, rules: Sequence[Rule], *, url: str = "url", default: str = "allow") -> DataFrame:
     """`frame` with host, path, rule (null where none fits) and verdict."""
+    if len(rules) > RULES:
+        raise ValueError(f"at most {RULES} rules")
     context = frame.sparkSession.sparkContext
     tries = [context.broadcast(build(rules[i : i + RULES_PER_TRIE])) for i in range(0, len(rules), RULES_PER_TRIE)]
 

@@ -31,6 +31,20 @@ def test_pipeline(spark):
     assert held[0] > held[1] > held[2] >= held[3] == held[4] >= held[5] > 0
 
 
+def test_pipeline_leaves_one_table(spark):
+    import os
+
+    import corpus_pipeline as P
+
+    from codeweft.llm.common import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file://")
+    before = {x for x in os.listdir(folder) if x.startswith("codeweft-")}
+    docs = P.run(spark, SMALL)
+    left = {x for x in os.listdir(folder) if x.startswith("codeweft-")} - before
+    assert len(left) == 1 and docs.count() > 0
+
+
 def test_pipeline_of_an_empty_table(spark):
     import corpus_pipeline as P
 

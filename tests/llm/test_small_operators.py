@@ -38,6 +38,8 @@ def test_urls(spark, rules, monkeypatch):
         monkeypatch.setattr(urltrie, "RULES_PER_TRIE", size)
         got = urltrie.judge(frame, rules).orderBy("page_id").collect()
         assert [(r.host, r.path, r.rule, r.verdict) for r in got] == want
+    shouted = [(v, h.upper(), p) for v, h, p in rules]
+    assert [(r.rule or "").lower() for r in urltrie.judge(frame, shouted).orderBy("page_id").collect()] == [(r or "").lower() for _, _, r, _ in want]
     assert urltrie.judge(frame.limit(0), rules).count() == 0
     assert {r.verdict for r in urltrie.judge(frame, []).collect()} == {"allow"}
 
