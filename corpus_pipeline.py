@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from codeweft.llm import decontaminate, jaccard, mixing, quality, secrets
-from codeweft.llm.common import cut, table
+from codeweft.llm.common import cut, release, table, written
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's table; what the stages wrote on the way is deleted as soon as the next table stands."""
+    docs, since = table(spark, sf_dir, "documents"), written()
     for _, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir))
+        release(spark, since, keep=1)
     return docs
