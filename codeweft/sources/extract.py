@@ -250,8 +250,14 @@ def udtf01(spark, root):
     return each.groupBy("artifact_id", "kind", "binding").agg(F.count("*").alias("count"))
 
 
-@query("fn18_javadoc", "SELECT conv_id, '<b>n</b> <code>' || conv_id || '</code><dl><dt>return</dt><dd>it</dd></dl>' AS html FROM (SELECT DISTINCT conv_id FROM conversations)")
+@query("fn18_javadoc", """, w AS (SELECT conv_id, turn, regexp_extract(text, '[A-Za-z]+') AS w FROM conversations)
+SELECT conv_id, string_agg('<b>' || w || '</b> <code>' || w || '&amp;&lt;' || turn || '</code>', chr(10) ORDER BY turn) || '<dl>' || string_agg('<dt>param</dt><dd>p' || turn || ' ' || w || '</dd>', '' ORDER BY turn) || '</dl>' AS html FROM w GROUP BY conv_id""")
 def fn18(spark, root):
+    """A documentation comment of each conversation, a line and a parameter for each turn: attributes and scripts go, inline tags are escaped."""
     render = F.pandas_udf(lambda s: s.map(javadoc_html), "string")
-    ids = table(spark, root, "conversations").select("conv_id").distinct()
-    return ids.select("conv_id", render(F.concat(F.lit("/** <b x=1>n</b><script> {@code "), F.col("conv_id").cast("string"), F.lit("}\n * @return it */"))).alias("html"))
+    word, turn = F.regexp_extract("text", "[A-Za-z]+", 0), F.col("turn").cast("string")
+    line = F.concat(F.lit(" * <b id=1>"), word, F.lit("</b><script> {@code "), word, F.lit("&<"), turn, F.lit("}"))
+    block = F.concat(F.lit(" * @param p"), turn, F.lit(" "), word)
+    said = table(spark, root, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line"), block.alias("block")))).alias("x"))
+    part = lambda c: F.array_join(F.transform("x", lambda x: x[c]), "\n")
+    return said.select("conv_id", render(F.concat(F.lit("/**\n"), part("line"), F.lit("\n"), part("block"), F.lit("\n */"))).alias("html"))

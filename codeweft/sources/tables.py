@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -46,31 +47,50 @@ def once(spark: SparkSession, name: tuple, make: Callable):
     return _MADE[key]
 
 
+class Rounds:
+    """What the rounds of an iteration found, each in a table of its own; every `EVERY` of them become one."""
+
+    EVERY = 8
+
+    def __init__(self, first: DataFrame):
+        self.tables = [first]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.tables)
+
+    def add(self, rows: DataFrame) -> None:
+        self.tables.append(rows)
+        if len(self.tables) == self.EVERY:
+            self.tables = [settled(self.all())]
+
+
 def reachable(wanted: DataFrame, edges: DataFrame) -> DataFrame:
     """(id) of all that is reachable from `wanted` (id) over edges (a, b): new ids only, until there is none."""
     edges = settled(edges.select("a", "b").distinct())
-    new = reached = settled(wanted.select("id").distinct())
+    new = settled(wanted.select("id").distinct())
+    reached = Rounds(new)
     while not new.isEmpty():
         found = new.join(edges, new.id == edges.a).select(F.col("b").alias("id")).distinct()
-        new = settled(found.join(reached, "id", "left_anti"))
-        reached = settled(reached.unionByName(new))
-    return reached.distinct()
+        new = settled(found.join(reached.all(), "id", "left_anti"))
+        reached.add(new)
+    return reached.all().distinct()
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """(a, b) of all b that can be reached from a over edges (a, b), one at least; cycles end, nothing is capped.
 
-    Every round joins the pairs with themselves, so the ways double in length and rounds grow with their logarithm.
+    Every round joins what the last one added with all pairs, on either side, so the ways double in length, rounds
+    grow with their logarithm, and no two old pairs are joined again.
     """
-    pairs = settled(edges.select("a", "b").where("a is not null and b is not null").distinct())
-    count = pairs.count()
-    while True:
-        longer = pairs.join(pairs.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
-        more = settled(pairs.unionByName(longer).distinct())
-        before, count = count, more.count()
-        if count == before:
-            return pairs
-        pairs = more
+    new = settled(edges.select("a", "b").where("a is not null and b is not null").distinct())
+    pairs = Rounds(new)
+    while not new.isEmpty():
+        every = pairs.all()
+        ahead = new.join(every.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
+        behind = every.join(new.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
+        new = settled(ahead.unionByName(behind).distinct().join(every, ["a", "b"], "left_anti"))
+        pairs.add(new)
+    return pairs.all()
 
 
 def placed(rows: DataFrame, order: list) -> DataFrame:
