@@ -2,7 +2,8 @@
 
 An index has three tables, each partitioned by token set and lexeme bucket or by set alone:
 
-- postings: (set, bucket, lexeme, doc, weight, positions), sorted by lexeme and document. A bucket is a hash
+- postings: (set, bucket, lexeme, doc, weight, head, positions), sorted by lexeme and document; `head` marks one row a
+  lexeme and document. A bucket is a hash
   of a lexeme's first two characters, so an exact term and a prefix of two characters or more name one
   bucket; within it the files' statistics skip what does not fit. Rows are spread over files by range,
   so that a lexeme of every document is many files.
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from codeweft.functions.porter import STOP, tokenize
 from codeweft.plans.register import query
-from codeweft.sources.tables import once, table
+from codeweft.sources.tables import once, spread, table
 
 BUCKETS = 32
 SETS = ("normal", "no_symbols")
@@ -95,7 +96,7 @@ def analysed(frame: DataFrame, key: str, text: str, analyser: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            who, names, numbers, starts, lengths, lexemes, weights, places = [], [], [], [], [], [], [], []
+            who, names, numbers, starts, lengths, lexemes, weights, heads, places = [], [], [], [], [], [], [], [], []
             for i, body in enumerate(batch.column("body").to_pylist()):
                 every = list(cut(body or "")) if body is not None else []
                 for name in sets:
@@ -106,17 +107,20 @@ def analysed(frame: DataFrame, key: str, text: str, analyser: str) -> DataFrame:
                     numbers.append(len(held))
                     starts.append(np.array([t[1] for t in kept], np.int32))
                     lengths.append(np.array([t[2] for t in kept], np.int32))
-                    lexemes += [k[0] for k in held]
+                    words = [k[0] for k in held]
+                    first = dict(zip(reversed(words), range(len(words) - 1, -1, -1), strict=True))
+                    lexemes += words
                     weights += [k[1] for k in held]
+                    heads += [first[w] == j for j, w in enumerate(words)]
                     places += held.values()
             lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([*parts, np.zeros(0, np.int32)]).astype(np.int32)))
-            inner = pa.StructArray.from_arrays([pa.array(lexemes, pa.string()), pa.array(weights, pa.string()), lists(places)], names=["lexeme", "weight", "positions"])
+            inner = pa.StructArray.from_arrays([pa.array(lexemes, pa.string()), pa.array(weights, pa.string()), pa.array(heads, pa.bool_()), lists(places)], names=["lexeme", "weight", "head", "positions"])
             ends = pa.array(np.cumsum([0, *numbers]), pa.int32())
             sizes = pa.array([len(s) for s in starts], pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column("doc").take(pa.array(who, pa.int64())), sizes, lists(starts), lists(lengths), pa.ListArray.from_arrays(ends, inner)], names=["set", "doc", "n", "starts", "lengths", "entries"])
 
-    rows = frame.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("body"))
-    return rows.mapInArrow(run, f"set string, doc {kind}, n int, starts array<int>, lengths array<int>, entries array<struct<lexeme:string,weight:string,positions:array<int>>>")
+    rows = spread(frame.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("body")))
+    return rows.mapInArrow(run, f"set string, doc {kind}, n int, starts array<int>, lengths array<int>, entries array<struct<lexeme:string,weight:string,head:boolean,positions:array<int>>>")
 
 
 @dataclass(frozen=True)
@@ -133,14 +137,13 @@ def build(frame: DataFrame, key: str, text: str, path: str, analyser: str = "pro
     spark = frame.sparkSession
     analysed(frame, key, text, analyser).write.partitionBy("set").parquet(f"{path}/texts")
     kind = frame.schema[key].dataType.simpleString()
-    texts = spark.read.schema(f"doc {kind}, n int, starts array<int>, lengths array<int>, entries array<struct<lexeme:string,weight:string,positions:array<int>>>, set string").parquet(f"{path}/texts")
-    rows = texts.select("set", "doc", F.explode("entries").alias("e")).select("set", F.pmod(F.crc32(F.substring("e.lexeme", 1, 2)), F.lit(BUCKETS)).cast("int").alias("bucket"), "e.lexeme", "doc", "e.weight", "e.positions")
+    texts = spark.read.schema(f"doc {kind}, n int, starts array<int>, lengths array<int>, entries array<struct<lexeme:string,weight:string,head:boolean,positions:array<int>>>, set string").parquet(f"{path}/texts")
+    rows = texts.select("set", "doc", F.explode("entries").alias("e")).select("set", F.pmod(F.crc32(F.substring("e.lexeme", 1, 2)), F.lit(BUCKETS)).cast("int").alias("bucket"), "e.lexeme", "doc", "e.weight", "e.head", "e.positions")
     order = ["set", "bucket", "lexeme", "doc", "weight"]
     rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("set", "bucket").parquet(f"{path}/postings")
-    postings = spark.read.schema(f"lexeme string, doc {kind}, weight string, positions array<int>, set string, bucket int").parquet(f"{path}/postings")
-    # A document's rows of one lexeme differ in weight; its heaviest counts the document.
-    counted = postings.groupBy("set", "bucket", "lexeme", "doc").agg(F.sum(F.size("positions")).alias("n")).groupBy("set", "bucket", "lexeme").agg(F.count("*").alias("docs"), F.sum("n").alias("occurrences"))
-    counted.repartitionByRange("set", "bucket", "lexeme").sortWithinPartitions("set", "bucket", "lexeme").write.partitionBy("set", "bucket").parquet(f"{path}/terms")
+    postings = spark.read.schema(f"lexeme string, doc {kind}, weight string, head boolean, positions array<int>, set string, bucket int").parquet(f"{path}/postings")
+    counted = postings.groupBy("set", "bucket", "lexeme").agg(F.count_if("head").alias("docs"), F.sum(F.size("positions")).alias("occurrences"))
+    counted.repartition("set", "bucket").sortWithinPartitions("set", "bucket", "lexeme").write.partitionBy("set", "bucket").parquet(f"{path}/terms")
     terms = spark.read.schema("lexeme string, docs long, occurrences long, set string, bucket int").parquet(f"{path}/terms")
     return Index(postings, terms, texts)
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from codeweft.functions.scalars import html_escaped
 from codeweft.operators.intervals import line_diff
 from codeweft.plans.register import query
-from codeweft.sources.tables import once, table
+from codeweft.sources.tables import once, spread, table
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def found_marks(docs: DataFrame, patterns: dict[str, str] = MARKED) -> DataFrame
             kinds = [batch.schema.field("doc").type, pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 4, kinds, strict=True)], names=["doc", "start", "length", "tag"])
 
-    return docs.select("doc", "text").mapInArrow(run, f"doc {docs.schema['doc'].dataType.simpleString()}, start int, length int, tag string")
+    return spread(docs.select("doc", "text")).mapInArrow(run, f"doc {docs.schema['doc'].dataType.simpleString()}, start int, length int, tag string")
 
 
 def _documents(spark, root):

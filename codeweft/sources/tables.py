@@ -36,6 +36,12 @@ def settled(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """The frame in at least as many partitions as there are cores: a small file is one split, and work on its rows would be one task."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
+
+
 _MADE: dict[tuple, object] = {}
 
 
