@@ -35,16 +35,14 @@ SIZE, SHINGLE, CHUNK = 10, 3, 100_000
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def windows(items: list[tuple], size: int) -> dict[bytes, tuple[int, list]]:
+def windows(items: list[tuple], size: int) -> dict[bytes, tuple[int, dict]]:
     """Words of each window -> its width and the items that have it."""
-    found: dict[bytes, tuple[int, list]] = {}
+    found: dict[bytes, tuple[int, dict]] = {}
     for item, text in items:
         words = (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
         width = min(size, len(words))
         for at in range(len(words) - width + 1) if width else ():
-            entry = found.setdefault(b" ".join(words[at : at + width]), (width, []))
-            if item not in entry[1]:
-                entry[1].append(item)
+            found.setdefault(b" ".join(words[at : at + width]), (width, {}))[1][item] = True
     return found
 
 

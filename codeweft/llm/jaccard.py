@@ -17,9 +17,11 @@ lead to no pair and are dropped. No pair is missed, whatever the order and the n
 
 Every link is verified by the true Jaccard similarity, in whole numbers. Members of a shared shingle
 are first compared with four leaders, in two rounds if the first pays, so that a large group of near
-copies costs a few rows a member; all pairs of different components that remain are then compared, but
-for those whose parity sketches (bits that an odd number of a set's shingles fall on) already differ
-in more bits than the sets may differ in shingles.
+copies costs a few rows a member. What remains of different components meets by shingle and class of
+size: a set looks for partners no larger than itself, in the classes that the place of the shingle still
+allows, so sets that share a passage too late in their prefixes do not meet at all. Pairs whose parity
+sketches (bits that an odd number of a set's shingles fall on) differ in more bits than the sets may differ
+in shingles go; the others are compared.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -46,6 +48,13 @@ ALL = (1 << 63) - 1
 LAST = int(COUNTED * (1 << 64)) - (1 << 63)
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, so that a worker holds the shingles of few texts at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shingles(text: str | None, k: int) -> np.ndarray:
     """The distinct hashes, sorted."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -69,7 +78,7 @@ def _folded(rows: DataFrame, k: int) -> DataFrame:
     """(key, row, print, fp): 128 bits of the set, empty for the empty set, and its SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             sets = [shingles(t, k) for t in batch.column(2).to_pylist()]
             prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"" for s in sets]
             made = [pa.array(prints, pa.binary()), pa.array([voted(s) for s in sets], pa.binary())]
@@ -94,7 +103,7 @@ def _tokens(texts: DataFrame, k: int, last: int, counts: bool) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             token, node, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = (shingles(t, k) ^ np.uint64(1 << 63)).view(np.int64)
@@ -139,11 +148,16 @@ def _fits(n: str, at: str, m: str, to: str):
     return rest * 9 >= (F.col(n) + F.col(m)) * 4
 
 
+def _sizes(n: Column) -> Column:
+    """The class of a set's size: some 5 % wide, so a size and four fifths of it are at most five classes apart."""
+    return F.floor(F.log(n.cast("double")) * 20).cast("int")
+
+
 def _sketches(texts: DataFrame, k: int) -> DataFrame:
     """(node, s0, s1, ...): bits that an odd number of the set's shingles fall on. Two sets differ in more shingles than bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             made = np.zeros((batch.num_rows, PARTS), np.int64)
             for i, t in enumerate(batch.column(1).to_pylist()):
                 odd = np.bincount((shingles(t, k) % np.uint64(64 * PARTS)).astype(np.int64), minlength=64 * PARTS) & 1
@@ -158,7 +172,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = lru_cache(256)(lambda t: shingles(t, k))
-        for batch in batches:
+        for batch in parts(batches):
             ok = [alike(held(x), held(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
@@ -220,8 +234,12 @@ def _links(texts: DataFrame, k: int) -> DataFrame:
     held = held.join(cut(_sketches(near, k)), "node")
     other = held.select("token", *others, *[F.col(f"s{i}").alias(f"t{i}") for i in range(PARTS)])
     apart = reduce(add, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(PARTS)])
-    open_ = (F.col("node") < F.col("other")) & (F.col("root") != F.col("its")) & _fits("n", "at", "m", "to") & (apart * 9 <= F.col("n") + F.col("m"))
-    tried(held.join(other, "token").where(open_))
+    larger = (F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("node") < F.col("other")))
+    open_ = larger & (F.col("root") != F.col("its")) & _fits("n", "at", "m", "to") & (apart * 9 <= F.col("n") + F.col("m"))
+    # A set of n meets sets of m <= n only where m is at least 0.8 n and 9 * (n - at) >= 4 * (n + m) leaves room for them.
+    least, most = F.ceil(F.col("n") * 0.8), F.least(F.col("n"), F.floor((F.col("n") * 5 - F.col("at") * 9) / 4))
+    asking = held.where(least <= most).withColumn("sizes", F.explode(F.sequence(_sizes(least), _sizes(most))))
+    tried(asking.join(other.withColumn("sizes", _sizes(F.col("m"))), ["token", "sizes"]).where(open_))
     return roots if roots is not None else texts.sparkSession.createDataFrame([], "node long, root long")
 
 
