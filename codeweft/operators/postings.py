@@ -29,6 +29,7 @@ import zlib
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -105,15 +106,15 @@ def analysed(frame: DataFrame, key: str, text: str, analyser: str) -> DataFrame:
                     who.append(i)
                     names.append(name)
                     numbers.append(len(held))
-                    starts.append(np.array([t[1] for t in kept], np.int32))
-                    lengths.append(np.array([t[2] for t in kept], np.int32))
+                    starts.append([t[1] for t in kept])
+                    lengths.append([t[2] for t in kept])
                     words = [k[0] for k in held]
                     first = dict(zip(reversed(words), range(len(words) - 1, -1, -1), strict=True))
                     lexemes += words
                     weights += [k[1] for k in held]
                     heads += [first[w] == j for j, w in enumerate(words)]
                     places += held.values()
-            lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([*parts, np.zeros(0, np.int32)]).astype(np.int32)))
+            lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.fromiter(chain.from_iterable(parts), np.int32)))
             inner = pa.StructArray.from_arrays([pa.array(lexemes, pa.string()), pa.array(weights, pa.string()), pa.array(heads, pa.bool_()), lists(places)], names=["lexeme", "weight", "head", "positions"])
             ends = pa.array(np.cumsum([0, *numbers]), pa.int32())
             sizes = pa.array([len(s) for s in starts], pa.int32())
