@@ -170,10 +170,10 @@ def typ06(spark, root):
     return found.select("binding_id", "binding", "depth", shown(components(F.col("binding")), "reWi", F.col("jumps")).alias("match"))
 
 
-@query("typ03_jump_counts", f"""{_searched("comring", "bindings")} SELECT depth, jumps, count(*) AS names FROM depths GROUP BY depth, jumps""")
+@query("typ03_jump_counts", f"""{_searched("cob1", "bindings")} SELECT binding_id, CAST(depth AS INT) AS depth, jumps FROM depths""")
 def typ03(spark, root):
-    """How many names match at each depth, of all."""
-    return type_search(bindings(spark, root), names_of(spark, root), "comring").groupBy(F.col("depth").cast("long").alias("depth"), F.col("jumps").cast("long").alias("jumps")).agg(F.count("*").alias("names"))
+    """The jumps that `cob1` takes in each name that it matches."""
+    return type_search(bindings(spark, root), names_of(spark, root), "cob1").select("binding_id", "depth", "jumps")
 
 
 ENTRIES = "category long, name long, start int, own boolean, rest string, bucket int"
