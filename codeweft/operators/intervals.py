@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeweft.plans.register import query
-from codeweft.sources.tables import table
+from codeweft.sources.tables import table, unfolded
 
 SPANS = ", spans AS (SELECT l_orderkey AS id, date_diff('day', TIMESTAMP '1990-01-01', l_shipdate) AS start, date_diff('day', TIMESTAMP '1990-01-01', l_shipdate) + CAST(l_quantity AS INT) AS stop, l_linenumber AS n FROM lineitem)"
 ISLANDS = f"{SPANS}, marked AS (SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM spans), numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM marked), merged AS (SELECT id, min(start) AS start, max(stop) AS stop FROM numbered GROUP BY id, island)"
@@ -116,12 +113,8 @@ def lines(text: str | None) -> list[str]:
 def line_diff(pairs: DataFrame) -> DataFrame:
     """(key, line, text, status) of each (key, old, new)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(k, i, t, s) for k, o, n in zip(batch.key, batch.old, batch.new, strict=True) for i, (t, s) in enumerate(histogram_diff(lines(o), lines(n)))]
-            yield pd.DataFrame(rows, columns=["key", "line", "text", "status"])
-
-    return pairs.mapInPandas(run, f"key {pairs.schema['key'].dataType.simpleString()}, line int, text string, status string")
+    edits = lambda old, new: ((i, t, s) for i, (t, s) in enumerate(histogram_diff(lines(old), lines(new))))
+    return unfolded(pairs, ["key"], edits, "line int, text string, status string", ["old", "new"])
 
 
 def _pairs(spark, root):

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,6 +45,60 @@ def spread(frame: DataFrame) -> DataFrame:
     return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
 
 
+#: What Python holds of a task at once: bytes of text (and one longer text), and rows made of them.
+PIECE, ROWS = 1 << 20, 1 << 16
+KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+
+
+def pieces(batches: Iterable[pa.RecordBatch], *texts: str) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in slices of `PIECE` bytes of the columns `texts`, and one longer row, at most."""
+    for batch in batches:
+        size = np.zeros(batch.num_rows, np.int64)
+        for name in texts:
+            size += pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
+        ends = np.flatnonzero(np.diff(np.cumsum(size) // PIECE)) + 1
+        for begin, end in zip([0, *ends.tolist()], [*ends.tolist(), batch.num_rows], strict=True):
+            if begin < end:
+                yield batch.slice(begin, end - begin)
+
+
+def unfolded(frame: DataFrame, keep: list[str], make: Callable[..., Iterable[tuple]], schema: str, texts: list[str], more: list[str] | None = None) -> DataFrame:
+    """Columns `keep` of each row beside every tuple of `schema` that `make` gives for its `texts` (and columns `more`).
+
+    Texts reach Python some `PIECE` bytes and rows leave it `ROWS` at a time, so what a task holds does not grow with the
+    rows of a batch or with what is made of a row.
+    """
+    names, kinds = zip(*(c.split(" ") for c in schema.split(", ")), strict=True)
+    given = [*texts, *(more or [])]
+
+    def run(batches):
+        for piece in pieces(batches, *texts):
+
+            def table(at: list, made: list, piece=piece) -> pa.RecordBatch:
+                kept = [piece.column(c).take(pa.array(at, pa.int64())) for c in keep]
+                return pa.RecordBatch.from_arrays([*kept, *(pa.array(c, KINDS[k]) for c, k in zip(zip(*made, strict=True), kinds, strict=True))], names=[*keep, *names])
+
+            at, made = [], []
+            for i, row in enumerate(zip(*(piece.column(c).to_pylist() for c in given), strict=True)):
+                for one in make(*row):
+                    at.append(i)
+                    made.append(one)
+                    if len(made) == ROWS:
+                        yield table(at, made)
+                        at, made = [], []
+            if made:
+                yield table(at, made)
+
+    kept = [f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in keep]
+    return frame.select(*dict.fromkeys([*keep, *given])).mapInArrow(run, ", ".join([*kept, schema]))
+
+
+def dealt(frame: DataFrame, *keys: str, share: int = 8) -> DataFrame:
+    """The frame by keys in partitions whose number grows with what is read: `share` for each split of the scan, so a task's part keeps its size."""
+    count = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return frame.repartition(max(count, share * frame.rdd.getNumPartitions()), *keys)
+
+
 _MADE: dict[tuple, object] = {}
 
 
