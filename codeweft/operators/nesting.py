@@ -16,14 +16,13 @@ from __future__ import annotations
 
 import re
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeweft.plans.register import query
 from codeweft.sources.extract import sources
-from codeweft.sources.tables import table
+from codeweft.sources.tables import table, unfolded
 
 #: Comments, strings and characters, and the brackets of blocks.
 _SCAN = re.compile(r"/\*.*?(?:\*/|\Z)|//[^\n]*|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?|[{}]", re.DOTALL)
@@ -32,18 +31,13 @@ _SCAN = re.compile(r"/\*.*?(?:\*/|\Z)|//[^\n]*|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\
 def brackets(docs: DataFrame, before: int = 200) -> DataFrame:
     """(doc, place, opens, head) of (doc, text): each bracket, and for an opening one what stands between it and the last `{`, `}` or `;`."""
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                code = re.sub(_SCAN, lambda m: m[0] if m[0] in "{}" else re.sub(r"[^\n]", " ", m[0]), text or "")
-                for m in re.finditer("[{}]", code):
-                    head = code[max(0, m.start() - before) : m.start()] if m[0] == "{" else ""
-                    rows.append((doc, m.start(), m[0] == "{", re.split(r"[{};]", head)[-1].strip()))
-            kinds = [batch.schema.field("doc").type, pa.int32(), pa.bool_(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 4, kinds, strict=True)], names=["doc", "place", "opens", "head"])
+    def found(text):
+        code = re.sub(_SCAN, lambda m: m[0] if m[0] in "{}" else re.sub(r"[^\n]", " ", m[0]), text or "")
+        for m in re.finditer("[{}]", code):
+            head = code[max(0, m.start() - before) : m.start()] if m[0] == "{" else ""
+            yield m.start(), m[0] == "{", re.split(r"[{};]", head)[-1].strip()
 
-    return docs.select("doc", "text").mapInArrow(run, f"doc {docs.schema['doc'].dataType.simpleString()}, place int, opens boolean, head string")
+    return unfolded(docs, ["doc"], found, "place int, opens boolean, head string", ["text"])
 
 
 def ranges(marks: DataFrame) -> DataFrame:
@@ -111,10 +105,6 @@ def udtf07_ranges(spark, root):
     """Pages' elements as ranges by the order of their tags, and the innermost one around each."""
     pattern = re.compile(_TAGS)
 
-    def run(batches):
-        for batch in batches:
-            rows = [(p, m.start(), not m[0].startswith("</")) for p, t in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True) for m in pattern.finditer(t or "")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 3, (pa.int64(), pa.int32(), pa.bool_()), strict=True)], names=["doc", "place", "opens"])
-
-    marks = table(spark, root, "pages").select("page_id", "html").mapInArrow(run, "doc long, place int, opens boolean")
+    tags = lambda html: ((m.start(), not m[0].startswith("</")) for m in pattern.finditer(html or ""))
+    marks = unfolded(table(spark, root, "pages"), ["page_id"], tags, "place int, opens boolean", ["html"]).withColumnRenamed("page_id", "doc")
     return enclosed(ranges(marks)).select("doc", "start", "stop", "parent")

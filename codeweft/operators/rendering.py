@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import re
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from codeweft.functions.scalars import html_escaped
 from codeweft.operators.intervals import line_diff
 from codeweft.plans.register import query
-from codeweft.sources.tables import once, spread, table
+from codeweft.sources.tables import once, spread, table, unfolded
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -109,13 +108,8 @@ def found_marks(docs: DataFrame, patterns: dict[str, str] = MARKED) -> DataFrame
     """(doc, start, length, tag): all matches of each pattern in (doc, text)."""
     compiled = {tag: re.compile(p) for tag, p in patterns.items()}
 
-    def run(batches):
-        for batch in batches:
-            rows = [(d, m.start(), len(m[0]), tag) for d, t in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True) for tag, p in compiled.items() for m in p.finditer(t or "")]
-            kinds = [batch.schema.field("doc").type, pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 4, kinds, strict=True)], names=["doc", "start", "length", "tag"])
-
-    return spread(docs.select("doc", "text")).mapInArrow(run, f"doc {docs.schema['doc'].dataType.simpleString()}, start int, length int, tag string")
+    matches = lambda text: ((m.start(), len(m[0]), tag) for tag, p in compiled.items() for m in p.finditer(text or ""))
+    return unfolded(spread(docs.select("doc", "text")), ["doc"], matches, "start int, length int, tag string", ["text"])
 
 
 def _documents(spark, root):

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeweft.functions.porter import tokenize
 from codeweft.plans.register import query
-from codeweft.sources.tables import placed, table
+from codeweft.sources.tables import placed, table, unfolded
 from codeweft.sources.views import bindings
 
 
@@ -52,14 +51,9 @@ def fts11(spark, root):
 
 def tokens(frame: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, text, start, length, symbol) of source files, by the source tokenizer."""
-    schema = f"key {frame.schema[key].dataType.simpleString()}, pos int, text string, start int, length int, symbol boolean"
-
-    def run(batches):
-        for batch in batches:
-            rows = [(k, i, *t) for k, source in zip(batch.key, batch.text, strict=True) for i, t in enumerate(tokenize(source or ""))]
-            yield pd.DataFrame(rows, columns=["key", "pos", "text", "start", "length", "symbol"])
-
-    return frame.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, schema)
+    named = frame.select(F.col(key).alias("key"), F.col(text).alias("source"))
+    found = lambda source: ((i, *t) for i, t in enumerate(tokenize(source or "")))
+    return unfolded(named, ["key"], found, "pos int, text string, start int, length int, symbol boolean", ["source"])
 
 
 @query("fts01_source_tokens")

@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.functions.porter import tokenize
 from codeweft.plans.register import query
 from codeweft.sources.store import Store
-from codeweft.sources.tables import reachable, shared_folder, table
+from codeweft.sources.tables import reachable, shared_folder, table, unfolded
 from codeweft.sources.views import artifacts, bindings
 
 ANNOTATION = "array<struct<start:int,length:int,kind:string,binding:string,parent:string,type:int,duplicate:boolean>>"
@@ -52,17 +50,13 @@ def shredded(files: DataFrame) -> dict[str, DataFrame]:
 def lexemes(files: DataFrame) -> DataFrame:
     """(artifact_id, source_file_id, set, pos, lexeme, start, length): with symbols, and without (renumbered)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for artifact, file, text in zip(batch.artifact_id, batch.source_file_id, batch.text, strict=True):
-                every = tokenize(text or "")
-                for name, kept in (("normal", every), ("no_symbols", [t for t in every if not t[3]])):
-                    rows += [(artifact, file, name, i, t[0], t[1], t[2]) for i, t in enumerate(kept)]
-            yield pd.DataFrame(rows, columns=["artifact_id", "source_file_id", "set", "pos", "lexeme", "start", "length"])
-
-    kind = files.schema["artifact_id"].dataType.simpleString()
-    return files.select("artifact_id", "source_file_id", "text").mapInPandas(run, f"artifact_id {kind}, source_file_id long, set string, pos int, lexeme string, start int, length int")
+    def found(text):
+        every = tokenize(text or "")
+        for name, kept in (("normal", every), ("no_symbols", [t for t in every if not t[3]])):
+            for i, t in enumerate(kept):
+                yield name, i, t[0], t[1], t[2]
+
+    return unfolded(files, ["artifact_id", "source_file_id"], found, "set string, pos int, lexeme string, start int, length int", ["text"])
 
 
 NAMES = "binding_id long, artifact_id long, binding string"
