@@ -7,7 +7,7 @@ The published comparison is not transitive for mixed parts; this total order is
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -55,25 +55,32 @@ def join17(spark, root):
 WANTED = ", wanted AS (SELECT DISTINCT s_suppkey AS id, lower(r_name) || '/' || lower(n_name) AS coordinate, CAST(s_suppkey % 11 AS VARCHAR) || '.3' AS version FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 
 
+def nearest_versions(at: DataFrame) -> DataFrame:
+    """(id, after, before): of the wanted versions of each artifact's library the next at or after it, and the last before it.
+
+    Versions and wishes stand in one order, where running values carry the nearest version to each wish from either
+    side: no pairs of a library's rows are built.
+    """
+    asked = at.select("coordinate", F.col("artifact_id").alias("id"), F.lit(None).cast("string").alias("version"), version_key(F.concat((F.col("artifact_id") % 11).cast("string"), F.lit(".3"))).alias("k"), F.lit(0).alias("kind"))
+    known = at.where("coordinate is not null").select("coordinate", F.lit(None).cast("long").alias("id"), "version", "k", F.lit(1).alias("kind"))
+    both = asked.unionByName(known.dropDuplicates(["coordinate", "version"]))
+    running = lambda *order: F.last(F.col("version"), ignorenulls=True).over(W.partitionBy("coordinate").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    # A version equal to a wish counts as after it: it comes behind the wish ascending, and so before it descending.
+    found = both.withColumn("before", running("k", "kind")).withColumn("after", running(F.desc("k"), F.desc("kind")))
+    return found.where("kind = 0").select("id", "after", "before")
+
+
 @query("join11_nearest_version", f"""{KEYED}{WANTED}, asked AS (SELECT *, {KEY} AS k FROM wanted)
 SELECT w.id, coalesce((SELECT min_by(a.version, a.k) FROM keyed a WHERE a.coordinate = w.coordinate AND a.k >= w.k),
   (SELECT max_by(a.version, a.k) FROM keyed a WHERE a.coordinate = w.coordinate AND a.k < w.k)) AS version FROM asked w""")
 def join11(spark, root):
     """The nearest version at or after the wanted one in newest-first order, else the one before."""
-    at = keyed(spark, root)
-    asked = at.select(F.col("artifact_id").alias("id"), "coordinate", version_key(F.concat((F.col("artifact_id") % 11).cast("string"), F.lit(".3"))).alias("wanted"))
-    both = asked.join(at.select("coordinate", "version", "k"), "coordinate")
-    after = F.min_by(F.when(F.col("k") >= F.col("wanted"), F.col("version")), F.when(F.col("k") >= F.col("wanted"), F.col("k")))
-    before = F.max_by(F.when(F.col("k") < F.col("wanted"), F.col("version")), F.when(F.col("k") < F.col("wanted"), F.col("k")))
-    return both.groupBy("id").agg(F.coalesce(after, before).alias("version"))
+    return nearest_versions(keyed(spark, root)).select("id", F.coalesce("after", "before").alias("version"))
 
 
 @query("ver02_ceiling_of_version", f"{KEYED}{WANTED}, asked AS (SELECT *, {KEY} AS k FROM wanted) SELECT w.id, (SELECT min_by(a.version, a.k) FROM keyed a WHERE a.coordinate = w.coordinate AND a.k >= w.k) AS version FROM asked w")
 def ver02(spark, root):
-    at = keyed(spark, root)
-    asked = at.select(F.col("artifact_id").alias("id"), "coordinate", version_key(F.concat((F.col("artifact_id") % 11).cast("string"), F.lit(".3"))).alias("wanted"))
-    found = asked.join(at.select("coordinate", "version", "k"), "coordinate").where("k >= wanted").groupBy("id").agg(F.min_by("version", "k").alias("version"))
-    return asked.select("id").join(found, "id", "left")
+    return nearest_versions(keyed(spark, root)).select("id", F.col("after").alias("version"))
 
 
 @query("join12_alias_resolution", """, alias AS (SELECT artifact_id, coordinate || '/' || (artifact_id % 3) AS alias FROM artifacts),
