@@ -99,7 +99,7 @@ def in_place(stale_count: int, total: int) -> bool:
 
 def resolved(wanted: DataFrame, edges: DataFrame, missing: DataFrame) -> DataFrame:
     """Dependencies reachable from `wanted` (id) over edges (a, b), never through what is missing (id)."""
-    return reachable(wanted, edges.join(missing.select(F.col("id").alias("b")), "b", "left_anti"))
+    return reachable(wanted, edges.join(missing.select(F.col("id").alias("b")).hint("merge"), "b", "left_anti"))
 
 
 @query("src18_stale_artifacts", "SELECT artifact_id FROM artifacts WHERE NOT (40 + artifact_id % 5 >= 43)")

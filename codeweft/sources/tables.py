@@ -128,13 +128,16 @@ class Rounds:
 
 
 def reachable(wanted: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id) of all that is reachable from `wanted` (id) over edges (a, b): new ids only, until there is none."""
+    """(id) of all that is reachable from `wanted` (id) over edges (a, b): new ids only, until there is none.
+
+    Edges and ids are merged, not broadcast: a checkpoint's size is a guess, and what is broadcast passes through the driver.
+    """
     edges = settled(edges.select("a", "b").distinct())
     new = settled(wanted.select("id").distinct())
     reached = Rounds(new)
     while not new.isEmpty():
-        found = new.join(edges, new.id == edges.a).select(F.col("b").alias("id")).distinct()
-        new = settled(found.join(reached.all(), "id", "left_anti"))
+        found = new.join(edges.hint("merge"), new.id == edges.a).select(F.col("b").alias("id")).distinct()
+        new = settled(found.join(reached.all().hint("merge"), "id", "left_anti"))
         reached.add(new)
     return reached.all().distinct()
 

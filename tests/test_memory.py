@@ -27,3 +27,12 @@ def test_functions_emit_many_small_batches(spark, monkeypatch):
     assert sum(b.num_rows for b in index) == 600 and max(b.num_rows for b in index) < 250
     edits = list(seen[1](iter([pa.RecordBatch.from_pydict({"key": list(range(300)), "old": texts, "new": texts})])))
     assert sum(b.num_rows for b in edits) == 300 * 2001 and max(b.num_rows for b in edits) <= tables.ROWS
+
+
+def test_reachable_broadcasts_nothing(spark, monkeypatch):
+    """What a round finds grows with the graph, so no round sends it through the driver."""
+    plans, settled = [], tables.settled
+    monkeypatch.setattr(tables, "settled", lambda frame: plans.append(frame._jdf.queryExecution().executedPlan().toString()) or settled(frame))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 4)], "a long, b long")
+    assert sorted(r.id for r in tables.reachable(spark.sql("select 2L as id"), edges).collect()) == [2, 3, 4]
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
