@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeweft.plans.register import query
-from codeweft.sources.tables import table, unfolded
+from codeweft.sources.tables import dealt, table, unfolded
 
 SPANS = ", spans AS (SELECT l_orderkey AS id, date_diff('day', TIMESTAMP '1990-01-01', l_shipdate) AS start, date_diff('day', TIMESTAMP '1990-01-01', l_shipdate) + CAST(l_quantity AS INT) AS stop, l_linenumber AS n FROM lineitem)"
 ISLANDS = f"{SPANS}, marked AS (SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM spans), numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM marked), merged AS (SELECT id, min(start) AS start, max(stop) AS stop FROM numbered GROUP BY id, island)"
@@ -20,7 +20,8 @@ def spans(spark, root) -> DataFrame:
 
 
 def coalesced(frame: DataFrame) -> DataFrame:
-    """Ranges that touch or overlap become one: gaps and islands with a running maximum."""
+    """Ranges that touch or overlap become one: gaps and islands with a running maximum. Tasks grow in number with the input, not in size."""
+    frame = dealt(frame, "id")
     ordered = W.partitionBy("id").orderBy("start", "stop")
     before = F.max("stop").over(ordered.rowsBetween(W.unboundedPreceding, -1))
     marked = frame.withColumn("fresh", F.when(F.col("start") <= before, 0).otherwise(1))

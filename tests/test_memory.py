@@ -36,3 +36,9 @@ def test_reachable_broadcasts_nothing(spark, monkeypatch):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 4)], "a long, b long")
     assert sorted(r.id for r in tables.reachable(spark.sql("select 2L as id"), edges).collect()) == [2, 3, 4]
     assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
+
+
+def test_tasks_of_ranges_grow_in_number(spark):
+    spans = spark.range(0, 100, 1, 12).selectExpr("id % 7 id", "id start", "id + 1 stop")
+    found = intervals.coalesced(spans)
+    assert found.rdd.getNumPartitions() == 96 and found.count() == 100
