@@ -10,9 +10,9 @@ words, and one unknown event a class, probabilities that add up to one.
 Training is Baum-Welch. Texts are written once as blocks of some `BLOCK` tokens: a list of distinct words
 and the texts as places in it. A round maps blocks to expected counts of starts, transitions and
 emissions (one row an event and task), sums them over partitions and refits; emissions are smoothed towards the counts
-of all tokens. The first rounds run over a sample of about `WARM` tokens, drawn by row, which only finds
-where the states lie; `rounds` rounds over all training texts follow. Forward sums are scaled at every
-step. A group of texts holds some `GATHER` tokens; a longer text is run in windows of so many, backward from
+of all tokens. Blocks are dealt into `LOTS` lots. Each of the first rounds refits to the next lots, so that all of
+them together run over every training text (more than once where blocks are few); `rounds` rounds over all
+training texts at once follow. Forward sums are scaled at every step. A group of texts holds some `GATHER` tokens; a longer text is run in windows of so many, backward from
 stored forward sums, so what is held does not grow with its length.
 
 Scoring. Counts of words go back to the blocks that hold them, one row a distinct word and block, and
@@ -34,13 +34,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.llm.common import LOWER, UPPER, cut
 
-HEADS, TAILS, BLOCK, WARM, GATHER = 60_000, 1024, 1 << 21, 1_000_000, 1 << 18
+HEADS, TAILS, BLOCK, LOTS, GATHER = 60_000, 1024, 1 << 21, 10, 1 << 18
+#: A block is a row group of its own: neither the writer nor the reader holds more than one, however many a task has.
+ONE_BLOCK = {"compression": "zstd", "parquet.block.row.count.limit": "1"}
 #: No word holds a space.
 END = " "
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -60,6 +61,9 @@ def from_planes(data: bytes) -> np.ndarray:
 def encoded(docs: DataFrame, key: str, text: str, trains: Column) -> DataFrame:
     """Blocks of texts: words from frequent to rare with their training occurrences, and texts as places in that list."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("body"), (~F.coalesce(trains, F.lit(True))).alias("held"))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores)  # a small table is one split, and would be one block
 
     def block(texts: list, ids: list, held: list, index: dict) -> pa.RecordBatch:
         codes, sizes = np.concatenate(texts), np.array([len(t) for t in texts], np.int32)
@@ -92,7 +96,10 @@ def encoded(docs: DataFrame, key: str, text: str, trains: Column) -> DataFrame:
         if texts:
             yield block(texts, ids, held, index)
 
-    return cut(rows.mapInArrow(encode, BLOCKS).withColumn("block", F.monotonically_increasing_id()), compression="zstd")
+    made = rows.mapInArrow(encode, BLOCKS).withColumn("block", F.monotonically_increasing_id())
+    # Partition and place in it: the blocks of one task, and the first blocks of all tasks, differ in lot.
+    lot = F.pmod(F.shiftright("block", 33) + F.col("block").bitwiseAND((1 << 33) - 1), F.lit(LOTS)).cast("int")
+    return cut(made.withColumn("lot", lot), **ONE_BLOCK)
 
 
 def pairs(blocks: DataFrame) -> DataFrame:
@@ -276,13 +283,12 @@ def refit(m: Model, start: np.ndarray, move: np.ndarray, emit: np.ndarray, prior
 
 
 def training_texts(batch: pa.RecordBatch, m: Model) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Events and sizes of the training texts of each block; a block without words holds events."""
+    """Events and sizes of the training texts of each block."""
     for words, held, sizes, codes in zip(*(batch.column(c) for c in ("words", "held", "sizes", "codes")), strict=True):
-        obs, sizes, trains = from_planes(codes.as_py()), sizes.values.to_numpy(), ~held.values.to_numpy(zero_copy_only=False)
-        if words.is_valid:
-            obs = m.events(words.values.to_pylist())[obs]
+        sizes, trains = sizes.values.to_numpy(), ~held.values.to_numpy(zero_copy_only=False)
         if trains.any():
-            yield obs[np.repeat(trains, sizes)], sizes[trains]
+            obs = from_planes(codes.as_py())[np.repeat(trains, sizes)]
+            yield m.events(words.values.to_pylist())[obs], sizes[trains]
 
 
 def baum_welch(blocks: DataFrame, m: Model, prior: float) -> tuple[Model, float]:
@@ -306,36 +312,25 @@ def baum_welch(blocks: DataFrame, m: Model, prior: float) -> tuple[Model, float]
     total = found.groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     every = np.zeros((events + states + 2, states))
     every[total.column("row").to_numpy()] = np.stack([total.column(n).to_numpy() for n in names], axis=1)
+    if not every[-2].any():
+        return m, 0.0  # these blocks have no training text
     return refit(m, every[-2], every[events : events + states], every[:events], prior), float(every[-1, 0])
 
 
-def warm_sample(blocks: DataFrame, m: Model) -> DataFrame:
-    """About WARM tokens of training texts, as events, drawn row by row with the same odds."""
-    odds = min(1.0, WARM / max(1, m.tokens))
-    sent = blocks.sparkSession.sparkContext.broadcast(m)
-
-    def draw(batches):
-        rng = np.random.default_rng([3, TaskContext.get().partitionId()])
-        for batch in batches:
-            for obs, sizes in training_texts(batch, sent.value):
-                chosen = rng.random(len(sizes)) < odds
-                if chosen.any():
-                    kept = pa.array(sizes[chosen])
-                    ends = pa.array([0, len(kept)], pa.int32())
-                    held = pa.ListArray.from_arrays(ends, pa.array(np.zeros(len(kept), bool)))
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.list_(pa.string())), held, pa.ListArray.from_arrays(ends, kept), pa.array([planes(obs[np.repeat(chosen, sizes)])], pa.binary())], names=["words", "held", "sizes", "codes"])
-
-    schema = "words array<string>, held array<boolean>, sizes array<int>, codes binary"
-    return cut(blocks.select("words", "held", "sizes", "codes").mapInArrow(draw, schema).repartition(8))
+def shares(blocks: DataFrame, warm: int) -> list[DataFrame]:
+    """The blocks in parts of whole lots, each read alone: as many as divide LOTS, at most `warm` and not more than there are blocks."""
+    most = min(warm, blocks.count())
+    parts = max((d for d in range(1, LOTS + 1) if LOTS % d == 0 and d <= most), default=1)
+    return [blocks.where(F.col("lot").isin(list(range(i, LOTS, parts)))) if parts > 1 else blocks for i in range(parts)]
 
 
 def fit(blocks: DataFrame, counted: DataFrame, *, states: int = 12, warm: int = 10, rounds: int = 2, prior: float = 50.0, told: Callable[[float], None] | None = None) -> Model:
-    """The model after `warm` rounds over a sample and `rounds` rounds over all; `told` gets each round's log likelihood."""
+    """The model after `warm` rounds over parts in turn and `rounds` rounds over all; `told` gets each round's log likelihood."""
     m = prepared(counted, states)
     if m.tokens:
-        sample = warm_sample(blocks, m)
+        parts = shares(blocks, warm)
         for at in range(warm + rounds):
-            m, before = baum_welch(sample if at < warm else blocks, m, prior)
+            m, before = baum_welch(parts[at % len(parts)] if at < warm else blocks, m, prior)
             if told:
                 told(before)
     return m

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from codeweft.llm import hmm
@@ -134,3 +135,15 @@ def test_classes_agree_with_spark(spark):
     words = ["a", "ab", "abc", "xxéüß", "日本語です", "-"]
     got = spark.createDataFrame([(w,) for w in words], "word string").selectExpr(f"pmod(crc32(substring(word, -3, 3)), {hmm.TAILS})").collect()
     assert [r[0] for r in got] == [hmm.tail_class(w) for w in words]
+
+
+def test_every_training_text_is_in_one_part_and_every_block_in_its_own_row_group(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "BLOCK", 30)
+    frame = spark.createDataFrame([(i, f"w{i} " * 9, "x", 1) for i in range(400)], SCHEMA).repartition(4)
+    blocks = hmm.encoded(frame, "doc_id", "text", ~hmm.held_out())
+    parts = hmm.shares(blocks, 10)
+    ids = [sorted(i for r in part.select("ids").collect() for i in r.ids) for part in parts]
+    assert len(parts) == 10 and all(ids) and sorted(sum(ids, [])) == list(range(400))
+    groups = [pq.ParquetFile(re.sub("^file:/+", "/", r[0])).metadata for r in blocks.select("_metadata.file_path").distinct().collect()]
+    assert max(m.num_row_groups for m in groups) > 10 and all(m.num_rows == m.num_row_groups for m in groups)
+    assert len(hmm.shares(blocks, 1)) == 1 and len(hmm.shares(blocks.limit(3), 10)) == 2
