@@ -62,6 +62,29 @@ def test_search_tells_rows_apart_not_ids(spark):
     assert found == sorted(one + two) and {r.query_id for r in got} == {20}
 
 
+@pytest.mark.parametrize("kind", ["offset", "norms", "clusters", "copies", "huge"])
+def test_search_misses_nothing_on_other_rows(spark, kind):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 24))
+    if kind == "offset":
+        x = 0.01 * x + 5  # all products are nearly equal
+    elif kind == "norms":
+        x *= np.exp(3 * rng.normal(size=(3000, 1)))
+    elif kind == "clusters":
+        x = 0.02 * x + rng.normal(size=(7, 24))[rng.integers(0, 7, 3000)]
+    elif kind == "copies":
+        x[500:2500] = x[500]
+    elif kind == "huge":
+        x *= 1e60
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(got) == set(range(0, 3000, 100))
+    for q, found in got.items():
+        assert found == exact(np.arange(3000), x, x[q], q, 20)
+
+
 def test_search_probes_on_until_k_are_found(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(400, 6)))]
