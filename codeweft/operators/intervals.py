@@ -16,13 +16,13 @@ ISLANDS = f"{SPANS}, marked AS (SELECT *, CASE WHEN start <= max(stop) OVER (PAR
 def spans(spark, root) -> DataFrame:
     """(id, start, stop, n): half-open ranges, many an id."""
     day = F.date_diff(F.col("l_shipdate").cast("date"), F.lit("1990-01-01").cast("date")).cast("long")
-    return table(spark, root, "lineitem").select(F.col("l_orderkey").alias("id"), day.alias("start"), (day + F.col("l_quantity").cast("int")).alias("stop"), F.col("l_linenumber").alias("n"))
+    return table(spark, root, "lineitem").select(F.col("l_orderkey").alias("id"), day.alias("start"), (day + F.rint("l_quantity").cast("int")).alias("stop"), F.col("l_linenumber").alias("n"))
 
 
 def coalesced(frame: DataFrame) -> DataFrame:
     """Ranges that touch or overlap become one: gaps and islands with a running maximum. Tasks grow in number with the input, not in size."""
     frame = dealt(frame, "id")
-    ordered = W.partitionBy("id").orderBy("start", "stop")
+    ordered = W.partitionBy("id").orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("stop"))
     before = F.max("stop").over(ordered.rowsBetween(W.unboundedPreceding, -1))
     marked = frame.withColumn("fresh", F.when(F.col("start") <= before, 0).otherwise(1))
     island = F.sum("fresh").over(ordered.rowsBetween(W.unboundedPreceding, 0))
