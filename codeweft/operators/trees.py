@@ -128,11 +128,20 @@ def tree05(spark, root):
     return out.join(by, "artifact_id", "left").join(held, "artifact_id", "left").join(uses, "artifact_id", "left").na.fill(0).na.fill("", ["dependencies"])
 
 
+#: Pairs of versions that a task makes.
+PAIRS = 1 << 22
+
+
 @query("tree06_alternatives", "SELECT a.artifact_id, b.version FROM artifacts a JOIN artifacts b ON a.coordinate = b.coordinate AND a.artifact_id <> b.artifact_id")
 def tree06(spark, root):
+    """All pairs within a library; a large library is dealt over as many tasks as its pairs need, some PAIRS each."""
     at = artifacts(spark, root)
-    other = at.select("coordinate", F.col("artifact_id").alias("other"), F.col("version").alias("v"))
-    return at.join(other, "coordinate").where("artifact_id <> other").select("artifact_id", F.col("v").alias("version"))
+    most, pairs = at.where("coordinate is not null").groupBy("coordinate").count().agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.sum(F.col("count") * F.col("count")), F.lit(0))).first()
+    lots = max(1, -(-most * most // PAIRS))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * pairs // PAIRS))
+    own = at.withColumn("lot", F.pmod(F.xxhash64("artifact_id"), F.lit(lots)).cast("int")).repartition(tasks, "coordinate", "lot")
+    other = at.select("coordinate", F.col("artifact_id").alias("other"), F.col("version").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("lot"))
+    return own.join(other, ["coordinate", "lot"]).where("artifact_id <> other").select("artifact_id", F.col("v").alias("version"))
 
 
 _VERSIONS = f"{KEYED}, held AS (SELECT string_split(coordinate, '/')[1] AS line, artifact_id, version, k, regexp_replace(path, '[0-9]+', '', 'g') AS path FROM files JOIN keyed USING (artifact_id) GROUP BY ALL)"
