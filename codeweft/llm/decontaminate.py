@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from codeweft.llm.sequences import Words, pieces
 
-SIZE, SHINGLE, CHUNK = 10, 3, 100_000
+SIZE, SHINGLE, CHUNK, ROWS = 10, 3, 100_000, 1024
 #: Bytes that are in words (digits, lower-case letters, all of non-ASCII), and folding.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -184,14 +184,17 @@ def _judged(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_hit, items = [], [], []
-            for _, part in pieces(batch.column(own).to_pylist()):
-                counts, hits, found = mark(part)
-                n_words += counts.tolist()
-                n_hit += hits.tolist()
-                items += [sorted(x) for x in found]
-            made = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*(f"k{i}" for i in range(len(keep))), "n_words", "n_hit", "items"])
+            # Slices of the batch: neither its texts as objects nor the rows made of it stand at once.
+            for begin in range(0, batch.num_rows, ROWS):
+                some = batch.slice(begin, ROWS)
+                n_words, n_hit, items = [], [], []
+                for _, part in pieces(some.column(own).to_pylist()):
+                    counts, hits, found = mark(part)
+                    n_words += counts.tolist()
+                    n_hit += hits.tolist()
+                    items += [sorted(x) for x in found]
+                made = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*some.columns[: len(keep)], *made], names=[*(f"k{i}" for i in range(len(keep))), "n_words", "n_hit", "items"])
 
     more = [F.col(text).cast("string").alias("__text")] if own < 0 else []
     rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], *more)

@@ -2,10 +2,14 @@
 
 import os
 
+import corpus_pipeline
 import duckdb
+import pyarrow as pa
 from conftest import SMALL
 from pyspark.sql import functions as F
 
+from codeweft.llm import decontaminate
+from codeweft.llm.common import table
 from codeweft.operators import intervals, trees
 from codeweft.plans.register import ORACLES
 
@@ -27,3 +31,16 @@ def test_large_libraries_are_dealt_over_tasks(spark, same, monkeypatch):
     for name in ("supplier", "nation", "region", "part", "pages", "lineitem"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{root}/{name}.parquet'")
     same(found, con, ORACLES["tree06_alternatives"])
+
+
+def test_pipeline_stages_bound_what_workers_get(spark, monkeypatch):
+    docs, benchmark = table(spark, SMALL, "documents"), table(spark, SMALL, "benchmark")
+    want = sorted(r.doc_id for r in decontaminate.clean(docs, benchmark).select("doc_id").collect())
+    monkeypatch.setattr(decontaminate, "ROWS", 7)
+    stage = dict(corpus_pipeline.STAGES)["benchmark decontamination"]
+    try:
+        assert sorted(r.doc_id for r in stage(spark, docs, SMALL).select("doc_id").collect()) == want
+        sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").agg(F.max("n")).first()[0]
+        assert spark.conf.get(corpus_pipeline.BATCH) == corpus_pipeline.BATCH_BYTES and sizes < 5 << 20
+    finally:
+        spark.conf.unset(corpus_pipeline.BATCH)
