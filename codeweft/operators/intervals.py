@@ -118,6 +118,21 @@ def line_diff(pairs: DataFrame) -> DataFrame:
     return unfolded(pairs, ["key"], edits, "line int, text string, status string", ["old", "new"])
 
 
+def line_edits(pairs: DataFrame) -> DataFrame:
+    """(key, nth, line, status) of each (key, old, new): every edit's line, counted in the old text if it is deleted, else in the new one."""
+
+    def edits(old, new):
+        at = {True: -1, False: -1}
+        for nth, (_, status) in enumerate(histogram_diff(lines(old), lines(new))):
+            deleted = status == "DELETION"
+            at[deleted] += 1
+            if status == "UNCHANGED":
+                at[True] += 1
+            yield nth, at[deleted], status
+
+    return unfolded(pairs, ["key"], edits, "nth int, line int, status string", ["old", "new"])
+
+
 def _pairs(spark, root):
     docs = table(spark, root, "documents")
     old = docs.select(F.col("doc_id").alias("key"), F.col("text").alias("old"))

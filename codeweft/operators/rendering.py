@@ -7,8 +7,8 @@ of the stack before and the stack behind closes, innermost first, and what is ne
 nests: a mark that crosses another, or a line's end, closes and opens again. Empty marks open and close at
 their place, after what closes there. Text is escaped.
 
-All is windows within a document and a line: a mark finds its lines by a running maximum over line starts and
-ends in one order, not by a join of ranges, and texts are cut within lines only.
+A text meets its marks, in order, in one join by document; then lines are rendered one after another, with what is
+open beyond a line's end handed on. Nothing of a line is shuffled before it is rendered.
 
 Null texts have no lines. Marks outside their text are cut to it; of marks equal in range and tag each one
 is shown. Tags are taken as they are.
@@ -17,71 +17,64 @@ is shown. Tags are taken as they are.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from html import escape
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codeweft.functions.scalars import html_escaped
-from codeweft.operators.intervals import line_diff
+from codeweft.operators.intervals import line_edits
 from codeweft.plans.register import query
 from codeweft.sources.tables import once, spread, table, unfolded
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc, line, at, body) of (doc, text): lines from 0 and where they start."""
-    each = docs.where("text is not null").select("doc", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    before = F.sum(F.length("body") + 1).over(W.partitionBy("doc").orderBy("line").rowsBetween(W.unboundedPreceding, -1))
-    return each.select("doc", "line", F.coalesce(before, F.lit(0)).cast("int").alias("at"), "body")
-
-
-def by_line(marks: DataFrame, held: DataFrame) -> DataFrame:
-    """(doc, line, start, stop, order, tag): marks cut to lines, places within the line; `order` is the mark's place outside in."""
-    marks = marks.where("start is not null and length >= 0").select("doc", F.greatest("start", F.lit(0)).alias("start"), (F.col("start") + F.col("length")).alias("stop"), "tag")
-    number = F.row_number().over(W.partitionBy("doc").orderBy("start", F.desc("stop"), "tag"))
-    marks = marks.where("stop >= start").withColumn("order", number)
-    # The line of a place is the last that starts at or before it; an end belongs to the line before, unless the mark is empty.
-    none = F.lit(None).cast("int")
-    starts = held.select("doc", F.col("at").alias("place"), F.lit(0).alias("kind"), F.col("line").alias("known"), none.alias("order"))
-    last = F.greatest(F.col("start"), F.col("stop") - 1)
-    asked = marks.select("doc", "order", F.explode(F.array(F.struct(F.col("start").alias("place"), F.lit(1).alias("kind")), F.struct(last.alias("place"), F.lit(2).alias("kind")))).alias("e"))
-    asked = asked.select("doc", "e.place", "e.kind", none.alias("known"), "order")
-    line = F.max("known").over(W.partitionBy("doc").orderBy("place", "kind").rowsBetween(W.unboundedPreceding, W.currentRow))
-    found = starts.unionByName(asked).withColumn("line", line).where("kind > 0").groupBy("doc", "order").agg(F.min("line").alias("first"), F.max("line").alias("last"))
-    each = marks.join(found.where("first is not null"), ["doc", "order"]).withColumn("line", F.explode(F.sequence("first", "last")))
-    cut = each.join(held.select("doc", "line", "at", F.length("body").alias("size")), ["doc", "line"])
-    inside = lambda c: F.least(F.greatest(F.col(c) - F.col("at"), F.lit(0)), F.col("size"))
-    cut = cut.select("doc", "line", inside("start").alias("from"), inside("stop").alias("to"), "order", "tag", F.col("start") == F.col("stop"))
-    cut = cut.toDF("doc", "line", "start", "stop", "order", "tag", "empty")
-    return cut.where("stop > start or empty").drop("empty")
+def shown(text: str | None, starts: list[int], stops: list[int], tags: list[str | None]) -> Iterator[tuple[int, str]]:
+    """(line, html) of a text and its marks, outside in."""
+    if text is None:
+        return
+    opening = [f"<{t}>" if t is not None else "" for t in tags]
+    closing = [f"</{t}>" if t is not None else "" for t in tags]
+    at, fresh, last = 0, 0, text.count("\n")
+    reaching: list[int] = []  # marks of earlier lines that do not end before this one
+    for number, body in enumerate(text.split("\n")):
+        size = len(body)
+        own = reaching
+        while fresh < len(starts) and (starts[fresh] <= at + size or number == last):
+            own.append(fresh)
+            fresh += 1
+        ends, opened, points = {}, {}, {}
+        for m in own:
+            a, b = min(max(starts[m] - at, 0), size), min(max(stops[m] - at, 0), size)
+            if a < b:
+                ends[m] = b
+                opened.setdefault(a, []).append(m)
+            elif starts[m] == stops[m]:
+                points.setdefault(a, []).append(m)
+        places = sorted({0, size, *ends.values(), *opened, *points})
+        stack, out = [], []
+        for place, following in zip(places, [*places[1:], size], strict=True):
+            want = [m for m in stack if ends[m] > place] + opened.get(place, [])
+            kept = next((i for i, (x, y) in enumerate(zip(stack, want, strict=False)) if x != y), min(len(stack), len(want)))
+            out += [closing[m] for m in reversed(stack[kept:])]
+            out += [opening[m] + closing[m] for m in points.get(place, [])]
+            out += [opening[m] for m in want[kept:]]
+            out.append(escape(body[place:following]).replace("&#x27;", "&#39;"))
+            stack = want
+        yield number, "".join(out)
+        at += size + 1
+        reaching = [m for m in own if stops[m] > at]
 
 
 def rendered(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """(doc, line, html) of docs (doc, text) and marks (doc, start, length, tag)."""
-    held = lines(docs)
-    pieces = by_line(marks, held)
-    key = ["doc", "line"]
-    ends = pieces.select(*key, F.explode(F.array("start", "stop")).alias("place")).unionByName(held.select(*key, F.lit(0).alias("place"))).unionByName(held.select(*key, F.length("body").alias("place"))).distinct()
-    ordered = W.partitionBy(*key).orderBy("place")
-    ends = ends.select(*key, "place", F.row_number().over(ordered).alias("nth"), F.lead("place").over(ordered).alias("next"))
-    nth = lambda c, name: ends.select(*key, F.col("place").alias(c), F.col("nth").alias(name))
-    mark = F.struct(F.col("order"), "tag").alias("mark")
-    wide = pieces.where("stop > start").join(nth("start", "a"), [*key, "start"]).join(nth("stop", "b"), [*key, "stop"])
-    stacks = wide.select(*key, mark, F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("nth")).groupBy(*key, "nth").agg(F.array_sort(F.collect_list("mark")).alias("stack"))
-    empty = pieces.where("stop = start").groupBy(*key, F.col("start").alias("place")).agg(F.array_sort(F.collect_list(mark)).alias("points"))
-    nothing = F.array().cast("array<struct<order:int,tag:string>>")
-    steps = ends.join(stacks, [*key, "nth"], "left").join(empty, [*key, "place"], "left").withColumns({"stack": F.coalesce("stack", nothing), "points": F.coalesce("points", nothing)})
-    before = F.coalesce(F.lag("stack").over(W.partitionBy(*key).orderBy("nth")), nothing)
-    steps = steps.withColumn("before", before)
-    apart = F.array_position(F.zip_with("before", "stack", lambda x, y: x["order"].eqNullSafe(y["order"])), F.lit(False))
-    kept = F.when(apart > 0, apart - 1).otherwise(F.size("stack")).cast("int")
-    rest = lambda c: F.slice(F.col(c), F.col("kept") + 1, F.greatest(F.size(c) - F.col("kept"), F.lit(0)))
-    close = F.array_join(F.transform(F.reverse(rest("before")), lambda x: F.concat(F.lit("</"), x["tag"], F.lit(">"))), "")
-    point = F.array_join(F.transform("points", lambda x: F.concat(F.lit("<"), x["tag"], F.lit("></"), x["tag"], F.lit(">"))), "")
-    open_ = F.array_join(F.transform(rest("stack"), lambda x: F.concat(F.lit("<"), x["tag"], F.lit(">"))), "")
-    text = html_escaped(F.substring("body", F.col("place") + 1, F.coalesce(F.col("next") - F.col("place"), F.lit(0))))
-    out = steps.withColumn("kept", kept).join(held, key).select(*key, "nth", F.concat(close, point, open_, text).alias("html"))
-    return out.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "html"))), lambda x: x["html"]), "").alias("html"))
+    inside = marks.select("doc", F.greatest("start", F.lit(0)).alias("start"), (F.col("start") + F.col("length")).alias("stop"), "tag", "length").where("start is not null and length >= 0 and stop >= start")
+    # Outside in: the earlier, then the longer mark.
+    order = F.array_sort(F.collect_list(F.struct("start", (-F.col("stop")).alias("back"), "tag")))
+    of = inside.groupBy("doc").agg(order.alias("marks"))
+    none = F.array().cast(of.schema["marks"].dataType)
+    each = docs.select("doc", "text").where("doc is not null and text is not null").join(of, "doc", "left").withColumn("marks", F.coalesce("marks", none))
+    each = each.select("doc", "text", F.col("marks.start").alias("starts"), F.transform("marks", lambda m: -m["back"]).alias("stops"), F.col("marks.tag").alias("tags"))
+    return unfolded(each, ["doc"], shown, "line int, html string", ["text"], ["starts", "stops", "tags"])
 
 
 def whole(rows: DataFrame) -> DataFrame:
@@ -91,13 +84,15 @@ def whole(rows: DataFrame) -> DataFrame:
 
 def interleaved(pairs: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """(key, nth, status, html): the lines of the diff of pairs (key, old, new), in place, each from the rendering
-    (doc, line, html) of its side: what is kept or inserted from the new one, what is deleted from the old one."""
-    edits = line_diff(pairs.select("key", "old", "new")).select("key", F.col("line").alias("nth"), "status")
-    ordered = W.partitionBy("key").orderBy("nth").rowsBetween(W.unboundedPreceding, W.currentRow)
-    count = lambda skip: F.sum((F.col("status") != skip).cast("int")).over(ordered) - 1
-    edits = edits.withColumns({"old_line": count("INSERTION"), "new_line": count("DELETION")})
-    shown = lambda rows, side, only: edits.where(only).join(rows.select(F.col("doc").alias("key"), F.col("line").alias(f"{side}_line"), "html"), ["key", f"{side}_line"]).select("key", "nth", "status", "html")
-    return shown(old, "old", F.col("status") == "DELETION").unionByName(shown(new, "new", F.col("status") != "DELETION"))
+    (doc, line, html) of its side: what is kept or inserted from the new one, what is deleted from the old one.
+
+    Edits and renderings go to the task of their key once, and meet there by side and line."""
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    side = lambda rows, deleted: rows.select(F.col("doc").alias("key"), F.lit(deleted).alias("deleted"), "line", none("int", "nth"), none("string", "status"), "html")
+    edits = line_edits(pairs).select("key", (F.col("status") == "DELETION").alias("deleted"), "line", "nth", "status", none("string", "html"))
+    met = edits.unionByName(side(old, True)).unionByName(side(new, False)).where("key is not null").repartition("key")
+    both = met.groupBy("key", "deleted", "line").agg(*[F.max(c).alias(c) for c in ("nth", "status", "html")])
+    return both.where("nth is not null and html is not null").select("key", "nth", "status", "html")
 
 
 #: What the queries mark: long words, and sentences around them.

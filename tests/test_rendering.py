@@ -84,3 +84,20 @@ def test_many_marks_on_one_line(spark):
     docs = spark.createDataFrame([(1, text)], "doc long, text string")
     shown = R.rendered(docs, R.found_marks(docs, {"b": "word"})).first().html
     assert re.sub("</?b>", "", shown) == text and shown.count("<b>word</b>") == 3000
+
+
+def exchanges(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_lines_are_not_shuffled_to_be_rendered(spark):
+    docs = spark.createDataFrame([(1, "a b\nc"), (2, "c\nd")], "doc long, text string")
+    marks = spark.createDataFrame([(1, 0, 3, "b"), (2, 0, 1, None)], MARKS)
+    html = R.rendered(docs, marks)
+    assert exchanges(html) <= 2
+    assert sorted(tuple(r) for r in html.collect()) == [(1, 0, "<b>a b</b>"), (1, 1, "c"), (2, 0, "c"), (2, 1, "d")]
+    pairs = spark.createDataFrame([(1, "a b\nc", "c\nd")], "key long, old string, new string")
+    new = html.where("doc = 2").withColumn("doc", F.lit(1).cast("long"))
+    rows = R.interleaved(pairs, html.where("doc = 1"), new)
+    assert exchanges(rows) <= 5  # docs and marks for either side, and one for all that meets
+    assert sorted((r.nth, r.status[0], r.html) for r in rows.collect()) == [(0, "D", "<b>a b</b>"), (1, "U", "c"), (2, "I", "d")]
