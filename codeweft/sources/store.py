@@ -2,15 +2,17 @@
 
 Below its folder:
 
-- `data/<table>/piece=<write>-<key>/`: the rows of one key as one write left them; never changed later.
-- `manifests/<write>/`: which pieces make up the tables of a version, as a table.
+- `data/<table>/piece=<write>-<n>/`: the rows of some keys, dealt by a hash over `PIECES` folders, as one write left
+  them; never changed later. Each row names its key.
+- `manifests/<write>/`: which piece holds each key of the tables of a version, as a table.
 - `versions/<number>`: the name of a version's manifest, put in place by one create that fails if the
   number is taken. There is no moment without a current version and none with half of one.
 
 A writer starts from the versions it finds and takes the next number; if another writer took it first, it
 gets a `Conflict` and nothing it wrote is seen. A reader names a version, or takes the latest, and stays
-with it: its scan is joined with the manifest, whose pieces prune the folders at run time. Partitions
-that a version does not replace keep their very files. Batches of a stream are known by number: one that
+with it: its scan is joined with the manifest by piece and key; the pieces prune the folders at run time. Keys
+that a version does not replace keep their very files. So a write makes a bounded number of folders, however many
+keys it has; rows of a replaced key stay in its old piece, unseen, while other keys of that piece are in use. Batches of a stream are known by number: one that
 was merged before changes nothing.
 
 A number that a writer took without finishing is passed over by readers and writers alike. A null key is a
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 MANIFEST = "table string, key string, piece string"
 #: Rows of a manifest with this table name hold the last batch merged of each stream.
 BATCHES = "\x00batches"
+#: How many folders the keys of one table are dealt over in one write, and the column of its files that names the key.
+PIECES, KEY = 64, "__key"
 
 
 class Conflict(Exception):
@@ -74,25 +78,24 @@ class Store:
 
     def read(self, table: str, schema: str, version: int | None = None) -> DataFrame:
         """A table as of a version."""
-        pieces = self.manifest(version).where(F.col("table") == table).select("piece")
+        pieces = self.manifest(version).where(F.col("table") == table).select("piece", F.col("key").alias(KEY))
         if not self._path(f"data/{table}")[0].exists(self._path(f"data/{table}")[1]):
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(f"{schema}, piece string").parquet(f"{self.root}/data/{table}")
-        return rows.join(pieces, "piece").drop("piece")
+        rows = self.spark.read.schema(f"{schema}, {KEY} string, piece string").parquet(f"{self.root}/data/{table}")
+        return rows.join(pieces, ["piece", KEY]).drop("piece", KEY)
 
     def _write(self, tables: dict[str, DataFrame], key: str) -> tuple[str, DataFrame]:
         """Writes the rows below a name of their own; the name, and the pieces they became."""
         name, pieces = uuid.uuid4().hex, self.spark.createDataFrame([], MANIFEST)
         for table, rows in tables.items():
-            piece = F.concat(F.lit(f"{name}-"), F.substring(F.sha2(token(key), 256), 1, 32))
-            # Large keys are split over files and small ones share a task.
-            rows.withColumn("piece", piece).hint("rebalance", "piece").write.partitionBy("piece").mode("append").parquet(f"{self.root}/data/{table}")
-            kind = rows.schema[key].dataType.simpleString()
+            piece = F.concat(F.lit(f"{name}-"), F.pmod(F.xxhash64(KEY), F.lit(PIECES)).cast("string"))
+            # Large pieces are split over files and small ones share a task.
+            rows.withColumn(KEY, token(key)).withColumn("piece", piece).hint("rebalance", "piece").write.partitionBy("piece").mode("append").parquet(f"{self.root}/data/{table}")
             files, path = self._path(f"data/{table}/piece={name}-*")
             if not files.globStatus(path):
                 continue  # no rows
-            here = self.spark.read.schema(f"`{key}` {kind}, piece string").option("basePath", f"{self.root}/data/{table}").parquet(f"{self.root}/data/{table}/piece={name}-*")
-            pieces = pieces.unionByName(here.select(F.lit(table).alias("table"), token(key).alias("key"), "piece").distinct())
+            here = self.spark.read.schema(f"{KEY} string, piece string").option("basePath", f"{self.root}/data/{table}").parquet(f"{self.root}/data/{table}/piece={name}-*")
+            pieces = pieces.unionByName(here.select(F.lit(table).alias("table"), F.col(KEY).alias("key"), "piece").distinct())
         return name, pieces
 
     def _publish(self, taken: set[int], name: str, manifest: DataFrame) -> int:

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from codeweft.sources.store import Conflict, Store, added
+from codeweft.sources.store import PIECES, Conflict, Store, added
 from codeweft.streaming import hits
 
 SCHEMA = "k long, v string"
@@ -85,6 +85,15 @@ def test_vacuum_keeps_what_versions_name(spark, store):
     assert store.vacuum(keep=2) == 0 and store.vacuum() == 1 and held(store) == [(True, 1, "c"), (True, 2, "b")]
 
 
+def test_folders_do_not_grow_with_keys(spark, store, tmp_path):
+    many = spark.range(1000).selectExpr("id k", "'old' v")
+    store.publish({"t": many}, "k")
+    store.replace({"t": many.where("k % 100 = 7").withColumn("v", F.lit("new"))}, "k", gone=spark.sql("select 5L as key"))
+    assert len(list((tmp_path / "store" / "data" / "t").glob("piece=*"))) <= PIECES + 10
+    assert held(store) == [(True, k, "new" if k % 100 == 7 else "old") for k in range(1000) if k != 5] and len(held(store, 1)) == 1000
+    assert store.vacuum() == 0  # each old folder still holds keys in use
+
+
 def event(hour, minute, file, artifact, agent="Firefox"):
     return (dt.datetime(2024, 5, 1, hour, minute), file, artifact, agent)
 
