@@ -151,3 +151,12 @@ def test_bytes_of_the_whole_small_table(spark):
                 gone[at : at + 400] = True
         kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
         assert (got[doc].n_bytes, got[doc].n_removed, got[doc].kept_sha256) == (len(raw), int(gone.sum()), hashlib.sha256(kept).hexdigest())
+
+
+def test_only_runs_of_hot_anchors_are_judged_by_window():
+    """Hashing every window costs most of all: runs of other anchors, and those that repeat as a whole, are left out."""
+    anchor, content = np.array([1, 2, 2, 3, 4]), np.array([10, 20, 21, 30, 40])
+    whole = np.array([False, False, True, False, False])
+    asked = bwt.by_window(anchor, content, whole, np.array([2, 2, 3]), np.array([20, 21, 31]))
+    assert asked.tolist() == [1]
+    assert not len(bwt.by_window(anchor, content, whole, np.array([], int), np.array([], int)))
