@@ -94,9 +94,15 @@ def join05(spark, root):
 
 @query("join07_counts_of_bindings", "SELECT b.binding, r.type, r.source_artifact_id, count(*) AS count FROM refs r JOIN (SELECT DISTINCT realm, binding_id, binding FROM bindings) b ON r.target = b.binding_id AND r.realm = b.realm GROUP BY ALL")
 def join07(spark, root):
-    """Bindings are made distinct first: they recur by version, and would multiply the counts."""
+    """Bindings are made distinct first: they recur by version, and would multiply the counts. Nearly every reference is a count
+    of its own, so both sums are dealt over tasks whose number grows with the scan: what one of them holds keeps its size."""
+    refs = references(spark, root)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * refs.rdd.getNumPartitions())
     named = bindings(spark, root).select("realm", F.col("binding_id").alias("target"), "binding").distinct()
-    return counts(spark, root).join(named, ["realm", "target"]).groupBy("binding", "type", "source_artifact_id").agg(F.sum("count").alias("count"))
+    key = ["realm", "target", "type", "source_artifact_id"]
+    each = refs.select(key).repartition(tasks, "realm", "target").groupBy(key).agg(F.count("*").alias("count"))
+    out = ["binding", "type", "source_artifact_id"]
+    return each.join(named, ["realm", "target"]).select(*out, "count").repartition(tasks, *out).groupBy(out).agg(F.sum("count").alias("count"))
 
 
 TOPN = """, ranked AS (SELECT r.*, source_artifact_id = 1 AS here,

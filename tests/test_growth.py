@@ -44,3 +44,15 @@ def test_pipeline_stages_bound_what_workers_get(spark, monkeypatch):
         assert spark.conf.get(corpus_pipeline.BATCH) == corpus_pipeline.BATCH_BYTES and sizes < 5 << 20
     finally:
         spark.conf.unset(corpus_pipeline.BATCH)
+
+
+def test_counts_of_bindings_take_more_tasks_for_more_splits(spark, same, duck):
+    from codeweft.operators import references
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        found = references.join07(spark, SMALL)
+        assert found.rdd.getNumPartitions() >= 16  # four by the session's setting alone
+        same(found, duck, ORACLES["join07_counts_of_bindings"])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
