@@ -5,10 +5,10 @@ and the rest of the name from there. A query's letters are consumed by runs: a r
 and follows the name's letters, also into the next components, for free; each later run is a paid jump
 ahead to a component. `jumps` is the least number of jumps that consumes the query.
 
-A search is a frontier of (name, letters consumed, place), one join with the suffixes for each jump, of
-which five are allowed at most; of equal (name, letters) only the least place goes on, since every way
-onwards from a later place is open from it too; names that are done are carried along. The suffixes are read once, from the buckets of the
-query's letters, and shuffled once, by name; all rounds stand in one plan.
+A search reads the suffixes once, from the buckets of the query's letters. A suffix that the open letters do not all
+follow in is left out; of others the moves (letters consumed before, start, letters consumed at most) are shuffled once, by name, over
+tasks whose number grows with the scan. They meet in one array a name, no longer than its components times the
+query's letters, and its frontier (letters consumed, place) goes on by one jump a round, of which five are allowed at most.
 
 Depth 0 is a match of the simple name without jumps, depth d one of the full name with d - 1 jumps.
 Null names have no components and match nothing; an empty query matches nothing.
@@ -16,8 +16,8 @@ Null names have no components and match nothing; an empty query matches nothing.
 
 from __future__ import annotations
 
+import re
 import uuid
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +28,7 @@ from codeweft.operators.search import components
 from codeweft.operators.versions import KEYED, version_key
 from codeweft.plans.register import query
 from codeweft.sources.store import Store
-from codeweft.sources.tables import once, reachable, shared_folder, table
+from codeweft.sources.tables import dealt, once, reachable, shared_folder, table
 from codeweft.sources.views import artifacts, bindings
 
 BUCKETS, DEPTH = 32, 5
@@ -71,22 +71,27 @@ def jumps(table_: DataFrame, wanted: str, depth: int = DEPTH) -> DataFrame:
     if not n:
         return table_.limit(0).select("name", F.lit(0).alias("jumps"), "own")
     heads = table_.where(F.col("bucket").isin(sorted({ord(c) % BUCKETS for c in low})))
-    heads = heads.where(reduce(Column.__or__, [F.col("rest").startswith(c) for c in sorted(set(low))], F.lit(False)))
-    heads = heads.select("name", "start", "own", F.array(*[consumed(F.col("rest"), low[i:]) for i in range(n)], F.lit(0)).alias("reach"))
-
-    simple = F.max(F.col("own") & (F.get("reach", F.lit(0)) == n))
-    ran = heads.withColumn("run", F.explode(F.sequence(F.lit(0), F.get("reach", F.lit(0)))))
-    # A run of no letters is only kept for what it says of the simple name.
-    front = ran.groupBy("name", F.col("run").alias("at")).agg(F.min(F.col("start") + F.col("run")).alias("place"), simple.alias("own"), F.lit(0).alias("jumps")).where("at > 0")
-    ahead = heads.select(F.col("name").alias("of"), "start", "reach")
-    for count in range(1, depth):
-        # Names that are done stay as they are, others go on or end here.
-        more = (F.col("name") == F.col("of")) & (F.col("at") < n) & (F.col("start") >= F.col("place")) & (F.get("reach", F.col("at")) > 0)
-        met, goes = front.join(ahead, more, "left"), F.col("start").isNotNull()
-        met = met.where(goes | (F.col("at") == n)).withColumn("run", F.explode(F.when(goes, F.sequence(F.lit(1), F.get("reach", F.col("at")))).otherwise(F.array(F.lit(0)))))
-        met = met.select("name", (F.col("at") + F.col("run")).alias("at"), F.when(goes, F.col("start") + F.col("run")).otherwise(F.col("place")).alias("place"), F.when(goes, count).otherwise(F.col("jumps")).alias("jumps"), F.when(goes, False).otherwise(F.col("own")).alias("own"))
-        front = met.groupBy("name", "at").agg(F.min("place").alias("place"), F.max("own").alias("own"), F.min("jumps").alias("jumps"))
-    return front.where(F.col("at") == n).select("name", "jumps", "own")
+    # From letter i on a run can only lead to the end where all letters from there on follow in the name, in order.
+    follows = lambda i: F.col("rest").rlike("(?s)^" + ".*".join(re.escape(c) for c in low[i:]))
+    moves = F.array_compact(F.array(*[F.when(follows(i), F.struct(F.lit(i).alias("at"), F.col("start"), consumed(F.col("rest"), low[i:]).alias("reach"))) for i in range(n)]))
+    moves = heads.select("name", "own", F.explode(moves).alias("move"))
+    simple = F.max(F.col("own") & (F.col("move.at") == 0) & (F.col("move.reach") == n))
+    met = dealt(moves, "name").groupBy("name").agg(F.collect_list("move").alias("moves"), simple.alias("own"))
+
+    state = lambda front, rounds: F.struct(front.alias("front"), rounds.alias("rounds"))
+    place = lambda at, place: F.struct(at.alias("at"), place.alias("place"))
+    done = lambda x: F.exists(x["front"], lambda f: f["at"] == n)
+
+    def ahead(x: Column) -> Column:
+        """Where the runs end that start at a place of the front or after it."""
+        open_ = F.filter("moves", lambda m: F.exists(x["front"], lambda f: (f["at"] == m["at"]) & (f["place"] <= m["start"])))
+        ends = lambda m: F.transform(F.sequence(F.lit(1), m["reach"]), lambda run: place(m["at"] + run, m["start"] + run))
+        return F.flatten(F.transform(open_, ends))
+
+    begin = state(F.array(place(F.lit(0), F.lit(0))), F.lit(0))
+    walked = F.aggregate(F.array(*map(F.lit, range(depth))), begin, lambda x, _: F.when(done(x), x).otherwise(state(ahead(x), x["rounds"] + 1)))
+    found = met.select("name", walked.alias("walked"), "own").where(done(F.col("walked")))
+    return found.select("name", (F.col("walked.rounds") - 1).alias("jumps"), "own")
 
 
 def highlight(parts: list[str], wanted: str, jumps: int) -> list[int] | None:

@@ -56,3 +56,20 @@ def test_counts_of_bindings_take_more_tasks_for_more_splits(spark, same, duck):
         same(found, duck, ORACLES["join07_counts_of_bindings"])
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_moves_of_a_search_meet_once_and_take_more_tasks_for_more_splits(spark, tmp_path):
+    from codeweft.operators import typesearch as T
+
+    names = spark.createDataFrame([(i, f"pkg.{'Smart' if i % 3 else 'Small'}Ring{'Mall' * (i % 5)}Gear{i}") for i in range(400)], "binding_id long, binding string")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        found = T.jumps(T.written(names, "binding_id", "binding", f"file://{tmp_path}/names"), "smring")
+        assert found.rdd.getNumPartitions() >= 16  # four by the session's setting alone
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert "Join" not in plan  # joins of five rounds held all their sorts in one task
+        assert {r.name: r.jumps for r in found.collect()} == {i: 1 for i in range(400)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
