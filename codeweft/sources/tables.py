@@ -50,13 +50,13 @@ PIECE, ROWS = 1 << 20, 1 << 16
 KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
 
 
-def pieces(batches: Iterable[pa.RecordBatch], *texts: str) -> Iterator[pa.RecordBatch]:
-    """The rows of Arrow batches in slices of `PIECE` bytes of the columns `texts`, and one longer row, at most."""
+def pieces(batches: Iterable[pa.RecordBatch], *texts: str, share: int = 1) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in slices of `share` times `PIECE` bytes of the columns `texts`, and one longer row, at most."""
     for batch in batches:
         size = np.zeros(batch.num_rows, np.int64)
         for name in texts:
             size += pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
-        ends = np.flatnonzero(np.diff(np.cumsum(size) // PIECE)) + 1
+        ends = np.flatnonzero(np.diff(np.cumsum(size) // (share * PIECE))) + 1
         for begin, end in zip([0, *ends.tolist()], [*ends.tolist(), batch.num_rows], strict=True):
             if begin < end:
                 yield batch.slice(begin, end - begin)

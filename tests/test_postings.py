@@ -1,5 +1,6 @@
 """The written posting index: query trees against a slow evaluator, pruning, ranges and regions."""
 
+import os
 import random
 import re
 
@@ -172,3 +173,17 @@ def test_empty_and_clashing_columns(spark, tmp_path_factory):
     index = build(spark, tmp_path_factory, [("k", "a b " * 30_000, "mine", 1), (None, "a", "x", 2)], key="string")
     assert sorted((str(r.doc), len(r.positions)) for r in P.search(index, T("a")).collect()) == [("None", 1), ("k", 30_000)]
     assert index.terms.where(F.col("lexeme") == "a").first().docs == 2
+
+
+def folders(index):
+    return {f for f in os.listdir(index.path.removeprefix("file://")) if not f.startswith(".")}
+
+
+PROSE = [(i, f"Fox {'fox ' * (i % 3)}; word{i}\nfox and Hound {i % 4}", "x", 1) for i in range(50)]
+
+
+def test_ranges_of_tokens_leave_no_postings_on_disk(spark, tmp_path_factory):
+    index = build(spark, tmp_path_factory, PROSE, "prose")
+    rows = index.texts.where("set = 'normal'").orderBy("doc").collect()
+    assert [PROSE[3][1][s : s + n].lower() for s, n in zip(rows[3].starts, rows[3].lengths, strict=True)] == ["fox", ";", "word3", "fox", "hound", "3"]
+    assert len(rows) == 50 and folders(index) == {"texts"} and "entries" not in index.texts.columns
