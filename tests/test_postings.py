@@ -187,3 +187,12 @@ def test_ranges_of_tokens_leave_no_postings_on_disk(spark, tmp_path_factory):
     rows = index.texts.where("set = 'normal'").orderBy("doc").collect()
     assert [PROSE[3][1][s : s + n].lower() for s, n in zip(rows[3].starts, rows[3].lengths, strict=True)] == ["fox", ";", "word3", "fox", "hound", "3"]
     assert len(rows) == 50 and folders(index) == {"texts"} and "entries" not in index.texts.columns
+
+
+def test_statistics_of_terms_are_made_only_for_trees_that_are_ordered_by_them(spark, tmp_path_factory):
+    index = build(spark, tmp_path_factory, PROSE, "prose")
+    found = P.search(index, Or((T("fox", weights="A"), T("word1", prefix=True))), "no_symbols")
+    assert {r.doc: len(r.positions) for r in found.collect()} == {i: 1 + i % 3 + (str(i)[0] == "1") for i in range(50)}
+    assert folders(index) == {"postings"}
+    P.search(index, Phrase((T("fox"), T("hound"))))
+    assert folders(index) == {"postings", "terms"}
