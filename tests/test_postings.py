@@ -196,3 +196,20 @@ def test_statistics_of_terms_are_made_only_for_trees_that_are_ordered_by_them(sp
     assert folders(index) == {"postings"}
     P.search(index, Phrase((T("fox"), T("hound"))))
     assert folders(index) == {"postings", "terms"}
+
+
+def test_postings_of_a_lexeme_share_rows_and_are_written_unsorted_and_alone(spark, tmp_path_factory, monkeypatch):
+    index, used = build(spark, tmp_path_factory, PROSE, "prose"), []
+    written = P.Index._written
+    monkeypatch.setattr(P.Index, "_written", lambda self, name, rows, *a, **b: used.append(rows) or written(self, name, rows, *a, **b))
+    kept = {(r.lexeme, r.weight, r.doc): (r.head, list(r.positions)) for r in index.postings.where("set = 'normal'").collect()}
+    want = {}
+    for doc, text, *_ in PROSE:
+        tokens = [(m[0], "A" if m.start() < text.index("\n") else "D") for m in re.finditer(r"\w+|;", text.lower()) if m[0] not in STOP]
+        for place, (word, weight) in enumerate(tokens):
+            head = weight == "A" or (word, "A", doc) not in want
+            want.setdefault((word, weight, doc), (head, []))[1].append(place)
+    assert kept == want and folders(index) == {"postings"}
+    assert index.lists.where("set = 'normal' AND lexeme = 'fox'").count() <= 2 * 4 < 50  # a row a weight and task
+    plan = used[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "rangepartitioning" not in plan
